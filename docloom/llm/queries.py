@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, containers, pieces
+from docloom.llm import bpe, containers, lookalikes, pieces, repeated_lines
 from docloom.operators.physical import materialize
 
 
@@ -31,6 +31,17 @@ def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return _by_spec(spark, sf, lambda t, s: pieces.split_texts(t, "id", s["field_name"], s["max_chars"], s["overlap_chars"]))
 
 
+_ISSUES = {"key": "id", "source": "repo_name", "document": "issue_number", "text": "body"}
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return repeated_lines.marked_lines(table(spark, sf, "issues_data"), **_ISSUES, published="created_at")
+
+
+def p5_cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    return repeated_lines.without_lines(table(spark, sf, "issues_data"), **_ISSUES, published="created_at")
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -58,8 +69,19 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalikes.same_look_pairs(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def p8_normalized(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalikes.normalize_texts(table(spark, sf, "documents"), "doc_id", "text")
+
+
+_ALL = (p4_found, p4_pieces, p5_found, p5_cleaned, p6_ids, p6_decoded, p7_containers, p7_fill, p8_found, p8_normalized)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_pieces, p6_ids, p6_decoded, p7_containers, p7_fill)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -68,5 +90,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'github_data' AS table_name, id FROM github_data WHERE length(content) > (SELECT max_chars FROM split_specs WHERE table_name = 'github_data')
             UNION ALL SELECT 'issues_data', id FROM issues_data WHERE length(body) > (SELECT max_chars FROM split_specs WHERE table_name = 'issues_data')
             UNION ALL SELECT 'docs_chunks', id FROM docs_chunks WHERE length(content_text) > (SELECT max_chars FROM split_specs WHERE table_name = 'docs_chunks')""",
+        "p5_found": """
+            WITH lines AS (
+              SELECT id, repo_name, issue_number, unnest(string_split(body, chr(10))) AS line,
+                     unnest(range(1, len(string_split(body, chr(10))) + 1)) AS line_no
+              FROM issues_data WHERE repo_name IS NOT NULL AND body IS NOT NULL),
+            keyed AS (SELECT *, lower(regexp_replace(line, '[^\\p{L}]', '', 'g')) AS k FROM lines),
+            long AS (SELECT * FROM keyed WHERE length(k) >= 20),
+            total AS (SELECT repo_name, count(DISTINCT issue_number) AS n FROM issues_data WHERE body IS NOT NULL GROUP BY 1),
+            often AS (
+              SELECT repo_name, k FROM long JOIN total USING (repo_name) GROUP BY repo_name, k, n
+              HAVING count(DISTINCT issue_number) >= 4 AND count(DISTINCT issue_number) >= 0.1 * n)
+            SELECT id, CAST(line_no AS BIGINT) AS line_no FROM long SEMI JOIN often USING (repo_name, k)""",
         "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }
