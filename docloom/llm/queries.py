@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, containers, credentials, handwritten, lookalikes, pieces, repeated_lines
+from docloom.llm import bpe, containers, credentials, handwritten, lookalikes, personal, pieces, repeated_lines
 from docloom.operators.physical import materialize
 
 
@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return personal.kinds_found(table(spark, sf, "issues_data"), "id", "body", "comments")
+
+
+def p1_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return personal.sanitized(table(spark, sf, "issues_data"), "id", "body", "comments")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return handwritten.not_handwritten(table(spark, sf, "code_data"), "id", "path", "content", "repo")
 
@@ -94,7 +102,7 @@ def p8_normalized(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.normalize_texts(table(spark, sf, "documents"), "doc_id", "text")
 
 
-_ALL = (p2_found, p2_handwritten, p3_found, p3_redacted, p4_found, p4_pieces, p5_found, p5_cleaned, p6_ids, p6_decoded, p7_containers, p7_fill, p8_found, p8_normalized)
+_ALL = (p1_found, p1_redacted, p2_found, p2_handwritten, p3_found, p3_redacted, p4_found, p4_pieces, p5_found, p5_cleaned, p6_ids, p6_decoded, p7_containers, p7_fill, p8_found, p8_normalized)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
