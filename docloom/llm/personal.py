@@ -29,7 +29,7 @@ BROADCAST_TERMS = 500_000
 _AT = r"(?:@|&#0*64;|&commat;|%40| ?[\[({<]\s?(?:at|AT|@)\s?[\])}>] ?)"
 _DOT = r"(?:\.| ?[\[({<]\s?(?:dot|DOT|\.)\s?[\])}>] ?)"
 _EMAIL = re.compile(
-    rf"(?<![\w.+/:@-])(?P<l>\w[\w+'-]*(?:{_DOT}[\w+'-]+)*){_AT}(?P<d>[\w-]+(?:{_DOT}[\w-]+)*{_DOT}[^\W\d_]{{2,}})(?![\w-]*[@:]|/\w)"
+    rf"(?:(?<![\w.+/:@-])|(?<=mailto:))(?P<l>\w[\w+'-]*(?:{_DOT}[\w+'-]+)*){_AT}(?P<d>[\w-]+(?:{_DOT}[\w-]+)*{_DOT}[^\W\d_]{{2,}})(?![\w-]*[@:]|/\w)"
     rf"|(?<![\w.+/:@-])(?P<m>\w[\w+'-]*(?:(?:\.| dot | DOT )[\w+'-]+)*) (?:at|AT) (?P<e>[\w-]+(?:(?: dot | DOT )[\w-]+)*(?: dot | DOT )[^\W\d_]{{2,}})(?![\w-])"
 )
 _EMAIL_SIGN = re.compile(r"@|&#0*64;|&commat;|%40|[\[({<]\s?(?:at|AT)\s?[\])}>]| (?:at (?=[\w-]+ dot )|AT (?=[\w-]+ DOT ))")
@@ -59,28 +59,28 @@ _TYPE = (
     r"(?:[Ss]treet|STREET|St\b\.?|ST\b\.?|[Aa]venue|AVENUE|Ave\b\.?|AVE\b\.?|[Rr]oad|ROAD|Rd\b\.?|[Bb]oulevard|BOULEVARD|Blvd\b\.?|BLVD\b\.?|Lane|LANE|Ln\b\.?|Drive|DRIVE|Dr\b\.?|Court|COURT|Ct\b\.?|Close|CLOSE|"
     r"Way|WAY|Place|Pl\b\.?|Terrace|TERRACE|Square|Sq\b\.?|Crescent|Row|Walk|Gardens|Mews|Parkway|Pkwy\b\.?|Highway|Hwy\b\.?|Quay|Hill)"
 )
-_UNIT = r"(?:[, \n]{1,2}(?:Apt|Apartment|Flat|Suite|Ste|Unit|Floor|Room|APT|FLAT|SUITE)\b\.? ?#?\w+)?"
-_TOWN = rf"(?:(?:,|\n|, ?\n) ?(?:\d{{4,5}} )?{_CAP}(?: {_CAP})?(?:,? (?:[A-Z]{{2}} )?\d{{4,5}})?)?"
+_UNIT = r"(?:[, \r\n]{1,3}(?:Apt|Apartment|Flat|Suite|Ste|Unit|Floor|Room|APT|FLAT|SUITE)\b\.? ?#?\w+)?"
+_TOWN = rf"(?:(?:,|,? ?\r?\n) ?(?:\d{{4,5}} )?{_CAP}(?: {_CAP})?(?:,? (?:[A-Z]{{2}} )?\d{{4,5}})?)?"
 _ADDRESS = re.compile(
     rf"(?<![\w.#-])(?:\d{{1,5}}[A-Za-z]? (?:{_CAP} ){{1,4}}{_TYPE}(?![\w-]){_UNIT}{_TOWN}"
     rf"|\d{{1,4}}(?: (?:bis|ter))?,? (?:rue|avenue|boulevard|place|chemin|quai|allée|impasse|cours|route|Rue|Avenue|Boulevard|Place|Chemin|Quai|Allée|RUE) (?:(?:de la|de l'|de|du|des|d'|l'|la|le|les) ?)*{_CAP}(?:[ -](?:(?:de|du|des|la|le|et) )?{_CAP}){{0,3}}{_TOWN}"
     rf"|(?:[A-ZÄÖÜ][\wäöüß-]*?(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|graben|markt|chaussee|steig|pfad|STRASSE|WEG|GASSE)|(?:Am|An der|An den|Im|In der|Zum|Zur|Auf dem|Auf der|Unter den|Hinter der) (?:{_CAP} ?){{1,3}}) ?\d{{1,4}} ?[a-z]?(?![\w.%-]){_TOWN}"
-    rf"|(?:Calle|C/|Avenida|Avda\.|Plaza|Paseo|Camino|Carrera|Rua|Praça|Via|Viale|Piazza|Corso|CALLE) (?:(?:de la|de los|del|de|la|el|da|do|dos|das|della|di) )?{_CAP}(?: (?:(?:de|del|la) )?{_CAP}){{0,3}},? (?:n[º°.] ?)?\d{{1,4}}(?:, ?\d{{1,2}}[ºª°]? ?[A-Za-zºª]{{0,4}}\b)?{_TOWN}"
+    rf"|(?:Calle|C/|Avenida|Avda\.|Plaza|Paseo|Camino|Carrera|Rua|Praça|Via|Viale|Piazza|Corso|CALLE) (?:(?:de la|de los|del|de|la|el|da|do|dos|das|della|di) )?{_CAP}(?: (?:(?:de|del|la) )?{_CAP}){{0,3}},? (?:n[º°.] ?)?\d{{1,4}}(?:(?:, ?|,? ?\r?\n)\d{{1,2}}[ºª°]? ?[A-Za-zºª]{{0,4}}\b)?{_TOWN}"
     rf"|(?:P\.? ?O\.? ?[Bb]ox|P\.? ?O\.? BOX|[Pp]ost [Bb]ox|Postfach|Apartado(?: de [Cc]orreos)?|Bo[iî]te [Pp]ostale|Caixa [Pp]ostal|Casella [Pp]ostale|Postbus) ?\d[\d ]{{0,6}}{_TOWN})",
 )
 _PARTICLE = r"(?:(?:van|von|de|den|der|di|da|dos|la|le|ter|ten|bin|ibn|af|zu)(?: (?:de|der|den|la))? )?(?:(?:al|el|Al|El)-)?"
 _UP = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĔĖĘĚĜĞĠĢĤĦĨĪĬĮİĴĶĹĻĽĿŁŃŅŇŌŎŐŒŔŖŘŚŜŞŠŢŤŦŨŪŬŮŰŲŴŶŸŹŻŽ"
 _WORD = rf"[{_UP}][^\W\d_]*(?:['’][^\W\d_]+)*(?:-[^\W\d_]+(?:['’][^\W\d_]+)*)*"
-_RUN = re.compile(rf"(?<![\w@./-])(?:{_WORD}|[{_UP}]\.)(?:,? (?:{_PARTICLE}{_WORD}|[{_UP}]\.(?= )))+(?![\w@])")
-_PIECE = re.compile(rf"(?P<p>{_PARTICLE})(?P<w>{_WORD}|[{_UP}]\.)(?P<c>,?)")
-_TITLE = r"(?:Dr|Mr|Ms|Mrs|Mx|M|Prof|Herr|Frau|Sir|Dame|Señora?|Sra?|Mme|Mlle|Monsieur|Madame|DR|MR|MS|MRS|PROF)"
+_RUN = re.compile(rf"(?<![\w@./-])(?:[{_UP}]\.|{_WORD})(?:,? (?:{_PARTICLE}{_WORD}|[{_UP}]\.(?= )))+(?![\w@])")
+_PIECE = re.compile(rf"(?P<p>{_PARTICLE})(?P<w>[{_UP}]\.|{_WORD})(?P<c>,?)")
+_TITLE = r"(?:Dr|Mr|Ms|Mrs|Mx|Prof|Herr|Frau|Sir|Dame|Señora?|Sra?|Mme|Mlle|Monsieur|Madame|DR|MR|MS|MRS|PROF)"
 _IS_TITLE = re.compile(rf"^{_TITLE}\.?$")
 _TITLED = re.compile(rf"(?<![\w.])(?:{_TITLE}\.? )+(?P<w>{_PARTICLE}{_WORD}(?: {_PARTICLE}{_WORD})?)")
-_SIGNED = re.compile(r"^[ \t>]*(?:(?:best|kind|warm) regards|regards|best|cheers|thanks|thank you|greetings|sincerely|yours),?[ \t]*\n?[ \t>]*(?P<a>[^\W\d_]+(?:-[^\W\d_]+)*) (?P<b>(?:(?:van|von|de|den|der|al)[ -])?[^\W\d_]+(?:-[^\W\d_]+)*)[ \t]*\.?[ \t]*\r?$", re.I | re.M)
+_SIGNED = re.compile(r"(?:^|(?<=[\s\x00]))(?:(?:best|kind|warm) regards|regards|best|cheers|thanks|greetings|sincerely),[ \t]*(?:\r?\n)?[ \t>]*(?P<a>[^\W\d_]+(?:-[^\W\d_]+)*) (?P<b>(?:(?:van|von|de|den|der|al)[ -])?[^\W\d_]+(?:-[^\W\d_]+)*)", re.I | re.M)
 
 #: What stands before and after people in technical threads.
 _BEFORE = re.compile(
-    rf"(?:\b(?:I am|I'm|my name is|this is|colleague|colleagues|manager|cc:?|loop in|ping|ask|contact|thanks to|thank you|thanks,?|credit to|dear|hi|hello|hey|as|per|with|from|met|told|meet)"
+    rf"(?:\b(?:I am|I'm|my name is|this is|colleague|colleagues|manager|cc:?|loop in|ping|ask|contact|thanks to|credit to|dear|hi|hello|hey)"
     rf"|\b(?:name|author|owner|maintainer|assignee|reporter|contact|reviewer|approver|user|full[ _]?name|reported[ -]by|signed-off-by|reviewed-by|approved by|written by|filed by|raised by|found by|suggested by|assigned to|co-authored-by)\W{{0,5}}"
     rf"|(?:^|\n)[ \t>]*--[ \t]*\r?\n[ \t>]*|\b(?:regards|best|cheers|sincerely|greetings|grüßen|grüße|saludos|cordialement)\b,?\s{{0,3}})\s*(?:{_TITLE}\.? )*$",
     re.I,
@@ -256,7 +256,10 @@ def disclosing_terms(
 
 
 def mentions(segments: DataFrame, key: str, number: str, text: str) -> DataFrame:
-    """``key, segment_no, check, pii_kind, begin, end`` of all personal information.
+    """``key, segment_no, check, pii_kind, begin, end, score`` of all personal information.
+
+    A candidate is a name if all its terms disclose, or if it stands in a person
+    place and one of them discloses by itself, or there has an initial before it.  ``score`` ranks overlapping places.
 
     NULL, empty and blank segments hold none.  Offsets count code points from 0.
     Segments with the same key and number (repeated rows) are told apart by
@@ -264,16 +267,22 @@ def mentions(segments: DataFrame, key: str, number: str, text: str) -> DataFrame
     the disclosing terms, which are broadcast only if they are few.
     """
     found = materialize(scan(segments, key, number, text), "scan")
-    terms = sized_broadcast(materialize(disclosing_terms(found).select("term"), "terms"), BROADCAST_TERMS)
+    terms = sized_broadcast(materialize(disclosing_terms(found), "terms"), BROADCAST_TERMS)
     forms = found.where("kind not in ('name', 'hint')").select("key", "segment_no", "check", F.col("kind").alias("pii_kind"), "begin", "end")
     first, last = F.element_at("terms", 1), F.element_at("terms", -1)
-    candidates = found.where("kind = 'name'")
-    names = (
-        candidates.select("key", "segment_no", "check", "begin", "end", first.alias("first"), last.alias("last"))
-        .join(terms.withColumnRenamed("term", "first"), "first", "left_semi")
-        .join(terms.withColumnRenamed("term", "last"), "last", "left_semi")
-        .select("key", "segment_no", "check", F.lit("name").alias("pii_kind"), "begin", "end")
+    judged = (
+        found.where("kind = 'name'").select("key", "segment_no", "check", "begin", "end", "placed", (F.size("terms") == 1).alias("alone"), first.alias("first"), last.alias("last"))
+        .join(terms.select(F.col("term").alias("first"), F.col("bits").alias("bits_first")), "first", "left")
+        .join(terms.select(F.col("term").alias("last"), F.col("bits").alias("bits_last")), "last", "left")
+    )
+    both = F.col("bits_first").isNotNull() & F.col("bits_last").isNotNull()
+    either = (F.coalesce("bits_first", F.lit(0.0)) > 0) | (F.coalesce("bits_last", F.lit(0.0)) > 0)
+    score = F.coalesce("bits_first", F.lit(-2.0)) + F.coalesce("bits_last", F.lit(-2.0)) + F.coalesce(F.col("placed").cast("int"), F.lit(0))
+    initial = F.col("alone") & F.coalesce("placed", F.lit(False))
+    names = judged.where(both | initial | (either & F.coalesce("placed", F.lit(True)))).select(
+        "key", "segment_no", "check", F.lit("name").alias("pii_kind"), "begin", "end", score.cast("double").alias("score")
     )
+    forms = forms.withColumn("score", F.lit(99.0))
     return forms.unionByName(names).withColumnRenamed("key", key)
 
 
@@ -289,15 +298,19 @@ def kinds_found(df: DataFrame, key: str, body: str, comments: str) -> DataFrame:
     return found.select(key, F.col("segment_no").cast("long").alias("segment_no"), "pii_kind").distinct()
 
 
-def placeholders(text: str, spans: list[tuple[int, int, str]]) -> str:
-    """``text`` with each span replaced by its kind; of overlapping spans the first, longest wins."""
+def placeholders(text: str, spans: list[tuple[int, int, str, float]]) -> str:
+    """``text`` with spans replaced by their kind; of overlapping ones the best score wins.
+
+    Of equal scores the longer span wins, then the earlier.
+    """
+    kept: list[tuple[int, int, str]] = []
+    for a, b, kind, _ in sorted(spans, key=lambda s: (-s[3], s[0] - s[1], s[0])):
+        if all(b <= c or d <= a for c, d, _ in kept):
+            kept.append((a, b, kind))
     out, done = [], 0
-    for a, b, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
-        if a >= done:
-            out += [text[done:a], f"<{kind.upper()}>"]
-            done = b
-        elif b > done:
-            done = b
+    for a, b, kind in sorted(kept):
+        out += [text[done:a], f"<{kind.upper()}>"]
+        done = b
     return "".join(out) + text[done:]
 
 
@@ -309,7 +322,7 @@ def sanitized(df: DataFrame, key: str, body: str, comments: str) -> DataFrame:
     keep all their rows.
     """
     found = mentions(segments_of(df, key, body, comments), key, "segment_no", "text")
-    spans = found.groupBy(key).agg(F.collect_set(F.struct("segment_no", "check", "begin", "end", "pii_kind")).alias("spans"))
+    spans = found.groupBy(key).agg(F.collect_set(F.struct("segment_no", "check", "begin", "end", "pii_kind", "score")).alias("spans"))
     rows = df.select(F.col(key), F.col(body).alias("body"), F.col(comments).alias("comments")).join(spans, key, "left")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +333,7 @@ def sanitized(df: DataFrame, key: str, body: str, comments: str) -> DataFrame:
                 if not value or not marks:
                     return value
                 check = zlib.crc32(value.encode("utf-8", "surrogatepass"))
-                return placeholders(value, [(m["begin"], m["end"], m["pii_kind"]) for m in marks if m["segment_no"] == number and m["check"] == check])
+                return placeholders(value, [(m["begin"], m["end"], m["pii_kind"], m["score"]) for m in marks if m["segment_no"] == number and m["check"] == check])
 
             new = [cleared(b, 0, w) for b, w in zip(bodies, where)]
             new_threads = [
