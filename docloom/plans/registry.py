@@ -1,15 +1,617 @@
-"""All registered queries of the core operators."""
+"""All registered queries of the core operators, each with its SQL where there is one."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.functions import cleaning, text
+from docloom.functions.html import html_to_text, markdown_to_html
+from docloom.operators import embedding, evaluation, search, store
+from docloom.operators.physical import materialize, shared_dir
+from docloom.plans import ingest
+from docloom.sources.files import capped_per_repo, is_code, is_doc, nested_comments
+from docloom.streaming import chat, sessions
+
+QUESTION = "How does the pipeline runner treat a stale route in a notebook namespace?"
+BASE_URL = "https://docs.tidegrid.example/docs"
+
+#: SQL: a class of all white space, and helpers that several queries share.
+_WS = r"[\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_TRIM = rf"regexp_replace(%s, '^{_WS}+|{_WS}+$', '', 'g')"
+_QUERY = "(SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0)"
+_COSINE = "list_cosine_similarity(embedding::DOUBLE[], q.e)"
+_STEMS = "list_distinct(list_transform(list_filter(regexp_extract_all(%s, '[A-Za-z0-9]+'), lambda t: length(t) >= 4), lambda t: lower(t[1:6])))"
+_HITS = f"""hits AS (
+  SELECT c.*, {_COSINE} AS score FROM docs_chunks c JOIN embeddings v ON c.id = v.vec_id, {_QUERY} q
+  ORDER BY score DESC, c.id LIMIT 10),
+ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM hits)"""
+
+_REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(sql: str | None = None):
+    def add(make: Callable[[SparkSession, str], DataFrame]):
+        _REGISTRY[make.__name__] = (make, sql)
+        return make
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: make for name, (make, _) in _REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _REGISTRY.items() if sql}
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _long(name: str) -> Column:
+    return F.col(name).cast("long").alias(name)
+
+
+def _question_vector(spark: SparkSession, sf: str) -> list[float]:
+    """The stored vector 0 stands for the embedded question."""
+    return list(table(spark, sf, "embeddings").where("vec_id = 0").first()["embedding"])
+
+
+def _with_vectors(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """Rows of a table with the stored vector of the same number."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return table(spark, sf, name).join(vectors, "id")
+
+
+def _hits(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
+    columns = ["content_text", "citation_url", "file_path", "chunk_index"]
+    return search.top_k(_with_vectors(spark, sf, "docs_chunks"), _question_vector(spark, sf), k, "id", "vector", columns)
+
+
+# --- search -----------------------------------------------------------------
+
+
+@query(f"""SELECT vec_id, round({_COSINE}, 6) AS score, CAST(row_number() OVER (ORDER BY {_COSINE} DESC, vec_id) AS BIGINT) AS rank
+           FROM embeddings, {_QUERY} q ORDER BY {_COSINE} DESC, vec_id LIMIT 5""")
+def knn_top5(spark, sf):
+    found = search.top_k(table(spark, sf, "embeddings"), _question_vector(spark, sf), 5, "vec_id", "embedding", [])
+    return found.select("vec_id", F.round("score", 6).alias("score"), _long("rank"))
+
+
+@query(f"""SELECT vec_id, round({_COSINE}, 6) AS score, CAST(row_number() OVER (ORDER BY {_COSINE} DESC, vec_id) AS BIGINT) AS rank
+           FROM embeddings, {_QUERY} q WHERE label = 3 ORDER BY {_COSINE} DESC, vec_id LIMIT 10""")
+def knn_filtered_label(spark, sf):
+    found = search.top_k(table(spark, sf, "embeddings"), _question_vector(spark, sf), 10, "vec_id", "embedding", [], F.col("label") == 3)
+    return found.select("vec_id", F.round("score", 6).alias("score"), _long("rank"))
+
+
+@query("""SELECT query_id, vec_id, round(s, 6) AS score, CAST(r AS BIGINT) AS rank FROM (
+            SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s,
+                   row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS r
+            FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0) WHERE r <= 5""")
+def knn_batch_topk(spark, sf):
+    """The query set is stated: every row whose number 100 divides, against all rows."""
+    corpus = table(spark, sf, "embeddings")
+    found = search.batch_top_k(corpus, corpus.where(F.col("vec_id") % 100 == 0), 5, "vec_id", "embedding")
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), _long("rank"))
+
+
+@query()
+def knn_pruned_recall(spark, sf):
+    """Share of the exact neighbours that the pruned search finds; 0.9 at least."""
+    corpus = table(spark, sf, "embeddings")
+    asked = corpus.where(F.col("vec_id") % 100 == 0)
+    centres = search.fit_cells(corpus, "embedding", 16)
+    exact = search.batch_top_k(corpus, asked, 10, "vec_id", "embedding").select("query_id", "vec_id")
+    pruned = search.pruned_top_k(corpus, asked, 10, "vec_id", "embedding", centres, 12).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    return exact.join(pruned, ["query_id", "vec_id"], "left").agg(F.count("*").alias("wanted"), F.count("hit").alias("found"), (F.count("hit") / F.count("*")).alias("recall"))
+
+
+@query(f"""WITH {_HITS} SELECT CAST(rank AS BIGINT) AS rank, round(1 - score, 6) AS similarity, coalesce(file_path, '') AS file_path, coalesce(citation_url, '') AS citation_url,
+           CASE WHEN length(coalesce(content_text, '')) > 400 THEN substr(content_text, 1, 400) || '...' ELSE coalesce(content_text, '') END AS content_text FROM ranked""")
+def legacy_search(spark, sf):
+    out = search.legacy_results(_hits(spark, sf))
+    return out.withColumn("similarity", F.round("similarity", 6)).withColumn("rank", F.col("rank").cast("long"))
+
+
+_OVERLAP = f"""len(list_intersect({_STEMS % f"'{QUESTION}'"}, {_STEMS % "concat_ws(' ', coalesce(citation_url, ''), coalesce(file_path, ''))"}))"""
+_BEST = f"""best AS (SELECT *, {_OVERLAP} AS overlap FROM ranked WHERE coalesce(citation_url, '') <> '' OR coalesce(file_path, '') <> ''
+            ORDER BY overlap DESC, score DESC, rank LIMIT 1)"""
+
+
+@query(f"WITH {_HITS}, {_BEST} SELECT id, file_path, CAST(overlap AS BIGINT) AS overlap, round(score, 6) AS score FROM best")
+def rerank_top_document(spark, sf):
+    best = search.top_document(_hits(spark, sf), QUESTION)
+    return best.select("id", "file_path", _long("overlap"), F.round("score", 6).alias("score"))
+
+
+_CONTEXT = f"""pieces AS (SELECT DISTINCT %(by)s AS doc, chunk_index, {_TRIM % "coalesce(content_text, '')"} AS content FROM docs_chunks),
+taken AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY chunk_index, content) AS nth FROM pieces WHERE content <> ''),
+roomy AS (SELECT *, 24000 - coalesce(sum(length(content) + 2) OVER (PARTITION BY doc ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM taken WHERE nth <= 20),
+contexts AS (SELECT doc, string_agg(substr(content, 1, CAST(room AS BIGINT)), chr(10) || chr(10) ORDER BY nth) AS context, count(*) AS n_chunks FROM roomy WHERE room > 0 GROUP BY doc)"""
+
+
+@query(f"WITH {_CONTEXT % {'by': 'file_unique_id'}} SELECT doc AS file_unique_id, context, n_chunks FROM contexts WHERE doc IS NOT NULL")
+def document_contexts(spark, sf):
+    """The bounded context of every stored document."""
+    chunks = table(spark, sf, "docs_chunks").where("file_unique_id is not null")
+    return search.budgeted_context(chunks, ["file_unique_id"]).select("file_unique_id", "context", "n_chunks")
+
+
+@query(f"""WITH {_HITS}, {_BEST}, {_CONTEXT % {'by': 'file_path'}}
+           SELECT '### Result 1 (score: ' || printf('%.4f', score) || ')' || chr(10) || '**Source:** ' || coalesce(citation_url, '') || chr(10) || '**File:** ' || coalesce(file_path, '')
+                  || chr(10) || chr(10) || coalesce(context, content_text, '') || chr(10) AS output
+           FROM best LEFT JOIN contexts ON doc = file_path""")
+def search_docs(spark, sf):
+    found = search.search_docs(_with_vectors(spark, sf, "docs_chunks"), QUESTION, _question_vector(spark, sf), 10)
+    return search.rendered(found, "docs")
+
+
+@query(f"""WITH pool AS (SELECT i.*, v.embedding FROM issues_data i JOIN embeddings v ON i.id = v.vec_id WHERE repo_name = 'kelpstack/lineage' AND issue_state = 'open'),
+           hits AS (SELECT pool.*, {_COSINE} AS score FROM pool, {_QUERY} q ORDER BY score DESC, id LIMIT 5),
+           ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM hits)
+           SELECT coalesce(string_agg('### Result ' || rank || ' (score: ' || printf('%.4f', score) || ')' || chr(10) || '**Source:** ' || coalesce(url, '') || chr(10) || '**Repo:** ' || repo_name
+             || CASE WHEN coalesce(issue_number, 0) <> 0 THEN chr(10) || '**Issue:** #' || issue_number ELSE '' END || ' (open)'
+             || CASE WHEN coalesce(issue_labels, '') <> '' THEN chr(10) || '**Labels:** ' || issue_labels ELSE '' END
+             || chr(10) || chr(10) || coalesce(body, '') || chr(10), chr(10) || '---' || chr(10) ORDER BY rank), 'No issues found for your query.') AS output FROM ranked""")
+def search_issues(spark, sf):
+    corpus = _with_vectors(spark, sf, "issues_data").withColumn("content_text", F.col("body")).withColumn("citation_url", F.col("url"))
+    found = search.search_issues(corpus, _question_vector(spark, sf), 5, "kelpstack/lineage", "open")
+    return search.rendered(found, "issues")
+
+
+@query()
+def search_code(spark, sf):
+    """Nearest code chunks of one resource kind, by hashed vectors of all chunks."""
+    chunks = ingest.source_chunks(table(spark, sf, "code_data"))
+    stored = embedding.embedded(chunks, "content_text", embedding.hashing_provider(64)).withColumnRenamed("embedding", "vector").withColumn("id", F.xxhash64("id", "chunk_index"))
+    asked = embedding.hashing_provider(64)()([QUESTION])[0]
+    return search.rendered(search.search_code(stored, [float(x) for x in asked], 5, "Notebook"), "code")
+
+
+# --- cleaning, citations, issue text ----------------------------------------
+
+_FENCE = r"(?:\r?\n|$)"
+_STEPS_SQL = {
+    "template": r"regexp_replace(%s, '(?s)\{\{.*?\}\}', '', 'g')",
+    "comment": r"regexp_replace(%s, '(?s)<!--.*?-->', '', 'g')",
+    "tag": r"regexp_replace(%s, '<[^>]+>', ' ', 'g')",
+    "navigation": r"regexp_replace(%s, '(?i)\b(?:Get Started|Contribute|GenAI|Home|Menu|Navigation)\b', '', 'g')",
+    "link_nested": r"regexp_replace(%s, '\[([^\]]+)\]\((?:[^()]|\([^()]*\))*\)', '\1', 'g')",
+    "link_plain": r"regexp_replace(%s, '\[([^\]]+)\]\([^)]+\)', '\1', 'g')",
+    "url": rf"regexp_replace(%s, 'https?://[^{_WS[1:-1]}]+', '', 'g')",
+    "blanks": r"regexp_replace(%s, '[ \t]+', ' ', 'g')",
+    "lines": r"regexp_replace(%s, '\n[ \t]*\n(?:[ \t]*\n)+', chr(10) || chr(10), 'g')",
+    "flat": rf"regexp_replace(%s, '{_WS}+', ' ', 'g')",
+    "strip": _TRIM,
+    # Two patterns, since this dialect has no reference to an earlier group.
+    "front_page": rf"regexp_replace(%s, '(?s)\A[ \t]*(?:---[ \t]*\r?\n(?:.*?\n)??[ \t]*---[ \t]*(?:\r?\n|\z)|\+\+\+[ \t]*\r?\n(?:.*?\n)??[ \t]*\+\+\+[ \t]*(?:\r?\n|\z))', '')",
+}
+
+
+def _sql_chain(column: str, steps: list[str]) -> str:
+    for step in steps:
+        column = _STEPS_SQL[step].replace("%s", column)
+    return column
+
+
+@query(f"SELECT id, {_sql_chain('content', ['front_page', 'template', 'comment', 'tag', 'navigation', 'link_nested', 'url', 'blanks', 'lines', 'strip'])} AS clean FROM github_data")
+def clean_page(spark, sf):
+    return table(spark, sf, "github_data").select("id", cleaning.clean_page(F.col("content")).alias("clean"))
+
+
+@query()
+def clean_flat(spark, sf):
+    return table(spark, sf, "github_data").select("id", cleaning.clean_flat(F.col("content")).alias("clean"))
+
+
+@query()
+def clean_incremental(spark, sf):
+    return table(spark, sf, "github_data").select("id", cleaning.clean_incremental(F.col("content")).alias("clean"))
+
+
+@query(f"SELECT id, {_STEPS_SQL['front_page'].replace('%s', 'content')} AS body FROM github_data")
+def front_matter_strip(spark, sf):
+    return table(spark, sf, "github_data").select("id", cleaning.strip_front_matter(F.col("content")).alias("body"))
+
+
+@query(f"SELECT id, {_sql_chain('content', ['comment', 'tag'])} AS body FROM github_data")
+def html_strip_tags(spark, sf):
+    return table(spark, sf, "github_data").select("id", cleaning.strip_tags(cleaning.strip_comments(F.col("content"))).alias("body"))
+
+
+@query("""SELECT id, replace(replace(replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#039;') AS escaped FROM github_data""")
+def html_escaped(spark, sf):
+    return table(spark, sf, "github_data").select("id", text.html_escape(F.col("content")).alias("escaped"))
+
+
+@query()
+def html_to_plain(spark, sf):
+    pages = table(spark, sf, "github_data").where(F.col("path").endswith(".html"))
+    return pages.select("id", html_to_text("content").alias("plain"))
+
+
+@query()
+def comments_as_html(spark, sf):
+    rows = table(spark, sf, "issues_data").select("id", F.posexplode("comments").alias("position", "comment"))
+    return rows.select("id", "position", markdown_to_html("comment.body").alias("html"))
+
+
+_DOCS_CITATION = f"""'{BASE_URL}/' || CASE WHEN contains(path, 'content/en/docs') AND list_position(string_split(path, '/'), 'docs') > 0
+  THEN regexp_replace(array_to_string(list_slice(string_split(path, '/'), list_position(string_split(path, '/'), 'docs') + 1, len(string_split(path, '/'))), '/'), '([^/.][^/]*)\\.[^./]*$', '\\1')
+  ELSE path END"""
+
+
+@query(f"SELECT id, {_DOCS_CITATION} AS citation_url, 'tidegrid/website:' || path AS file_unique_id FROM github_data")
+def docs_citations(spark, sf):
+    path = F.col("path")
+    return table(spark, sf, "github_data").select(
+        "id", text.docs_citation(path, BASE_URL).alias("citation_url"), text.file_unique_id(F.lit("tidegrid/website"), path).alias("file_unique_id")
+    )
+
+
+@query("""SELECT id, substr(coalesce(nullif(citation_url, ''), 'https://github.com/' || repo || '/blob/main/' || path), 1, 1024) AS citation_url, repo || ':' || path AS file_unique_id,
+                 substr(content, 1, 2000) AS content_text, substr(file_name, 1, 256) AS file_name FROM code_data""")
+def code_fields(spark, sf):
+    c = F.col
+    return table(spark, sf, "code_data").select(
+        "id", F.substring(text.code_citation(c("citation_url"), c("repo"), c("path")), 1, 1024).alias("citation_url"), text.file_unique_id(c("repo"), c("path")).alias("file_unique_id"),
+        F.substring("content", 1, 2000).alias("content_text"), F.substring("file_name", 1, 256).alias("file_name"),
+    )
+
+
+@query(r"""SELECT id, regexp_matches(path, '(^|/)(Dockerfile|Makefile|Kustomization)$') OR (contains(file_name, '.') AND lower(string_split(file_name, '.')[-1]) IN ('yaml', 'yml', 'py', 'go', 'json', 'sh', 'ts', 'js', 'md')) AS is_code,
+                  ends_with(path, '.md') OR ends_with(path, '.html') AS is_doc FROM code_data""")
+def path_kinds(spark, sf):
+    return table(spark, sf, "code_data").select("id", is_code(F.col("file_name")).alias("is_code"), is_doc(F.col("path")).alias("is_doc"))
+
+
+_COMMENT_SQL = "'**Comment by @' || coalesce(c.author, 'unknown') || '** (' || coalesce(c.created_at, '') || '):' || chr(10) || coalesce(c.body, '')"
+
+
+@query(f"""SELECT id, '# ' || coalesce(title, '') || chr(10) || chr(10) || '**Repository:** ' || coalesce(repo_name, '') || chr(10) || '**Issue:** #' || coalesce(issue_number, 0)
+             || chr(10) || '**URL:** ' || coalesce(url, '') || chr(10) || '**Labels:** ' || coalesce(issue_labels, '') || chr(10) || '**State:** ' || coalesce(issue_state, '')
+             || chr(10) || '**Created:** ' || coalesce(created_at, '') || chr(10) || '**Updated:** ' || coalesce(updated_at, '') || chr(10) || chr(10) || coalesce(body, '')
+             || coalesce(array_to_string(list_transform(comments, lambda c: chr(10) || chr(10) || '---' || chr(10) || {_COMMENT_SQL}), ''), '') AS markdown FROM issues_data""")
+def issue_markdown(spark, sf):
+    c = [F.col(n) for n in ("title", "repo_name", "issue_number", "url", "issue_labels", "issue_state", "created_at", "updated_at", "body", "comments")]
+    return table(spark, sf, "issues_data").select("id", text.issue_markdown(*c).alias("markdown"))
+
+
+_META_SQL = f"""meta AS (SELECT id, content,
+  (issue_number IS NOT NULL OR coalesce(title, '') <> '' OR coalesce(repo_name, '') <> '' OR coalesce(issue_state, '') <> '') AS s,
+  {_TRIM % "coalesce(title, '')"} AS t1, {_TRIM % "regexp_extract(coalesce(content, ''), '(?m)^#\\s+(.+)', 1)"} AS t2,
+  {_TRIM % "coalesce(repo_name, '')"} AS r1, {_TRIM % "regexp_extract(coalesce(content, ''), '\\*\\*Repository:\\*\\*\\s*(.+)', 1)"} AS r2,
+  coalesce(issue_number, 0) AS n1, coalesce(try_cast(nullif(regexp_extract(coalesce(content, ''), '\\*\\*Issue:\\*\\*\\s*#(\\d+)', 1), '') AS BIGINT), 0) AS n2,
+  {_TRIM % "coalesce(issue_state, '')"} AS s1, regexp_extract(coalesce(content, ''), '\\*\\*State:\\*\\*\\s*(\\w+)', 1) AS s2,
+  {_TRIM % "coalesce(issue_labels, '')"} AS l1, {_TRIM % "regexp_extract(coalesce(content, ''), '\\*\\*Labels:\\*\\*[ \\t]*(.*)', 1)"} AS l2,
+  {_TRIM % "coalesce(url, '')"} AS u1, {_TRIM % "regexp_extract(coalesce(content, ''), '\\*\\*URL:\\*\\*\\s*(.+)', 1)"} AS u2 FROM issues_data),
+resolved AS (SELECT id, CASE WHEN s THEN t1 ELSE t2 END AS title, CASE WHEN s THEN r1 ELSE r2 END AS repo_name, CASE WHEN s THEN n1 ELSE n2 END AS issue_number,
+  CASE WHEN s THEN s1 ELSE s2 END AS issue_state, CASE WHEN s THEN l1 ELSE l2 END AS issue_labels, CASE WHEN s THEN u1 ELSE u2 END AS citation_url FROM meta)"""
+
+
+def _issue_meta(df: DataFrame) -> DataFrame:
+    c = [F.col(n) for n in ("title", "repo_name", "issue_number", "issue_state", "issue_labels", "url", "content")]
+    return df.withColumn("meta", text.issue_metadata(*c))
+
+
+@query(f"""WITH {_META_SQL} SELECT *, title = '' AND repo_name = '' AND issue_number = 0 AND issue_state = '' AND issue_labels = '' AND citation_url = '' AS is_empty FROM resolved""")
+def issue_metadata(spark, sf):
+    return _issue_meta(table(spark, sf, "issues_data")).select("id", "meta.*", text.is_empty_metadata(F.col("meta")).alias("is_empty"))
+
+
+@query(f"""WITH {_META_SQL} SELECT id, '[Issue #' || issue_number || '] ' || title || CASE WHEN repo_name <> '' THEN ' | Repo: ' || repo_name ELSE '' END
+             || CASE WHEN issue_state <> '' THEN ' | State: ' || issue_state ELSE '' END || CASE WHEN issue_labels <> '' THEN ' | Labels: ' || issue_labels ELSE '' END
+             || chr(10) || chr(10) AS prefix FROM resolved""")
+def issue_prefix(spark, sf):
+    return _issue_meta(table(spark, sf, "issues_data")).select("id", text.issue_prefix(F.col("meta")).alias("prefix"))
+
+
+@query()
+def issue_segments(spark, sf):
+    names = ("title", "repo_name", "issue_number", "url", "issue_labels", "issue_state", "created_at", "updated_at", "body", "comments", "content")
+    cut = table(spark, sf, "issues_data").select("id", text.issue_segments(*[F.col(n) for n in names]).alias("segments"))
+    return cut.select("id", F.posexplode("segments").alias("segment_no", "segment"))
+
+
+@query("""SELECT trim(label) AS label, count(*) AS n, count(DISTINCT repo_name) AS n_repos FROM (
+            SELECT repo_name, unnest(string_split(issue_labels, ',')) AS label FROM issues_data) WHERE trim(label) <> '' GROUP BY 1""")
+def issue_label_counts(spark, sf):
+    labels = table(spark, sf, "issues_data").select("repo_name", F.explode(F.split("issue_labels", ",")).alias("label"))
+    return labels.select("repo_name", F.trim("label").alias("label")).where("label <> ''").groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("repo_name").alias("n_repos"))
+
+
+# --- chunking ---------------------------------------------------------------
+
+
+@query()
+def page_chunks(spark, sf):
+    return ingest.page_chunks(table(spark, sf, "github_data"), F.lit("tidegrid/website"), BASE_URL)
+
+
+@query()
+def changed_page_chunks(spark, sf):
+    """Chunks as the incremental pipeline makes them, with its own cleaner and size."""
+    return ingest.page_chunks(table(spark, sf, "github_data"), F.lit("tidegrid/website"), BASE_URL, cleaning.clean_incremental, ingest.CHANGED_PAGE)
+
+
+@query()
+def thread_chunks(spark, sf):
+    return ingest.thread_chunks(table(spark, sf, "issues_data"))
+
+
+@query()
+def source_chunks(spark, sf):
+    return ingest.source_chunks(table(spark, sf, "code_data"))
+
+
+@query()
+def resource_counts(spark, sf):
+    chunks = ingest.source_chunks(table(spark, sf, "code_data"))
+    return chunks.groupBy("file_type", "resource_kind").agg(F.count("*").alias("n"), F.count_distinct("file_unique_id").alias("n_files"))
+
+
+@query()
+def embedded_chunks(spark, sf):
+    """Every stored chunk with a hashed vector; the length of each vector is 1 or 0."""
+    rows = embedding.embedded(table(spark, sf, "docs_chunks").select("id", "content_text"), "content_text", embedding.hashing_provider(64), dim=64)
+    return rows.select("id", F.size("embedding").alias("dim"), F.round(F.sqrt(search.dot(F.col("embedding"), F.col("embedding"))), 4).alias("norm"))
+
+
+@query("""SELECT repo_name, file_path, count(*) AS n_chunks, round(avg(length(content_text)), 4) AS avg_chars, sum(length(content_text)) AS chars, max(chunk_index) AS last_index
+          FROM docs_chunks GROUP BY repo_name, file_path""")
+def chunk_stats(spark, sf):
+    length = F.length("content_text")
+    return table(spark, sf, "docs_chunks").groupBy("repo_name", "file_path").agg(
+        F.count("*").alias("n_chunks"), F.round(F.avg(length), 4).alias("avg_chars"), F.sum(length.cast("long")).alias("chars"), F.max("chunk_index").alias("last_index")
+    )
+
+
+# --- store ------------------------------------------------------------------
+
+_COLS = "id, file_unique_id, repo_name, file_path, chunk_index, content_text, last_updated"
+
+
+def _stored_and_late(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Chunks with a load time are stored; those without come in late."""
+    rows = table(spark, sf, "docs_chunks").select(*_COLS.split(", "))
+    return rows.where("last_updated is not null"), rows.where("last_updated is null")
+
+
+@query(f"""SELECT {_COLS} FROM docs_chunks d WHERE last_updated IS NULL UNION ALL
+           SELECT {_COLS} FROM docs_chunks d WHERE last_updated IS NOT NULL AND NOT EXISTS (SELECT 1 FROM docs_chunks n WHERE n.last_updated IS NULL AND n.file_unique_id = d.file_unique_id)""")
+def upsert_by_file(spark, sf):
+    stored, late = _stored_and_late(spark, sf)
+    return store.replaced(stored, late, ["file_unique_id"]).select(*_COLS.split(", "))
+
+
+@query(f"""SELECT {_COLS} FROM docs_chunks d WHERE last_updated IS NULL UNION ALL
+           SELECT {_COLS} FROM docs_chunks d WHERE last_updated IS NOT NULL AND NOT EXISTS (SELECT 1 FROM docs_chunks n WHERE n.last_updated IS NULL AND n.repo_name = d.repo_name AND n.file_path = d.file_path)""")
+def upsert_by_path(spark, sf):
+    stored, late = _stored_and_late(spark, sf)
+    return store.replaced(stored, late, ["repo_name", "file_path"]).select(*_COLS.split(", "))
+
+
+@query("""SELECT id, file_unique_id, file_path FROM docs_chunks WHERE file_path IS NULL OR file_path NOT IN (
+            SELECT path FROM github_data WHERE path IS NOT NULL GROUP BY path HAVING count(*) > 1)""")
+def delete_changed(spark, sf):
+    """Stored chunks without those of pages that were fetched again."""
+    again = table(spark, sf, "github_data").where("path is not null").groupBy(F.col("path").alias("file_path")).count().where("count > 1")
+    return store.deleted(table(spark, sf, "docs_chunks").select("id", "file_unique_id", "file_path"), again, ["file_path"])
+
+
+@query("""SELECT file_unique_id, chunk_index, id, last_updated FROM docs_chunks
+          QUALIFY row_number() OVER (PARTITION BY file_unique_id, chunk_index ORDER BY last_updated DESC NULLS LAST, id DESC) = 1""")
+def latest_chunks(spark, sf):
+    rows = table(spark, sf, "docs_chunks").select("file_unique_id", "chunk_index", "id", "last_updated")
+    return store.latest(rows, ["file_unique_id", "chunk_index"], [F.coalesce("last_updated", F.lit(-(2**62))), F.col("id")])
+
+
+@query("""SELECT path FROM (SELECT path FROM github_data UNION SELECT file_path FROM docs_chunks) WHERE ends_with(path, '.md') OR ends_with(path, '.html')""")
+def changed_files_union(spark, sf):
+    paths = table(spark, sf, "github_data").select("path").unionByName(table(spark, sf, "docs_chunks").select(F.col("file_path").alias("path")))
+    return paths.where(is_doc(F.col("path"))).distinct()
+
+
+@query("""SELECT repo_name, count(DISTINCT file_path) AS n_files, string_agg(DISTINCT file_path, ',' ORDER BY file_path) AS files FROM docs_chunks GROUP BY repo_name""")
+def files_by_repo(spark, sf):
+    """File lists of each repository; the paths are distinct before they are gathered."""
+    distinct = table(spark, sf, "docs_chunks").select("repo_name", "file_path").distinct()
+    return distinct.groupBy("repo_name").agg(F.count("file_path").alias("n_files"), F.array_join(F.array_sort(F.collect_list("file_path")), ",").alias("files"))
+
+
+@query("SELECT DISTINCT repo_name, file_path FROM docs_chunks WHERE file_path IS NOT NULL")
+def distinct_keys(spark, sf):
+    return table(spark, sf, "docs_chunks").where("file_path is not null").select("repo_name", "file_path").distinct()
+
+
+@query("""SELECT 'docs_chunks' AS collection, count(*) AS n FROM docs_chunks UNION ALL SELECT 'issues_data', count(*) FROM issues_data
+          UNION ALL SELECT 'code_data', count(*) FROM code_data UNION ALL SELECT 'github_data', count(*) FROM github_data""")
+def entity_counts(spark, sf):
+    parts = [table(spark, sf, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("collection"), "n") for n in ("docs_chunks", "issues_data", "code_data", "github_data")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("""SELECT id, repo_name, issue_number FROM issues_data WHERE repo_name IS NOT NULL
+          QUALIFY row_number() OVER (PARTITION BY repo_name ORDER BY issue_number, id) <= 25""")
+def capped_issues(spark, sf):
+    """The limit of records of each repository is the operator itself."""
+    issues = table(spark, sf, "issues_data").where("repo_name is not null").select("id", "repo_name", "issue_number")
+    return capped_per_repo(issues, "repo_name", [F.col("issue_number").asc_nulls_last(), F.col("id")], 25)
+
+
+@query("""SELECT repo_name, issue_number, id, issue_state, updated_at FROM issues_data WHERE repo_name IS NOT NULL AND issue_number IS NOT NULL
+          QUALIFY row_number() OVER (PARTITION BY repo_name, issue_number ORDER BY id DESC) = 1""")
+def latest_issues(spark, sf):
+    rows = table(spark, sf, "issues_data").where("repo_name is not null and issue_number is not null")
+    return store.latest(rows.select("repo_name", "issue_number", "id", "issue_state", "updated_at"), ["repo_name", "issue_number"], [F.col("id")])
+
+
+# --- evaluation -------------------------------------------------------------
+
+
+@query(f"""WITH out AS (SELECT repo_name, string_agg('**Source:** ' || citation_url, chr(10) ORDER BY id) AS output FROM docs_chunks WHERE citation_url <> '' AND last_updated IS NOT NULL GROUP BY 1),
+           want AS (SELECT repo_name, list_sort(list_distinct(list(citation_url))) AS expected FROM docs_chunks WHERE citation_url LIKE 'http%' GROUP BY 1)
+           SELECT repo_name, CAST(len(expected) AS BIGINT) AS n_expected,
+                  CAST(len(list_filter(expected, lambda u: NOT list_contains(coalesce(regexp_extract_all(output, '(?m)^\\*\\*Source:\\*\\*\\s+(https?://\\S+)\\s*$', 1), []), u))) AS BIGINT) AS n_missing,
+                  len(list_filter(expected, lambda u: NOT list_contains(coalesce(regexp_extract_all(output, '(?m)^\\*\\*Source:\\*\\*\\s+(https?://\\S+)\\s*$', 1), []), u))) = 0 AS passed
+           FROM want LEFT JOIN out USING (repo_name) WHERE repo_name IS NOT NULL""")
+def gate1_score(spark, sf):
+    """Does what each repository's dated chunks cite cover all that it should cite?"""
+    chunks = table(spark, sf, "docs_chunks").where("repo_name is not null")
+    line = F.struct("id", F.concat(F.lit("**Source:** "), F.col("citation_url")).alias("l"))
+    shown = chunks.where("citation_url <> '' and last_updated is not null").groupBy("repo_name").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"]), "\n").alias("output")
+    )
+    wanted = chunks.where("citation_url like 'http%'").select("repo_name", "citation_url").distinct().groupBy("repo_name").agg(F.collect_list("citation_url").alias("expected_source_urls"))
+    rows = wanted.join(shown, "repo_name", "left").withColumn("must_appear_in_answer", F.array().cast("array<string>"))
+    scored = evaluation.retrieval_gate(rows)
+    return scored.select("repo_name", F.size("expected_source_urls").cast("long").alias("n_expected"), F.size("missing_sources").cast("long").alias("n_missing"), "passed")
+
+
+@query(r"""WITH a AS (SELECT id, coalesce(body, '') AS answer, url, coalesce(len(comments), 0) > 0 AS fired FROM issues_data),
+           u AS (SELECT *, list_distinct(list_concat(regexp_extract_all(answer, '\[[^\]]*\]\((https?://[^)\s]+)\)', 1),
+                   list_transform(regexp_extract_all(answer, 'https?://[^\s)\]>"'']+'), lambda x: regexp_replace(x, '[.,;:)]+$', '')))) AS cited FROM a)
+           SELECT id, CAST(len(cited) AS BIGINT) AS n_cited, CAST(len(list_filter(cited, lambda x: url IS NULL OR x <> url)) AS BIGINT) AS n_invented,
+                  fired AND len(list_filter(cited, lambda x: url IS NULL OR x <> url)) = 0 AND contains(answer, '.') AND NOT contains(answer, 'password') AS passed FROM u""")
+def gate2_score(spark, sf):
+    """Bodies as answers: only the issue's own address may be cited."""
+    c = F.col
+    rows = table(spark, sf, "issues_data").select(
+        "id", c("body").alias("answer"), (F.coalesce(F.size("comments"), F.lit(0)) > 0).alias("tool_fired"), F.array_compact(F.array("url")).alias("allowed_urls"),
+        F.array(F.lit(".")).alias("must_appear_in_answer"), F.array(F.lit("password")).alias("forbidden_in_answer"),
+    )
+    scored = evaluation.answer_gate(rows)
+    return scored.select("id", F.size("cited_urls").cast("long").alias("n_cited"), F.size("invented_urls").cast("long").alias("n_invented"), "passed")
+
+
+# --- threads, chats, events -------------------------------------------------
+
+
+def _flat_comments(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "issues_data").select("id", F.posexplode("comments").alias("position", "c"))
+    return rows.select("id", "position", "c.author", "c.created_at", "c.body")
+
+
+@query("""SELECT id, CAST(len(comments) AS BIGINT) AS n_comments, array_to_string(list_transform(comments, lambda c: coalesce(c.author, 'unknown')), ',') AS authors FROM issues_data WHERE len(comments) > 0""")
+def comments_nested(spark, sf):
+    nested = nested_comments(_flat_comments(spark, sf), ["id"])
+    return nested.select("id", F.size("comments").cast("long").alias("n_comments"), F.array_join(F.transform("comments", lambda c: c["author"]), ",").alias("authors"))
+
+
+def _turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Threads as chats: the body is the user's turn, comments answer."""
+    issues = table(spark, sf, "issues_data")
+    first = issues.select("id", F.lit(0).alias("turn"), F.lit("user").alias("role"), F.col("body").alias("content"))
+    return first.unionByName(_flat_comments(spark, sf).select("id", (F.col("position") + 1).alias("turn"), F.lit("assistant").alias("role"), F.col("body").alias("content")))
+
+
+@query("""SELECT id, 'User: ' || coalesce(body, '') || coalesce(array_to_string(list_transform(comments, lambda c: chr(10) || chr(10) || 'Assistant: ' || coalesce(c.body, '')), ''), '') AS transcript,
+                 CAST(1 + coalesce(len(comments), 0) AS BIGINT) AS n_turns FROM issues_data""")
+def transcripts(spark, sf):
+    return chat.transcripts(_turns(spark, sf), ["id"], "turn", "role", "content")
+
+
+@query(r"""SELECT id, array_to_string(list_slice(regexp_split_to_array(trim(body, ' '), '[ \t\n\x0b\f\r]+'), 1, 3), ' ') AS name FROM issues_data""")
+def chat_names(spark, sf):
+    return chat.chat_names(_turns(spark, sf), ["id"], "turn", "role", "content")
+
+
+@query("""SELECT repo_name, array_to_string(list(citation_url ORDER BY first_id), ',') AS citations FROM (
+            SELECT repo_name, citation_url, min(id) AS first_id FROM docs_chunks WHERE citation_url <> '' GROUP BY 1, 2) GROUP BY repo_name""")
+def citations_ordered(spark, sf):
+    """First appearance is found by a partial aggregate before addresses are gathered."""
+    first = table(spark, sf, "docs_chunks").where("citation_url <> ''").groupBy("repo_name", "citation_url").agg(F.min("id").alias("rank"))
+    found = chat.ordered_citations(first, ["repo_name"], "rank", "citation_url")
+    return found.select("repo_name", F.array_join("citations", ",").alias("citations"))
+
+
+@query("""SELECT date_trunc('minute', ts) AS minute, count(*) AS requests, least(count(*), 60) AS accepted, count(*) - least(count(*), 60) AS rejected FROM events GROUP BY 1""")
+def rate_limit_global(spark, sf):
+    return sessions.global_limit(table(spark, sf, "events"), "ts", "event_id")
+
+
+@query("""SELECT date_trunc('minute', ts) AS minute, user_id, count(*) AS requests, least(count(*), 10) AS accepted FROM events GROUP BY 1, 2""")
+def rate_limit_per_user(spark, sf):
+    return sessions.client_limit(table(spark, sf, "events"), "ts", "user_id")
+
+
+@query("""WITH m AS (SELECT *, max(CASE WHEN event_type = 'view' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS minted_at FROM events)
+          SELECT event_id, user_id, coalesce(epoch_us(ts) - epoch_us(minted_at) < 1800000000, false) AS valid,
+                 coalesce(epoch_us(ts) - epoch_us(minted_at) BETWEEN 1740000000 AND 1799999999, false) AS refresh FROM m""")
+def session_expiry(spark, sf):
+    out = sessions.minted(table(spark, sf, "events"), "ts", "user_id", F.col("event_type") == "view")
+    return out.select("event_id", "user_id", "valid", F.coalesce("refresh", F.lit(False)).alias("refresh"))
+
+
+def _event_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as the lines of one event stream for each user."""
+    lines = F.array(F.lit(": ping"), F.concat(F.lit("data: "), F.col("event_type")), F.concat(F.lit("data: "), F.col("props")), F.lit(""))
+    rows = table(spark, sf, "events").select("user_id", "event_id", F.posexplode(lines).alias("p", "line"))
+    return rows.withColumn("line_no", F.col("event_id") * 4 + F.col("p"))
+
+
+@query("""SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS frame, event_type || chr(10) || props AS data FROM events""")
+def sse_frames(spark, sf):
+    return chat.frames(_event_lines(spark, sf), "user_id", "line_no", "line")
+
+
+@query("""SELECT user_id, CAST(day(ts) AS BIGINT) AS call, max_by(event_type, event_id) FILTER (value > 20) AS name, string_agg(props, '' ORDER BY event_id) AS arguments, count(*) AS n_fragments FROM events GROUP BY 1, 2""")
+def tool_call_fold(spark, sf):
+    deltas = table(spark, sf, "events").withColumn("call", F.dayofmonth("ts").cast("long")).withColumn("name", F.when(F.col("value") > 20, F.col("event_type")))
+    return chat.tool_calls(deltas, ["user_id", "call"], "event_id", "name", "props")
+
+
+@query("""SELECT event_type, count(*) AS n, round(avg(CAST(json_extract(props, '$.k') AS DOUBLE)), 6) AS avg_k, round(sum(value), 2) AS total FROM events GROUP BY 1""")
+def event_props(spark, sf):
+    k = F.get_json_object("props", "$.k").cast("double")
+    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg(k), 6).alias("avg_k"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("""SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2""")
+def stream_hourly(spark, sf):
+    """The same counts by a stream over the event table, run until it is drained."""
+    events = table(spark, sf, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parquet*")
+    base = f"{shared_dir(spark)}/docloom/stream-{uuid.uuid4().hex}"
+    done = sessions.drained(sessions.windowed_stream(stream, "ts", ["event_type"]), f"{base}/out", f"{base}/state", "complete")
+    return done.select(F.unix_micros("start").alias("start_us"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+# --- generic queries over the star schema -----------------------------------
+
+
+@query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n
+          FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
+def pricing_summary(spark, sf):
+    rows = table(spark, sf, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(
+        F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n")
+    )
+
+
+@query("""SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(DISTINCT o_orderkey) AS orders FROM lineitem
+          JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
+def nation_revenue(spark, sf):
+    t = lambda n: table(spark, sf, n)
+    joined = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count_distinct("o_orderkey").alias("orders"))
+
+
+@query()
+def store_round_trip(spark, sf):
+    """Chunks through a stored collection, written twice; the second write changes nothing."""
+    from docloom import schema as S
+
+    chunks = ingest.page_chunks(table(spark, sf, "github_data"), F.lit("tidegrid/website"), BASE_URL).drop("id")
+    spec = S.CollectionSpec("docs", S.DOCS.strings, S.DOCS.longs, dim=64)
+    collection = store.Collection(spark, f"{shared_dir(spark)}/docloom/store-{uuid.uuid4().hex}", spec)
+    rows = materialize(chunks, "chunks")
+    for epoch in (1, 2):
+        ingest.store_pages(collection, rows, embedding.hashing_provider(64), epoch)
+    return collection.read().groupBy("repo_name").agg(F.count("*").alias("n"), F.count_distinct("file_path").alias("n_files"), F.min("last_updated").alias("oldest"))
