@@ -136,8 +136,8 @@ def postings(df: DataFrame, key: str, text: str, trigrams: set[str]) -> DataFram
 def candidates(df: DataFrame, key: str, text: str, patterns: list[str]) -> DataFrame:
     """``key`` and ``chunks``, the chunk numbers on which some pattern may match.
 
-    Postings are intersected per chunk by counting: a chunk is a candidate if it
-    has all trigrams of one alternative.  The table of alternatives depends on the
+    Postings are intersected per chunk: a chunk is a candidate if it has all
+    trigrams of one alternative.  Rows with the same key are looked at together.  The table of alternatives depends on the
     patterns only, so it is broadcast.
     """
     sets = sorted({s for p in patterns for s in required_trigrams(re.compile(p).pattern)}, key=sorted)
@@ -145,7 +145,9 @@ def candidates(df: DataFrame, key: str, text: str, patterns: list[str]) -> DataF
     if not all(sets):
         raise ValueError("a pattern has an alternative without any required trigram")
     spark = df.sparkSession
-    needs = spark.createDataFrame([(i, _code(t), len(s)) for i, s in enumerate(sets) for t in sorted(s)], "need int, trigram int, n int")
+    # One bit for each trigram of an alternative, so that repeated postings count once.
+    wide = [(i, sorted(s)[:62]) for i, s in enumerate(sets)]
+    needs = spark.createDataFrame([(i, _code(t), 1 << b, (1 << len(s)) - 1) for i, s in wide for b, t in enumerate(s)], "need int, trigram int, bit long, full long")
     index = postings(df, key, text, {t for s in sets for t in s})
-    held = index.join(F.broadcast(needs), "trigram").groupBy("key", "chunk", "need", "n").agg(F.count("*").alias("have")).where("have = n")
+    held = index.join(F.broadcast(needs), "trigram").groupBy("key", "chunk", "need", "full").agg(F.bit_or("bit").alias("have")).where("have = full")
     return held.groupBy("key").agg(F.sort_array(F.collect_set("chunk")).alias("chunks"))
