@@ -74,7 +74,7 @@ def webhook_changes(commits: DataFrame) -> DataFrame:
 
 def scans(repos: str, directories: str, spark: SparkSession) -> DataFrame:
     """Every repository with every directory of two comma lists; bad names left out."""
-    parts = lambda text, name: F.explode(F.filter(F.transform(F.split(F.lit(text), ","), F.trim), lambda x: x != "")).alias(name)
+    parts = lambda text, name: F.explode(F.filter(F.transform(F.split(F.lit(text), ","), lambda x: F.trim(x)), lambda x: x != "")).alias(name)
     one = spark.range(1)
     return one.select(parts(repos, "repo")).where(is_repository(F.col("repo"))).select("repo", parts(directories, "directory"))
 
