@@ -66,7 +66,7 @@ _url_password, _dsn_password = re.compile(URL_PASSWORD, re.I), re.compile(DSN_PA
 
 _VALUE = r"""(?P<q>["'`])(?P<v>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)"""
 #: key, sign, quoted value: assignments, entries, arguments, calls such as Set("key", "value").
-_QUOTED = re.compile(rf"""(?P<k>[\w.$-]*{SECRET_WORD}[\w.-]*)\s*["'`]?\]?\)?\s*(?::=|\?=|=>|==?|:|,)\s*[a-zA-Z]?{_VALUE}""", re.I)
+_QUOTED = re.compile(rf"""(?<![\w.$-])(?P<k>[\w.$-]*{SECRET_WORD}[\w.-]*)\s*["'`]?\]?\)?\s*(?::=|\?=|=>|==?|:|,)\s*[a-zA-Z]?{_VALUE}""", re.I)
 #: The same without quotation marks, for configuration, shell and build files.
 _BARE = re.compile(rf"""(?:^|[\s;,"'/(?&])(?:export\s+|ENV\s+|ARG\s+|set\s+|-D|--?|-e\s+)?(?P<k>[\w.$-]*{SECRET_WORD}[\w.-]*)\s*(?::=|\?=|=|:)\s*(?P<v>[^\s"'`#][^\s"'`]*)""", re.I)
 _ENV_SPACE = re.compile(rf"""^\s*(?:ENV|ARG)\s+(?P<k>\w*{SECRET_WORD}\w*)\s+(?P<v>[^\s"'`#]+)\s*$""", re.I)
@@ -262,7 +262,7 @@ def find(text: str, path: str | None, numbers: list[int] | None = None) -> list[
         bare_lines = chunk.replace("\r\n", " \n").split("\n")
         for i, line in enumerate(bare_lines):
             last = line.rstrip(" ")[-1:]
-            if last and last in "(=+\\:.&" and line.strip() != last:
+            if last and last in "(=+\\:.&" and i + 1 < len(bare_lines) and bare_lines[i + 1].lstrip()[:1] in ("'", '"', "`", "(") and line.strip() != last:
                 for n, (j, a, b) in enumerate(_parts(bare_lines, i)):
                     out.setdefault((offsets[j] + a, offsets[j] + b), 0 if n else at_line + j + 1)
     return sorted((line, a, b) for (a, b), line in out.items())
