@@ -24,6 +24,18 @@ def retrieval_gate(rows: DataFrame) -> DataFrame:
     return out.withColumn("passed", F.size("missing_sources") == 0)
 
 
+def coverage(wanted: DataFrame, shown: DataFrame, by: str, url: str) -> DataFrame:
+    """``by, n_expected, n_missing, passed``: the retrieval gate for address sets of any size.
+
+    Both sides are made distinct and joined on both columns, so no group is
+    gathered.  Groups without wanted addresses do not appear.
+    """
+    hits = shown.select(by, url).distinct().withColumn("_hit", F.lit(1))
+    joined = wanted.select(by, url).distinct().join(hits, [by, url], "left")
+    counted = joined.groupBy(by).agg(F.count("*").alias("n_expected"), (F.count("*") - F.count("_hit")).alias("n_missing"))
+    return counted.withColumn("passed", F.col("n_missing") == 0)
+
+
 def answer_gate(rows: DataFrame) -> DataFrame:
     """Passed if the tool fired and the answer invents, misses and says nothing wrong.
 

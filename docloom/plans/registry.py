@@ -418,11 +418,11 @@ def changed_files_union(spark, sf):
     return paths.where(is_doc(F.col("path"))).distinct()
 
 
-@query("""SELECT repo_name, count(DISTINCT file_path) AS n_files, string_agg(DISTINCT file_path, ',' ORDER BY file_path) AS files FROM docs_chunks GROUP BY repo_name""")
+@query("""SELECT repo_name, count(DISTINCT file_path) AS n_files, min(file_path) AS first_file, max(file_path) AS last_file FROM docs_chunks GROUP BY repo_name""")
 def files_by_repo(spark, sf):
-    """File lists of each repository; the paths are distinct before they are gathered."""
+    """Files of each repository: distinct paths first, so that a large one is no single task."""
     distinct = table(spark, sf, "docs_chunks").select("repo_name", "file_path").distinct()
-    return distinct.groupBy("repo_name").agg(F.count("file_path").alias("n_files"), F.array_join(F.array_sort(F.collect_list("file_path")), ",").alias("files"))
+    return distinct.groupBy("repo_name").agg(F.count("file_path").alias("n_files"), F.min("file_path").alias("first_file"), F.max("file_path").alias("last_file"))
 
 
 @query("SELECT DISTINCT repo_name, file_path FROM docs_chunks WHERE file_path IS NOT NULL")
@@ -455,23 +455,15 @@ def latest_issues(spark, sf):
 # --- evaluation -------------------------------------------------------------
 
 
-@query(f"""WITH out AS (SELECT repo_name, string_agg('**Source:** ' || citation_url, chr(10) ORDER BY id) AS output FROM docs_chunks WHERE citation_url <> '' AND last_updated IS NOT NULL GROUP BY 1),
-           want AS (SELECT repo_name, list_sort(list_distinct(list(citation_url))) AS expected FROM docs_chunks WHERE citation_url LIKE 'http%' GROUP BY 1)
-           SELECT repo_name, CAST(len(expected) AS BIGINT) AS n_expected,
-                  CAST(len(list_filter(expected, lambda u: NOT list_contains(coalesce(regexp_extract_all(output, '(?m)^\\*\\*Source:\\*\\*\\s+(https?://\\S+)\\s*$', 1), []), u))) AS BIGINT) AS n_missing,
-                  len(list_filter(expected, lambda u: NOT list_contains(coalesce(regexp_extract_all(output, '(?m)^\\*\\*Source:\\*\\*\\s+(https?://\\S+)\\s*$', 1), []), u))) = 0 AS passed
-           FROM want LEFT JOIN out USING (repo_name) WHERE repo_name IS NOT NULL""")
+@query("""WITH want AS (SELECT DISTINCT repo_name, citation_url FROM docs_chunks WHERE citation_url LIKE 'http%' AND repo_name IS NOT NULL),
+           shown AS (SELECT DISTINCT repo_name, citation_url, 1 AS hit FROM docs_chunks WHERE citation_url <> '' AND last_updated IS NOT NULL)
+           SELECT repo_name, count(*) AS n_expected, count(*) - count(hit) AS n_missing, count(*) = count(hit) AS passed FROM want LEFT JOIN shown USING (repo_name, citation_url) GROUP BY repo_name""")
 def gate1_score(spark, sf):
     """Does what each repository's dated chunks cite cover all that it should cite?"""
     chunks = table(spark, sf, "docs_chunks").where("repo_name is not null")
-    line = F.struct("id", F.concat(F.lit("**Source:** "), F.col("citation_url")).alias("l"))
-    shown = chunks.where("citation_url <> '' and last_updated is not null").groupBy("repo_name").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"]), "\n").alias("output")
-    )
-    wanted = chunks.where("citation_url like 'http%'").select("repo_name", "citation_url").distinct().groupBy("repo_name").agg(F.collect_list("citation_url").alias("expected_source_urls"))
-    rows = wanted.join(shown, "repo_name", "left").withColumn("must_appear_in_answer", F.array().cast("array<string>"))
-    scored = evaluation.retrieval_gate(rows)
-    return scored.select("repo_name", F.size("expected_source_urls").cast("long").alias("n_expected"), F.size("missing_sources").cast("long").alias("n_missing"), "passed")
+    wanted = chunks.where("citation_url like 'http%'").select("repo_name", "citation_url")
+    shown = chunks.where("citation_url <> '' and last_updated is not null").select("repo_name", "citation_url")
+    return evaluation.coverage(wanted, shown, "repo_name", "citation_url")
 
 
 @query(r"""WITH a AS (SELECT id, coalesce(body, '') AS answer, url, coalesce(len(comments), 0) > 0 AS fired FROM issues_data),
@@ -522,13 +514,11 @@ def chat_names(spark, sf):
     return chat.chat_names(_turns(spark, sf), ["id"], "turn", "role", "content")
 
 
-@query("""SELECT repo_name, array_to_string(list(citation_url ORDER BY first_id), ',') AS citations FROM (
-            SELECT repo_name, citation_url, min(id) AS first_id FROM docs_chunks WHERE citation_url <> '' GROUP BY 1, 2) GROUP BY repo_name""")
+@query("""SELECT repo_name, citation_url, min(id) AS first_id, count(*) AS n FROM docs_chunks WHERE citation_url <> '' GROUP BY 1, 2""")
 def citations_ordered(spark, sf):
-    """First appearance is found by a partial aggregate before addresses are gathered."""
-    first = table(spark, sf, "docs_chunks").where("citation_url <> ''").groupBy("repo_name", "citation_url").agg(F.min("id").alias("rank"))
-    found = chat.ordered_citations(first, ["repo_name"], "rank", "citation_url")
-    return found.select("repo_name", F.array_join("citations", ",").alias("citations"))
+    """Distinct addresses of each repository with their first appearance, which orders them."""
+    shown = table(spark, sf, "docs_chunks").where("citation_url <> ''")
+    return shown.groupBy("repo_name", "citation_url").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
 
 
 @query("""SELECT date_trunc('minute', ts) AS minute, count(*) AS requests, least(count(*), 60) AS accepted, count(*) - least(count(*), 60) AS rejected FROM events GROUP BY 1""")

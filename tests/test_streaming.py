@@ -57,3 +57,9 @@ def test_answers_and_turns(spark):
     assert chat.turn_ends(events, ["turn"], "seq", "type").first()["last_done"] == 4
     dup = spark.createDataFrame([(1, "e1", dt.datetime(2024, 1, 1)), (2, "e1", dt.datetime(2024, 1, 1))], "n int, k string, ts timestamp")
     assert sessions.deduplicated_stream(dup, "ts", ["k"]).isStreaming is False
+
+
+def test_citations_keep_their_order(spark):
+    rows = [("s", 3, "b"), ("s", 1, "b"), ("s", 2, "a"), ("s", 4, ""), ("s", 5, None)]
+    df = spark.createDataFrame(rows, "s string, rank int, url string")
+    assert chat.ordered_citations(df, ["s"], "rank", "url").first()["citations"] == ["b", "a"]
