@@ -12,6 +12,7 @@ canonical composition after, which also orders stacked accents.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import unicodedata
@@ -100,6 +101,7 @@ class Classes:
         return list(out.values())
 
 
+@functools.cache
 def look_alike_classes() -> list[list[str]]:
     """Classes of code points and strings that look the same, from Unicode's data."""
     classes = Classes()

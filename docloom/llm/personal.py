@@ -30,7 +30,7 @@ _AT = r"(?:@|&#0*64;|&commat;|%40| ?[\[({<]\s?(?:at|AT|@)\s?[\])}>] ?)"
 _DOT = r"(?:\.| ?[\[({<]\s?(?:dot|DOT|\.)\s?[\])}>] ?)"
 _EMAIL = re.compile(
     rf"(?:(?<![\w.+/:@-])|(?<=mailto:))(?P<l>\w[\w+'-]*(?:{_DOT}[\w+'-]+)*){_AT}(?P<d>[\w-]+(?:{_DOT}[\w-]+)*{_DOT}[^\W\d_]{{2,}})(?![\w-]*[@:]|/\w)"
-    rf"|(?<![\w.+/:@-])(?P<m>\w[\w+'-]*(?:(?:\.| dot | DOT )[\w+'-]+)*) (?:at|AT) (?P<e>[\w-]+(?:(?: dot | DOT )[\w-]+)*(?: dot | DOT )[^\W\d_]{{2,}})(?![\w-])"
+    rf"|(?<![\w.+/:@-])(?P<m>\w[\w+'-]*(?:(?:\.| dot | DOT )[\w+'-]+)*) (?:at|AT) (?P<e>[\w-]+(?:(?: dot | DOT )[\w-]+)*(?: dot | DOT )[^\W\d_]{{2,}})(?![\w+-]| at [\w-]+ dot | AT [\w-]+ DOT )"
 )
 _EMAIL_SIGN = re.compile(r"@|&#0*64;|&commat;|%40|[\[({<]\s?(?:at|AT)\s?[\])}>]| (?:at (?=[\w-]+ dot )|AT (?=[\w-]+ DOT ))")
 #: Mailboxes that belong to programs and hosts, not to people.
@@ -71,7 +71,7 @@ _ADDRESS = re.compile(
 _PARTICLE = r"(?:(?:van|von|de|den|der|di|da|dos|la|le|ter|ten|bin|ibn|af|zu)(?: (?:de|der|den|la))? )?(?:(?:al|el|Al|El)-)?"
 _UP = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĔĖĘĚĜĞĠĢĤĦĨĪĬĮİĴĶĹĻĽĿŁŃŅŇŌŎŐŒŔŖŘŚŜŞŠŢŤŦŨŪŬŮŰŲŴŶŸŹŻŽ"
 _WORD = rf"[{_UP}][^\W\d_]*(?:['’][^\W\d_]+)*(?:-[^\W\d_]+(?:['’][^\W\d_]+)*)*"
-_RUN = re.compile(rf"(?<![\w@./-])(?:[{_UP}]\.|{_WORD})(?:,? (?:{_PARTICLE}{_WORD}|[{_UP}]\.(?= )))+(?![\w@])")
+_RUN = re.compile(rf"(?<![\w@./-])(?:[{_UP}]\.|{_WORD})(?:,? (?:[{_UP}]\.(?= )|{_PARTICLE}{_WORD}))+(?![\w@])")
 _PIECE = re.compile(rf"(?P<p>{_PARTICLE})(?P<w>[{_UP}]\.|{_WORD})(?P<c>,?)")
 _TITLE = r"(?:Dr|Mr|Ms|Mrs|Mx|Prof|Herr|Frau|Sir|Dame|Señora?|Sra?|Mme|Mlle|Monsieur|Madame|DR|MR|MS|MRS|PROF)"
 _IS_TITLE = re.compile(rf"^{_TITLE}\.?$")
@@ -85,7 +85,7 @@ _BEFORE = re.compile(
     rf"|(?:^|\n)[ \t>]*--[ \t]*\r?\n[ \t>]*|\b(?:regards|best|cheers|sincerely|greetings|grüßen|grüße|saludos|cordialement)\b,?\s{{0,3}})\s*(?:{_TITLE}\.? )*$",
     re.I,
 )
-_AFTER = re.compile(r"^(?:\W{0,2}\s*(?:suggested|explained|said|says|wrote|reported|mentioned|confirmed|told|asked|noticed|saw|thinks|who|found|proposed|replied|joined|pointed|maintains|owns)\b|,? from our\b| and I (?:run|work|maintain|am|are|own)\b|\s*<[^>\s]+@)", re.I)
+_AFTER = re.compile(r"(?:\W{0,2}\s*(?:suggested|explained|said|says|wrote|reported|mentioned|confirmed|told|asked|noticed|saw|thinks|who|found|proposed|replied|joined|pointed|maintains|owns)\b|,? from our\b| and I (?:run|work|maintain|am|are|own)\b|\s*<[^>\s]+@)")
 
 
 def _term(word: str) -> str:
@@ -143,6 +143,12 @@ def by_form(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _placed(text: str, begin: int, end: int) -> bool:
+    """Does a person stand at this place?  Lines in capitals say nothing of it."""
+    before = _BEFORE.search(text, max(0, begin - 40), begin)
+    return bool(before and not before[0].isupper() or _AFTER.match(text, end, end + 24))
+
+
 def candidates(text: str) -> list[tuple[int, int, list[str], bool, bool]]:
     """(start, end, terms, in a person place, counts): possible names of people.
 
@@ -155,7 +161,7 @@ def candidates(text: str) -> list[tuple[int, int, list[str], bool, bool]]:
         for (a, b, first, comma), (c, d, second, _) in zip(pieces, pieces[1:]):
             if _IS_TITLE.match(first) or _IS_TITLE.match(second):
                 continue
-            placed = bool(_BEFORE.search(text, max(0, a - 40), a) or _AFTER.match(text, d, d + 24))
+            placed = _placed(text, a, d)
             terms = [_term(w) for w in (first, second) if not w.endswith(".")]
             terms = [t for t in terms if len(t) > 1]
             if terms and (len(terms) == 2 or first.endswith(".") or second.endswith(".")):
@@ -163,7 +169,7 @@ def candidates(text: str) -> list[tuple[int, int, list[str], bool, bool]]:
     for m in _TITLED.finditer(text):
         terms = [_term(w) for w in re.findall(_WORD, m["w"])][-1:]
         if terms:
-            out.append((*m.span(), terms, bool(_BEFORE.search(text, max(0, m.start() - 40), m.start())), False))
+            out.append((*m.span(), terms, _placed(text, *m.span()), False))
     for m in _SIGNED.finditer(text):
         if m["a"].islower():
             out.append((m.start("a"), m.end("b"), [_term(m["a"]), _term(m["b"].split(" ")[-1])], True, False))
