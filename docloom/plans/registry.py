@@ -563,6 +563,11 @@ def event_props(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg(k), 6).alias("avg_k"), F.round(F.sum("value"), 2).alias("total"))
 
 
+@query("""SELECT event_id, '$.k' AS path, json_extract_string(props, '$.k') AS value FROM events""")
+def event_leaves(spark, sf):
+    return chat.json_leaves(table(spark, sf, "events"), ["event_id"], "props", 3)
+
+
 @query("""SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2""")
 def stream_hourly(spark, sf):
     """The same counts by a stream over the event table, run until it is drained."""

@@ -97,3 +97,59 @@ def ordered_citations(hits: DataFrame, by: list[str], rank: str, url: str) -> Da
     """Distinct addresses in order of first appearance."""
     urls = F.transform(F.array_sort(F.collect_list(F.struct(rank, url))), lambda x: x[url])
     return hits.where(F.coalesce(F.col(url), F.lit("")) != "").groupBy(*by).agg(F.array_distinct(urls).alias("citations"))
+
+
+#: What a streamed completion sends in one frame.
+DELTA = (
+    "choices array<struct<index:int,finish_reason:string,delta:struct<content:string,"
+    "tool_calls:array<struct<index:int,id:string,function:struct<name:string,arguments:string>>>>>>"
+)
+
+
+def deltas(framed: DataFrame, stream: str, frame: str, data: str) -> DataFrame:
+    """Pieces of streamed completions: one row for each text or tool-call piece.
+
+    ``stream, position, content, call_index, name, fragment, finished``; frames
+    that are not JSON are left out.
+    """
+    parsed = framed.withColumn("_d", F.from_json(data, DELTA)).where("_d.choices is not null")
+    choice = parsed.select(stream, F.col(frame).alias("position"), F.explode("_d.choices").alias("c"))
+    finished = F.col("c.finish_reason").isNotNull()
+    texts = choice.where("c.delta.content is not null or c.delta.tool_calls is null").select(
+        stream, "position", F.col("c.delta.content").alias("content"), F.lit(None).cast("int").alias("call_index"), F.lit(None).cast("string").alias("name"),
+        F.lit(None).cast("string").alias("fragment"), finished.alias("finished"),
+    )
+    calls = choice.where("c.delta.tool_calls is not null").select(stream, "position", finished.alias("finished"), F.explode("c.delta.tool_calls").alias("t"))
+    return texts.unionByName(
+        calls.select(
+            stream, "position", F.lit(None).cast("string").alias("content"), F.col("t.index").alias("call_index"), F.col("t.function.name").alias("name"),
+            F.col("t.function.arguments").alias("fragment"), "finished",
+        )
+    )
+
+
+def json_leaves(df: DataFrame, keys: list[str], column: str, depth: int = 8) -> DataFrame:
+    """``keys, path, value``: the leaves of JSON texts, down to ``depth`` levels.
+
+    Each level is one pass of a variant table function, so nested events of any
+    shape are walked by Spark; texts that are not JSON have no leaves.
+    """
+    level = df.select(*keys, F.lit("$").alias("path"), F.try_parse_json(F.col(column)).alias("v")).where("v is not null")
+    out = None
+    for _ in range(depth):
+        kind = F.schema_of_variant("v")
+        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+        leaves = level.where(~nested).select(*keys, "path", F.col("v").cast("string").alias("value"))
+        out = leaves if out is None else out.unionByName(leaves)
+        level.where(nested).createOrReplaceTempView("_json_level")
+        names = ", ".join(f"l.`{k}`" for k in keys)
+        level = df.sparkSession.sql(
+            f"SELECT {names}, concat(l.path, CASE WHEN e.key IS NULL THEN concat('[', e.pos, ']') ELSE concat('.', e.key) END) AS path, e.value AS v FROM _json_level l, LATERAL variant_explode(l.v) e"
+        )
+    return out
+
+
+def tools_called(leaves: DataFrame, keys: list[str], tool: str) -> DataFrame:
+    """Keys of the events in which some ``name`` leaf is the tool (or ends in it)."""
+    named = leaves.where(F.col("path").endswith(".name") & ((F.col("value") == tool) | F.col("value").endswith(f".{tool}") | F.col("value").endswith(f"/{tool}")))
+    return named.select(*keys).distinct()

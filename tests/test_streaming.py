@@ -63,3 +63,26 @@ def test_citations_keep_their_order(spark):
     rows = [("s", 3, "b"), ("s", 1, "b"), ("s", 2, "a"), ("s", 4, ""), ("s", 5, None)]
     df = spark.createDataFrame(rows, "s string, rank int, url string")
     assert chat.ordered_citations(df, ["s"], "rank", "url").first()["citations"] == ["b", "a"]
+
+
+def test_deltas_to_calls(spark):
+    data = [
+        '{"choices": [{"index": 0, "delta": {"content": "Hel"}}]}', '{"choices": [{"index": 0, "delta": {"content": "lo"}}]}', "not json",
+        '{"choices": [{"index": 0, "delta": {"tool_calls": [{"index": 0, "function": {"name": "search", "arguments": "{\\"q"}}]}}]}',
+        '{"choices": [{"index": 0, "finish_reason": "tool_calls", "delta": {"tool_calls": [{"index": 0, "function": {"arguments": "\\": 1}"}}]}}]}',
+    ]
+    framed = spark.createDataFrame([("s", i, d) for i, d in enumerate(data)], "s string, frame int, data string")
+    pieces = chat.deltas(framed, "s", "frame", "data")
+    calls = chat.tool_calls(pieces.where("call_index is not null"), ["s", "call_index"], "position", "name", "fragment").collect()
+    assert [(r["name"], r["arguments"]) for r in calls] == [("search", '{"q": 1}')]
+    texts = pieces.where("content is not null").orderBy("position").collect()
+    assert "".join(r["content"] for r in texts) == "Hello"
+    assert pieces.where("finished").count() == 1
+
+
+def test_json_leaves(spark):
+    rows = [(1, '{"a": {"name": "kb.search_docs", "args": [1, "x"]}, "b": null}'), (2, "broken {"), (3, None), (4, '"top"')]
+    leaves = chat.json_leaves(spark.createDataFrame(rows, "id int, j string"), ["id"], "j")
+    found = sorted((r["id"], r["path"], r["value"]) for r in leaves.where("value is not null").collect())
+    assert found == [(1, "$.a.args[0]", "1"), (1, "$.a.args[1]", "x"), (1, "$.a.name", "kb.search_docs"), (4, "$", "top")]
+    assert [r["id"] for r in chat.tools_called(leaves, ["id"], "search_docs").collect()] == [1]
