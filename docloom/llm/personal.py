@@ -246,10 +246,11 @@ def disclosing_terms(
         F.sum(1 - F.col("hint")).alias("n"), F.sum((1 - F.col("hint")) * F.col("placed")).alias("n_placed"), F.sum("hint").alias("n_hint")
     )
     total = counted.where("kind = 'name'").agg(F.count("*").alias("all"), F.sum(F.col("placed").cast("int")).alias("all_placed"))
-    base = F.greatest(F.col("all_placed"), F.lit(1)) / F.greatest(F.col("all"), F.lit(1))
+    seen = total.first()
+    base = F.lit(max(seen["all_placed"] or 0, 1) / max(seen["all"], 1))
     places = F.col("n_placed") + F.least(F.col("n_hint"), F.col("n"))
     share = F.least(places / F.col("n"), F.lit(1.0))
-    scored = terms.where("n > 0").join(F.broadcast(total)).select("term", places.alias("places"), share.alias("share"), F.log2(F.greatest(share, F.lit(1e-9)) / base).alias("bits"))
+    scored = terms.where("n > 0").select("term", places.alias("places"), share.alias("share"), F.log2(F.greatest(share, F.lit(1e-9)) / base).alias("bits"))
     by_itself = (F.col("places") >= min_places) & (F.col("share") >= min_share / 2) & ((F.col("bits") >= min_bits) | (F.col("share") >= min_share))
     strong = materialize(scored.where(by_itself).select("term", "bits"), "strong")
     known = sized_broadcast(strong.select(F.col("term").alias("beside"), F.lit(1).alias("known")), BROADCAST_TERMS)
