@@ -194,8 +194,13 @@ def segment_chunker(size: int = 1500, overlap: int = 150):
 
 
 def exploded(df: DataFrame, chunks: str, keep: list[str]) -> DataFrame:
-    """One row for each chunk with its index from 0; no shuffle."""
-    return df.select(*keep, F.posexplode(chunks).alias("chunk_index", "chunk")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+    """One row for each chunk with its index from 0; no shuffle.
+
+    From an inner explode the optimizer would infer a filter on the size of the
+    array, push it below, and so chunk each text twice.
+    """
+    rows = df.select(*keep, F.posexplode_outer(chunks).alias("chunk_index", "chunk")).where("chunk_index is not null")
+    return rows.withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
 def register(spark) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ def filled(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def file_unique_id(repo: Column, path: Column) -> Column:
     return F.concat(repo, F.lit(":"), path)
 
@@ -118,11 +125,11 @@ def issue_segments(title, repo, number, url, labels, state, created, updated, bo
         F.when(F.coalesce(number, F.lit(0)) != 0, F.concat(F.lit("**Issue:** #"), number.cast("string"))), bit(url, "**URL:** "),
         F.when(labels.isNotNull(), F.concat(F.lit("**Labels:** "), labels)), bit(state, "**State:** "), bit(created, "**Created:** "), bit(updated, "**Updated:** "),
     )
-    first = F.when((head != "") & (body != ""), F.concat(head, F.lit("\n\n"), body)).when(head != "", head).otherwise(body)
+    first = let(head, lambda h: F.when((h != "") & (body != ""), F.concat(h, F.lit("\n\n"), body)).when(h != "", h).otherwise(body))
     structured = F.concat(F.array(strip(first)), F.transform(F.coalesce(comments, F.array()), lambda c: strip(comment_block(c))))
     old = F.transform(F.split(filled(content), "\n\n---\n"), strip)
     kept = F.filter(F.when(body.isNotNull(), structured).otherwise(old), lambda s: s != "")
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(filled(content)))
+    return let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(filled(content))))
 
 
 def stems(value: Column) -> Column:

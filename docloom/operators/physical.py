@@ -45,6 +45,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a scan, in enough partitions for its cores before costly Python work.
+
+    A table of one small file would keep one core busy.  Scans that already have
+    half as many partitions as there are cores stay as they are, so that nothing
+    large is ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+
+
 def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` itself.
 

@@ -248,7 +248,7 @@ def with_cells(corpus: DataFrame, vector: str, centres: np.ndarray, probes: int
             order = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]
             yield pd.Series(list(order.astype(np.int32)))
 
-    return corpus.where(F.col(vector).isNotNull()).withColumn("cell_id", F.explode(nearest(vector)))
+    return corpus.where(F.col(vector).isNotNull()).withColumn("cell_id", F.explode_outer(nearest(vector)))
 
 
 def pruned_top_k(corpus: DataFrame, queries: DataFrame, k: int, key: str, vector: str, centres: np.ndarray, probes: int) -> DataFrame:

@@ -11,6 +11,7 @@ from docloom import schema as S
 from docloom.functions import splitting, text
 from docloom.functions.cleaning import clean_page
 from docloom.operators.embedding import EMBED_CHARS, PAGE_EMBED_CHARS, Provider, embedded
+from docloom.operators.physical import spread
 from docloom.operators.store import Collection
 
 #: Chunk sizes and overlaps of each corpus, and shortest contents.
@@ -23,13 +24,17 @@ def page_chunks(files: DataFrame, repo: Column, base_url: str, cleaner: Callable
 
     Files without content, or with less than 50 characters after cleaning, give
     none.  ``files`` have ``path, file_name, content`` (and ``id``, which is kept,
-    to tell files fetched twice apart).  Nothing is shuffled.
+    to tell files fetched twice apart).  Nothing is shuffled but a scan of a few
+    small files.
     """
     keep = ["id"] if "id" in files.columns else []
-    cleaned = files.withColumn("_clean", cleaner(F.col("content"))).where(F.length("_clean") >= SHORTEST_PAGE)
+    # The length is tested in the argument: a filter would move below the cleaning
+    # and clean twice.
+    cleaned = spread(files).withColumn("_clean", cleaner(F.col("content")))
+    long = F.when(F.length("_clean") >= SHORTEST_PAGE, F.col("_clean"))
     cut = cleaned.select(
         *keep, text.file_unique_id(repo, F.col("path")).alias("file_unique_id"), repo.alias("repo_name"), F.col("path").alias("file_path"), "file_name",
-        F.substring(text.docs_citation(F.col("path"), base_url), 1, S.CITATION_CHARS).alias("citation_url"), splitting.text_chunker(*size)("_clean").alias("chunks"),
+        F.substring(text.docs_citation(F.col("path"), base_url), 1, S.CITATION_CHARS).alias("citation_url"), splitting.text_chunker(*size)(long).alias("chunks"),
     )
     out = splitting.exploded(cut, "chunks", [*keep, "file_unique_id", "repo_name", "file_path", "file_name", "citation_url"])
     return out.withColumn("content_text", F.substring("chunk", 1, S.CONTENT_CHARS)).drop("chunk")
@@ -43,7 +48,7 @@ def thread_chunks(issues: DataFrame, size: tuple[int, int] = THREAD) -> DataFram
         c("title"), c("repo_name"), c("issue_number"), c("url"), c("issue_labels"), c("issue_state"), c("created_at"), c("updated_at"), c("body"), c("comments"), c("content")
     )
     keep = ["id"] if "id" in issues.columns else []
-    prepared = issues.select(*keep, meta.alias("meta"), segments.alias("segments"), "content")
+    prepared = spread(issues).select(*keep, meta.alias("meta"), segments.alias("segments"), "content")
     cut = prepared.select(*keep, "meta", splitting.segment_chunker(*size)("segments", text.issue_prefix(c("meta")), "content").alias("chunks"))
     out = splitting.exploded(cut, "chunks", [*keep, "meta"])
     number = c("meta.issue_number")
@@ -59,10 +64,10 @@ def source_chunks(files: DataFrame, size: tuple[int, int] = SOURCE) -> DataFrame
     c = F.col
     keep = ["id"] if "id" in files.columns else []
     content = F.regexp_replace("content", r"(?U)\s+\z", "")
-    kept = files.withColumn("_content", content).where(F.length("_content") >= SHORTEST_SOURCE)
-    cut = kept.select(
+    long = F.when(F.length("_content") >= SHORTEST_SOURCE, F.col("_content"))
+    cut = spread(files).withColumn("_content", content).select(
         *keep, text.file_unique_id(c("repo"), c("path")).alias("file_unique_id"), c("repo").alias("repo_name"), c("path").alias("file_path"), "file_name",
-        F.substring(text.code_citation(c("citation_url"), c("repo"), c("path")), 1, S.CITATION_CHARS).alias("citation_url"), splitting.code_chunker(*size)("_content", "path").alias("chunks"),
+        F.substring(text.code_citation(c("citation_url"), c("repo"), c("path")), 1, S.CITATION_CHARS).alias("citation_url"), splitting.code_chunker(*size)(long, "path").alias("chunks"),
     )
     out = splitting.exploded(cut, "chunks", [*keep, "file_unique_id", "repo_name", "file_path", "file_name", "citation_url"])
     limits = {"resource_kind": S.KIND_CHARS, "resource_name": S.NAME_CHARS, "resource_namespace": S.NAME_CHARS, "file_type": S.TYPE_CHARS}
