@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.operators.physical import spread
+
 #: Fixed value: the pre-token pattern that belongs to the byte_bpe_* vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -148,7 +150,7 @@ def encode_texts(
 
     kind = df.schema[key].dataType
     schema = T.StructType([T.StructField("key", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    out = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(batches, schema)
+    out = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(batches, schema)
     return out.withColumnRenamed("key", key)
 
 
@@ -165,7 +167,7 @@ def count_tokens(
 
     kind = df.schema[key].dataType
     schema = T.StructType([T.StructField("key", kind), T.StructField("n_tokens", T.LongType())])
-    out = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(batches, schema)
+    out = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(batches, schema)
     return out.withColumnRenamed("key", key)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.operators.physical import materialize
+from docloom.operators.physical import materialize, spread
 
 #: Letters of other alphabets with the shape of a Latin letter.
 SAME_SHAPE = (
@@ -161,7 +161,7 @@ def character_counts(df: DataFrame, text: str) -> DataFrame:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["code", "n"])
 
-    counted = df.select(F.col(text).alias("text")).where("text is not null").mapInArrow(batches, "code long, n long")
+    counted = spread(df.select(F.col(text).alias("text")).where("text is not null")).mapInArrow(batches, "code long, n long")
     return counted.groupBy("code").agg(F.sum("n").alias("n"))
 
 
@@ -260,7 +260,7 @@ def normalize_texts(df: DataFrame, key: str, text: str, rules: dict[str, str] |
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forms, pa.string())], names=["key", "form"])
 
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("form", T.StringType())])
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(batches, schema).withColumnRenamed("key", key)
+    return spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(batches, schema).withColumnRenamed("key", key)
 
 
 def fingerprints(df: DataFrame, key: str, text: str, rules: dict[str, str] | None = None) -> DataFrame:
@@ -288,7 +288,7 @@ def fingerprints(df: DataFrame, key: str, text: str, rules: dict[str, str] | Non
             yield pa.RecordBatch.from_arrays([keys, pa.array(forms, pa.binary()), pa.array(texts, pa.binary())], names=["key", "form_id", "text_id"])
 
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("form_id", T.BinaryType()), T.StructField("text_id", T.BinaryType())])
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(batches, schema).withColumnRenamed("key", key)
+    return spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(batches, schema).withColumnRenamed("key", key)
 
 
 def same_look_pairs(df: DataFrame, key: str, text: str) -> DataFrame:

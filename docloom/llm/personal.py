@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators.physical import materialize, sized_broadcast
+from docloom.operators.physical import materialize, sized_broadcast, spread
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 BROADCAST_TERMS = 500_000
@@ -224,7 +224,7 @@ def scan(segments: DataFrame, key: str, number: str, text: str) -> DataFrame:
 
     kind = segments.schema[key].dataType.simpleString()
     source = segments.select(F.col(key).alias("key"), F.col(number).cast("long").alias("segment_no"), F.col(text).alias("text")).where("text is not null")
-    return source.mapInArrow(batches, f"key {kind}, segment_no long, check long, kind string, begin int, end int, terms array<string>, placed boolean")
+    return spread(source).mapInArrow(batches, f"key {kind}, segment_no long, check long, kind string, begin int, end int, terms array<string>, placed boolean")
 
 
 def disclosing_terms(

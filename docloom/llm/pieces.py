@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.operators.physical import spread
+
 _SPACES = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 _STOPS = np.array([ord(c) for c in ".!?…。！？"], np.uint32)
 _WIDE_STOPS = np.array([ord(c) for c in "。！？"], np.uint32)
@@ -122,7 +124,7 @@ def split_texts(
             columns += [pa.array(pieces, pa.string())] if with_text else []
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    long = rows.where(length > limit).mapInArrow(batches, T.StructType(fields))
+    long = spread(rows.where(length > limit)).mapInArrow(batches, T.StructType(fields))
     return short.unionByName(long).withColumnRenamed("key", key)
 
 

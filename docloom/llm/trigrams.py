@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators.physical import spread
+
 #: Chunks end with a line; the next one repeats the last lines, for matches that
 #: go over line ends.
 CHUNK_CHARS = 4096
@@ -130,7 +132,7 @@ def postings(df: DataFrame, key: str, text: str, trigrams: set[str]) -> DataFram
 
     kind = df.schema[key].dataType.simpleString()
     source = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("key").isNotNull())
-    return source.mapInArrow(batches, f"key {kind}, chunk int, trigram int")
+    return spread(source).mapInArrow(batches, f"key {kind}, chunk int, trigram int")
 
 
 def candidates(df: DataFrame, key: str, text: str, patterns: list[str]) -> DataFrame:
