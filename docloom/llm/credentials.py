@@ -61,7 +61,7 @@ _CORE = re.compile("|".join([
     r"://|@tcp\(|@unix\(|@udp\(|private key|akia|asia|gh[pousr]_|glpat-|xox[a-z]-|hf_|npm_|pypi-|dckr_|sk-|_live_|_test_|aiza|ya29|sg\.|eyj|github_pat|" + _IN_BASE64.lower() + "|a2zwx2",
 ]))
 _token, _base64_token = re.compile(TOKEN), re.compile(BASE64_TOKEN)
-_private_key = re.compile(PRIVATE_KEY)
+_private_key, _DSN_END = re.compile(PRIVATE_KEY), re.compile(r"@(?:tcp|unix|udp)\(", re.I)
 _url_password, _dsn_password = re.compile(URL_PASSWORD, re.I), re.compile(DSN_PASSWORD)
 
 _VALUE = r"""(?P<q>["'`])(?P<v>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)"""
@@ -72,9 +72,11 @@ _BARE = re.compile(rf"""(?:^|[\s;,"'/(?&])(?:export\s+|ENV\s+|ARG\s+|set\s+|-D|-
 _ENV_SPACE = re.compile(rf"""^\s*(?:ENV|ARG)\s+(?P<k>\w*{SECRET_WORD}\w*)\s+(?P<v>[^\s"'`#]+)\s*$""", re.I)
 _OPTION = re.compile(rf"""(?:^|\s)--?(?P<k>[\w-]*(?:{SECRET_WORD})[\w-]*)(?:\s+|=)(?:["'](?P<w>[^"'\s]+)["']|(?P<v>[^\s"'`-][^\s"'`,]*))""", re.I)
 _SSHPASS = re.compile(r"""\bsshpass\s+-p\s*["']?(?P<v>[^\s"']+)""")
-_USER = re.compile(r"""\b(?:curl|wget|http)\b.*?\s(?:-u|--user)[\s=]*["']?[^\s:"']+:(?P<v>[^\s"']+)""")
+#: A mark, then the first thing after it in the line; in two steps, since ``mark.*?thing`` takes quadratic time on long lines.
+_COMMAND, _USER = re.compile(r"\b(?:curl|wget|http)\b"), re.compile(r"""\s(?:-u|--user)[\s=]*["']?[^\s:"']+:(?P<v>[^\s"']+)""")
 _BEARER = re.compile(r"""\b(?:bearer|basic|authorization["']?\s*[:,]\s*["']?token)\s+(?P<v>[A-Za-z0-9+/=_.~-]{8,})(?=["'`\s]|$)""", re.I)
-_SPOKEN = re.compile(r"""(?:^|\s)(?:[#;*]|//|--|<!--|/\*).*?\b(?P<k>login|pass\w*|pwd|pw|token|secret|credentials?|(?:api )?key)\b(?: (?:for|of|on|to|in|at|from) [\w.-]+)*\s*(?:is\s*:?|:|=)\s*["'`]?(?P<v>[^\s"'`]+)""", re.I)
+_REMARK = re.compile(r"(?:^|\s)(?:[#;*]|//|--|<!--|/\*)")
+_SPOKEN = re.compile(r"""\b(?P<k>login|pass\w*|pwd|pw|token|secret|credentials?|(?:api )?key)\b(?: (?:for|of|on|to|in|at|from) [\w.-]+)*\s*(?:is\s*:?|:|=)\s*["'`]?(?P<v>[^\s"'`]+)""", re.I)
 _PAIR = re.compile(r"""\b(?:auth|credentials?|login)\w*\s*=\s*\(\s*(["'])[^"']*\1\s*,\s*(?P<q>["'])(?P<v>[^"']+)(?P=q)\s*\)""", re.I)
 _NAMED = re.compile(rf"""^[\s-]*name:\s*["']?(?P<k>\w*{SECRET_WORD}\w*)["']?\s*$""", re.I)
 _NAMED_VALUE = re.compile(r"""^\s*value:\s*(?:(?P<q>["'])(?P<v>.*?)(?P=q)|(?P<w>[^\s"'#]+))\s*$""")
@@ -82,9 +84,6 @@ _OPEN = re.compile(r"""(?P<k>[\w.-]+)["']?\s*(?::=|=|:)\s*\(?\s*\\?\s*$""")
 _PART = re.compile(r"""^\s*\(?\s*(?P<q>["'`])(?P<v>[^"'`]*)(?P=q)\s*[+.\\&)]*\s*[;,)]*\s*$""")
 _FIRST_PART = re.compile(r"""(?P<k>[\w.-]+)["']?\s*(?::=|=|:)\s*\(?\s*(?P<q>["'`])(?P<v>[^"'`]*)(?P=q)\s*[+.\\&]+\s*$""")
 
-#: Lines above this length are looked at around the words found only.
-_LONG_LINE = 2000
-
 _BARE_FILES = re.compile(r"(?:\.(?:ya?ml|env|ini|cfg|conf|properties|toml|sh|bash|zsh|mk|tf|tfvars|txt|npmrc|pypirc|netrc)|(?:^|/)(?:Dockerfile|Makefile|Containerfile|\.env|\.npmrc|\.pypirc)[\w.-]*)$", re.I)
 _OTHER_KEY = re.compile(
     r"(?:name|names|field|ref|keyref|label|header|prefix|suffix|path|file|filename|dir|url|uri|endpoint|type|kind|count|limit|size|length|len|ttl|expiry|expires|expiration|format|regex|pattern|policy|hash|digest|"
@@ -145,11 +144,55 @@ def _holds(key: str, value: str) -> bool:
 
 def _decoded(value: str) -> str:
     try:
-        return base64.b64decode(value + "=" * (-len(value) % 4)).decode("ascii")
+        whole = value.rstrip("=")
+        whole = whole[: len(whole) - (len(whole) % 4 == 1)]  # one character over holds no byte
+        return base64.b64decode(whole + "=" * (-len(whole) % 4)).decode("ascii")
     except ValueError:
         return ""
 
 
+def _urls(line: str) -> Iterator[re.Match]:
+    """Matches of ``_url_password``, each looked for back from ``://``."""
+    done, at = 0, line.find("://")
+    while at >= 0:
+        begin = at
+        while begin > done and (line[begin - 1] in "+.-" or line[begin - 1].isascii() and line[begin - 1].isalnum()):
+            begin -= 1
+            if line[begin].isalpha():
+                break
+        m = _url_password.match(line, begin)
+        if m:
+            yield m
+            done = m.end()
+        at = line.find("://", max(done, at + 3))
+
+
+def _dsns(line: str) -> Iterator[re.Match]:
+    """Matches of ``_dsn_password``, each looked for in the text without blanks before its end."""
+    done = 0
+    for end in _DSN_END.finditer(line):
+        begin = end.start()
+        while begin > done and line[begin - 1] not in "\"'`@" and not line[begin - 1].isspace():
+            begin -= 1
+        m = _dsn_password.search(line, begin, end.end())
+        if m:
+            yield m
+            done = m.end()
+
+
+def _after(mark: re.Pattern, thing: re.Pattern, line: str) -> Iterator[re.Match]:
+    """Matches of ``mark.*?thing``: of each, the match of ``thing``."""
+    at = 0
+    while (begin := mark.search(line, at)) and (m := thing.search(line, begin.end())):
+        yield m
+        at = m.end()
+
+
+def _matches(pattern: re.Pattern, line: str) -> Iterator[re.Match]:
+    mark = {_USER: _COMMAND, _SPOKEN: _REMARK}.get(pattern)
+    return _after(mark, pattern, line) if mark else pattern.finditer(line)
+
+
 def in_line(line: str, bare: bool) -> list[tuple[int, int]]:
     """Spans of the literal credentials that one line holds whole."""
     out = [m.span() for m in _token.finditer(line) if not re.fullmatch(r"[\w-]*?x{6,}[\w-]*", m[0], re.I)]
@@ -157,11 +200,10 @@ def in_line(line: str, bare: bool) -> list[tuple[int, int]]:
         inner = _decoded(m[0])
         if inner and (_token.search(inner) or _private_key.search(inner)):
             out.append(m.span())
-    for pattern in (_url_password, _dsn_password):
-        out += [m.span(1) for m in pattern.finditer(line) if literal(m[1])]
+    out += [m.span(1) for m in (*_urls(line), *_dsns(line)) if literal(m[1])]
     found = [_QUOTED, _OPTION, _SPOKEN, _PAIR, _SSHPASS, _USER, _BEARER] + ([_BARE, _ENV_SPACE] if bare else [])
     for pattern in found:
-        for m in pattern.finditer(line):
+        for m in _matches(pattern, line):
             groups = m.groupdict()
             which = "w" if groups.get("w") is not None else "v"
             value, key = groups[which], groups.get("k") or ""
@@ -227,19 +269,12 @@ def find(text: str, path: str | None, numbers: list[int] | None = None) -> list[
         for line in lines:
             offsets.append(offset)
             offset += len(line) + 1
-        looked, windows, i = set(), {}, 0
+        looked, i = set(), 0
         breaks = [o - start for o in offsets]
         for m in _CORE.finditer(lower):
             while i + 1 < len(breaks) and breaks[i + 1] <= m.start():
                 i += 1
             looked.add(i)
-            if len(lines[i]) > _LONG_LINE:
-                a, b = max(0, m.start() - breaks[i] - 300), m.end() - breaks[i] + 1200
-                known = windows.setdefault(i, [])
-                if known and a <= known[-1][1] and known[-1][1] - known[-1][0] < 4 * _LONG_LINE:
-                    known[-1] = (known[-1][0], max(b, known[-1][1]))
-                else:
-                    known.append((a, b))
         for i in sorted(looked):
             line = lines[i]
             key = _private_key.search(line)
@@ -247,9 +282,8 @@ def find(text: str, path: str | None, numbers: list[int] | None = None) -> list[
                 begin = offsets[i] + key.start()
                 stop = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----").search(text, begin)
                 out[(begin, stop.end() if stop else offsets[i] + len(line))] = at_line + i + 1
-            for a, b in windows[i] if len(line) > _LONG_LINE else [(0, len(line))]:
-                for c, d in in_line(line[a:b], bare):
-                    out.setdefault((offsets[i] + a + c, offsets[i] + a + d), at_line + i + 1)
+            for a, b in in_line(line, bare):
+                out.setdefault((offsets[i] + a, offsets[i] + b), at_line + i + 1)
             named = _NAMED.match(line)
             if named:
                 for j in range(i + 1, min(i + 3, len(lines))):
