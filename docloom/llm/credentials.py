@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,6 +83,7 @@ _NAMED = re.compile(rf"""^[\s-]*name:\s*["']?(?P<k>\w*{SECRET_WORD}\w*)["']?\s*$
 _NAMED_VALUE = re.compile(r"""^\s*value:\s*(?:(?P<q>["'])(?P<v>.*?)(?P=q)|(?P<w>[^\s"'#]+))\s*$""")
 _OPEN = re.compile(r"""(?P<k>[\w.-]+)["']?\s*(?::=|=|:)\s*\(?\s*\\?\s*$""")
 _PART = re.compile(r"""^\s*\(?\s*(?P<q>["'`])(?P<v>[^"'`]*)(?P=q)\s*[+.\\&)]*\s*[;,)]*\s*$""")
+_PART_NEXT = re.compile(r"""[^\S\n]*["'`(]""")
 _FIRST_PART = re.compile(r"""(?P<k>[\w.-]+)["']?\s*(?::=|=|:)\s*\(?\s*(?P<q>["'`])(?P<v>[^"'`]*)(?P=q)\s*[+.\\&]+\s*$""")
 
 _BARE_FILES = re.compile(r"(?:\.(?:ya?ml|env|ini|cfg|conf|properties|toml|sh|bash|zsh|mk|tf|tfvars|txt|npmrc|pypirc|netrc)|(?:^|/)(?:Dockerfile|Makefile|Containerfile|\.env|\.npmrc|\.pypirc)[\w.-]*)$", re.I)
@@ -227,22 +229,37 @@ def in_line(line: str, bare: bool) -> list[tuple[int, int]]:
     return out
 
 
-def _parts(lines: list[str], i: int) -> list[tuple[int, int, int]]:
-    """(line, start, end) of the parts of a value written in several strings from line i."""
-    opened, first = _OPEN.search(lines[i]), _FIRST_PART.search(lines[i])
+def _lines(text: str, at: int) -> Iterator[tuple[int, str]]:
+    """(offset, line) of the lines of ``text`` from ``at``."""
+    while True:
+        end = text.find("\n", at)
+        yield at, text[at:] if end < 0 else text[at:end]
+        if end < 0:
+            return
+        at = end + 1
+
+
+def _parts(text: str, at: int) -> list[tuple[int, int, int]]:
+    """(lines on, start, end) of the parts of a value written in several strings from the line at ``at``."""
+    lines = ((offset, line[:-1] + " " if line.endswith("\r") else line) for offset, line in _lines(text, at))
+    offset, line = next(lines)
+    opened, first = _OPEN.search(line), _FIRST_PART.search(line)
     if not opened and not first:
         return []
     key = (opened or first)["k"]
-    parts, joined = [], ""
+    parts, values = [], []
     if first:
-        parts, joined = [(i, *first.span("v"))], first["v"]
-    for j in range(i + 1, min(i + 1 + trigrams.CHUNK_OVERLAP_LINES, len(lines))):
-        more = _PART.match(lines[j])
+        parts, values = [(0, offset + first.start("v"), offset + first.end("v"))], [first["v"]]
+    for j, (offset, line) in enumerate(lines, 1):
+        more = _PART.match(line)
         if not more:
             break
-        parts.append((j, *more.span("v")))
-        joined += more["v"]
-    if len(parts) < 1 or not joined:
+        parts.append((j, offset + more.start("v"), offset + more.end("v")))
+        values.append(more["v"])
+        if line.rstrip()[-1:] in (";", ")"):
+            break
+    joined = "".join(values)
+    if not joined:
         return []
     secret = _token.search(joined) or (re.search(SECRET_WORD, key, re.I) and _holds(key, joined))
     return parts if secret else []
@@ -286,19 +303,22 @@ def find(text: str, path: str | None, numbers: list[int] | None = None) -> list[
                 out.setdefault((offsets[i] + a, offsets[i] + b), at_line + i + 1)
             named = _NAMED.match(line)
             if named:
-                for j in range(i + 1, min(i + 3, len(lines))):
-                    value = _NAMED_VALUE.match(lines[j])
+                for j, (at, after) in enumerate(islice(_lines(text, offsets[i]), 1, 3), i + 1):
+                    value = _NAMED_VALUE.match(after)
                     if value:
                         which = "w" if value["w"] is not None else "v"
                         if _holds(named["k"], value[which]):
-                            out.setdefault((offsets[j] + value.start(which), offsets[j] + value.end(which)), at_line + j + 1)
+                            out.setdefault((at + value.start(which), at + value.end(which)), at_line + j + 1)
                         break
-        bare_lines = chunk.replace("\r\n", " \n").split("\n")
-        for i, line in enumerate(bare_lines):
-            last = line.rstrip(" ")[-1:]
-            if last and last in "(=+\\:.&" and i + 1 < len(bare_lines) and bare_lines[i + 1].lstrip()[:1] in ("'", '"', "`", "(") and line.strip() != last:
-                for n, (j, a, b) in enumerate(_parts(bare_lines, i)):
-                    out.setdefault((offsets[j] + a, offsets[j] + b), 0 if n else at_line + j + 1)
+        # From the line before, as a part may be what makes this chunk a candidate; on past its end.
+        before = text.rfind("\n", 0, start - 1) + 1 if start else 0
+        for i, (at, line) in enumerate(_lines(text, before), 0 if before == start else -1):
+            if at >= end and at > start:
+                break
+            line = line.rstrip()
+            if line and line[-1] in "(=+\\:.&" and len(line.lstrip()) > 1 and _PART_NEXT.match(text, text.find("\n", at) + 1 or len(text)):
+                for n, (j, a, b) in enumerate(_parts(text, at)):
+                    out.setdefault((a, b), 0 if n else at_line + i + j + 1)
     return sorted((line, a, b) for (a, b), line in out.items())
 
 

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from docloom.operators.physical import spread
 
-#: Chunks end with a line; the next one repeats the last lines, for matches that
-#: go over line ends.
+#: Chunks end with a line; the next one repeats up to so many lines, as far as they
+#: are no longer than a chunk.  What verifies a chunk may read on in the text.
 CHUNK_CHARS = 4096
 CHUNK_OVERLAP_LINES = 4
 
@@ -88,18 +88,19 @@ def chunks(text: str) -> list[tuple[int, int]]:
         if n - start <= CHUNK_CHARS:
             out.append((start, n))
             return out
+        last = out[-1][1] if out else 0
         end = text.rfind("\n", start, start + CHUNK_CHARS) + 1
-        if end <= start:
-            end = text.find("\n", start + CHUNK_CHARS) + 1 or n
+        if end <= max(start, last):  # each chunk ends later than the last one
+            end = text.find("\n", max(start + CHUNK_CHARS, last)) + 1 or n
         out.append((start, end))
         if end == n:
             return out
         back = end
         for _ in range(CHUNK_OVERLAP_LINES):
-            back = text.rfind("\n", start, back - 1) + 1
-            if back <= start:
-                back = end
+            line = text.rfind("\n", start, back - 1) + 1
+            if line <= start or end - line > CHUNK_CHARS:
                 break
+            back = line
         start = back
 
 

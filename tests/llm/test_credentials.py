@@ -60,6 +60,35 @@ def test_long_lines_take_linear_time(piece):
     assert time.process_time() - begun < 10
 
 
+_WIDE = "x = [" + "1, " * 1600 + "]"
+_PAIRS = [
+    ("a.yaml", "- name: DB_PASSWORD\n  value: %s", ["Harbor.8187"]), ("a.py", "PASSWD = (\n    '%s'\n    '%s'\n)", ["Drift", "_6006"]),
+    ("a.py", "PASSWD = (\n" + "    '%s'\n" * 7 + ")", [f"Dr{i}ft_" for i in range(7)]), ("a.js", "var key = 'ghp_aB3dE5gH7j' +\n  '%s';", ["aB3dE5gH7j" * 3]),
+    ("a.yaml", "- name: DB_PASSWORD\n  value: %s", ["Harbor.8187" * 500]), ("a.py", "a = 1; " * 700 + "PASSWD = (\n    '%s'\n    '%s'\n)", ["Drift", "_6006"]),
+]
+
+
+@pytest.mark.parametrize("path, text, values", _PAIRS)
+@pytest.mark.parametrize("before", [0, 1, 2, 3, 200])
+@pytest.mark.parametrize("wide", [1, 60])
+def test_values_beside_long_lines(path, text, values, before, wide):
+    lead = "y = 2\n" * before
+    for gap in range(0, 2):
+        text_in = (_WIDE[:4000] + "\n") * gap + lead + text % tuple(values) + "\n" + (_WIDE[: 100 * wide] + "\n") * 3 + lead
+        held = [i for i, (a, b) in enumerate(T.chunks(text_in)) if re.search("passw|key", text_in[a:b].lower())]
+        for numbers in (None, held):
+            found = C.find(text_in, path, numbers)
+            assert set(values) <= {text_in[a:b] for _, a, b in found} and len([n for n, _, _ in found if n]) == 1
+
+
+def test_chunks_overlap_beside_long_lines():
+    lines = ["name: DB_PASSWORD", "value: " + "a" * 2000, "b" * 3000, "c" * 9000, "d"]
+    text = "\n".join(lines * 3)
+    cut = T.chunks(text)
+    assert cut[0][0] == 0 and cut[-1][1] == len(text) and all(a < c <= b < d for (a, b), (c, d) in zip(cut, cut[1:]))
+    assert all(c < b or b - text.rfind("\n", 0, b - 1) > 4000 for (_, b), (c, _) in zip(cut, cut[1:]))
+
+
 def test_redaction_keeps_the_code():
     text = f'a = 1\r\nPASSWORD = "Harbor.8187"  # x\r\nT = "{TOKEN}"\r\n'
     assert C.redact(text, C.find(text, "a.py")) == 'a = 1\r\nPASSWORD = "REDACTED"  # x\r\nT = "REDACTED"\r\n'
