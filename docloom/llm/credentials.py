@@ -51,16 +51,6 @@ SECRET_WORD = (
     r"(?:passw(?:or[dt])?|passwd|passphrase|passcode|pwd|secret|credential|mot_?de_?passe|mdp|kennwort|contrase(?:ñ|n)a|senha|пароль|密码|パスワード"
     r"|api[_-]?key|access[_-]?key|account[_-]?key|auth[_-]?key|encryption[_-]?key|signing[_-]?key|private[_-]?key|shared[_-]?key|license[_-]?key|master[_-]?key|token|(?<![a-z])pass|bearer|authorization)"
 )
-KEYWORDS = (
-    r"passw|passphrase|passcode|pwd|secret|credential|mot_?de_?passe|kennwort|contrase|senha|api[_-]?key|access[_-]?key|account[_-]?key|auth[_-]?key"
-    r"|encryption[_-]?key|signing[_-]?key|private[_-]?key|shared[_-]?key|license[_-]?key|master[_-]?key|token|[_-]pass|pass[\"' ]?[:=]|bearer|basic |authorization|login|sshpass|curl|auth|pw for|pw:|pw="
-)
-PATTERNS = [TOKEN, BASE64_TOKEN, PRIVATE_KEY, r"://[^\s:/@]*:[^\s@]+@", r"@(?:tcp|unix|udp)\(", KEYWORDS]
-
-_CORE = re.compile("|".join([
-    "passw|passphrase|passcode|pwd|secret|credential|mot_?de_?passe|kennwort|contrase|senha|[a-z][_-]?key|token|[_-]pass|pass[\"' ]?[:=]|bearer|basic |login|sshpass|curl|auth|pw for|pw:|pw=",
-    r"://|@tcp\(|@unix\(|@udp\(|private key|akia|asia|gh[pousr]_|glpat-|xox[a-z]-|hf_|npm_|pypi-|dckr_|sk-|_live_|_test_|aiza|ya29|sg\.|eyj|github_pat|" + _IN_BASE64.lower() + "|a2zwx2",
-]))
 _token, _base64_token = re.compile(TOKEN), re.compile(BASE64_TOKEN)
 _private_key, _DSN_END = re.compile(PRIVATE_KEY), re.compile(r"@(?:tcp|unix|udp)\(", re.I)
 _url_password, _dsn_password = re.compile(URL_PASSWORD, re.I), re.compile(DSN_PASSWORD)
@@ -77,7 +67,7 @@ _SSHPASS = re.compile(r"""\bsshpass\s+-p\s*["']?(?P<v>[^\s"']+)""")
 _COMMAND, _USER = re.compile(r"\b(?:curl|wget|http)\b"), re.compile(r"""\s(?:-u|--user)[\s=]*["']?[^\s:"']+:(?P<v>[^\s"']+)""")
 _BEARER = re.compile(r"""\b(?:bearer|basic|authorization["']?\s*[:,]\s*["']?token)\s+(?P<v>[A-Za-z0-9+/=_.~-]{8,})(?=["'`\s]|$)""", re.I)
 _REMARK = re.compile(r"(?:^|\s)(?:[#;*]|//|--|<!--|/\*)")
-_SPOKEN = re.compile(r"""\b(?P<k>login|pass\w*|pwd|pw|token|secret|credentials?|(?:api )?key)\b(?: (?:for|of|on|to|in|at|from) [\w.-]+)*\s*(?:is\s*:?|:|=)\s*["'`]?(?P<v>[^\s"'`]+)""", re.I)
+_SPOKEN = re.compile(r"""\b(?P<k>login|pass\w*|pwd|pw(?=[\s:=])|token|secret|credentials?|(?:api )?key)\b(?: (?:for|of|on|to|in|at|from) [\w.-]+)*\s*(?:is\s*:?|:|=)\s*["'`]?(?P<v>[^\s"'`]+)""", re.I)
 _PAIR = re.compile(r"""\b(?:auth|credentials?|login)\w*\s*=\s*\(\s*(["'])[^"']*\1\s*,\s*(?P<q>["'])(?P<v>[^"']+)(?P=q)\s*\)""", re.I)
 _NAMED = re.compile(rf"""^[\s-]*name:\s*["']?(?P<k>\w*{SECRET_WORD}\w*)["']?\s*$""", re.I)
 _NAMED_VALUE = re.compile(r"""^\s*value:\s*(?:(?P<q>["'])(?P<v>.*?)(?P=q)|(?P<w>[^\s"'#]+))\s*$""")
@@ -86,6 +76,13 @@ _PART = re.compile(r"""^\s*\(?\s*(?P<q>["'`])(?P<v>[^"'`]*)(?P=q)\s*[+.\\&)]*\s*
 _PART_NEXT = re.compile(r"""[^\S\n]*["'`(]""")
 _FIRST_PART = re.compile(r"""(?P<k>[\w.-]+)["']?\s*(?::=|=|:)\s*\(?\s*(?P<q>["'`])(?P<v>[^"'`]*)(?P=q)\s*[+.\\&]+\s*$""")
 
+#: What the verifying expressions require of a text, derived from them; for an
+#: expression that follows a mark or holds a word of the list, what these require.
+PATTERNS = [TOKEN, BASE64_TOKEN, PRIVATE_KEY, URL_PASSWORD, DSN_PASSWORD, SECRET_WORD, _SPOKEN.pattern, _PAIR.pattern, _SSHPASS.pattern, _COMMAND.pattern, _BEARER.pattern]
+_REQUIRED = trigrams.required_bytes(PATTERNS)
+_KEYED = trigrams.required_bytes([SECRET_WORD])
+_GATES = {p: _KEYED for p in (_QUOTED, _OPTION, _BARE, _ENV_SPACE)} | {p: trigrams.required_bytes([p.pattern]) for p in (_SPOKEN, _PAIR, _SSHPASS, _BEARER)} | {_USER: trigrams.required_bytes([_COMMAND.pattern])}
+
 _BARE_FILES = re.compile(r"(?:\.(?:ya?ml|env|ini|cfg|conf|properties|toml|sh|bash|zsh|mk|tf|tfvars|txt|npmrc|pypirc|netrc)|(?:^|/)(?:Dockerfile|Makefile|Containerfile|\.env|\.npmrc|\.pypirc)[\w.-]*)$", re.I)
 _OTHER_KEY = re.compile(
     r"(?:name|names|field|ref|keyref|label|header|prefix|suffix|path|file|filename|dir|url|uri|endpoint|type|kind|count|limit|size|length|len|ttl|expiry|expires|expiration|format|regex|pattern|policy|hash|digest|"
@@ -195,8 +192,21 @@ def _matches(pattern: re.Pattern, line: str) -> Iterator[re.Match]:
     return _after(mark, pattern, line) if mark else pattern.finditer(line)
 
 
+def _may(sets: list[frozenset[bytes]], low: bytes) -> bool:
+    """Does the lower-cased ``low`` hold all trigrams of one of ``sets``?"""
+    for s in sets:
+        for gram in s:
+            if gram not in low:
+                break
+        else:
+            return True
+    return False
+
+
 def in_line(line: str, bare: bool) -> list[tuple[int, int]]:
     """Spans of the literal credentials that one line holds whole."""
+    low = trigrams.lower_case(line).encode("utf-8", "surrogatepass")
+    keyed = _may(_KEYED, low)
     out = [m.span() for m in _token.finditer(line) if not re.fullmatch(r"[\w-]*?x{6,}[\w-]*", m[0], re.I)]
     for m in _base64_token.finditer(line):
         inner = _decoded(m[0])
@@ -205,6 +215,8 @@ def in_line(line: str, bare: bool) -> list[tuple[int, int]]:
     out += [m.span(1) for m in (*_urls(line), *_dsns(line)) if literal(m[1])]
     found = [_QUOTED, _OPTION, _SPOKEN, _PAIR, _SSHPASS, _USER, _BEARER] + ([_BARE, _ENV_SPACE] if bare else [])
     for pattern in found:
+        if not (keyed if _GATES[pattern] is _KEYED else _may(_GATES[pattern], low)):
+            continue
         for m in _matches(pattern, line):
             groups = m.groupdict()
             which = "w" if groups.get("w") is not None else "v"
@@ -279,20 +291,13 @@ def find(text: str, path: str | None, numbers: list[int] | None = None) -> list[
         at_line += text.count("\n", at_offset, start)
         at_offset = start
         chunk = text[start:end]
-        lower = chunk.lower()
-        if len(lower) != len(chunk):
-            lower = chunk
+        lower = trigrams.lower_case(chunk).encode("utf-8", "surrogatepass")
+        here = [s for s in _REQUIRED if all(gram in lower for gram in s)]
         offsets, lines, offset = [], chunk.split("\n"), start
         for line in lines:
             offsets.append(offset)
             offset += len(line) + 1
-        looked, i = set(), 0
-        breaks = [o - start for o in offsets]
-        for m in _CORE.finditer(lower):
-            while i + 1 < len(breaks) and breaks[i + 1] <= m.start():
-                i += 1
-            looked.add(i)
-        for i in sorted(looked):
+        for i in [i for i, low in enumerate(lower.split(b"\n")) if _may(here, low)] if here else []:
             line = lines[i]
             key = _private_key.search(line)
             if key:

@@ -9,7 +9,6 @@ postings leaves the chunks on which expressions must be verified.
 
 from __future__ import annotations
 
-import re
 import re._parser as sre
 from collections.abc import Iterator
 
@@ -26,58 +25,97 @@ CHUNK_CHARS = 4096
 CHUNK_OVERLAP_LINES = 4
 
 
-def _runs(tree) -> list[list[str]]:
-    """Alternatives of a parse tree, each a list of literal runs that it must hold."""
-    alternatives: list[list[str]] = [[""]]  # the last run of each may go on
+#: What ``\\s`` matches.
+_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 
-    def extend(options: list[list[str]]) -> None:
-        nonlocal alternatives
-        joined = []
-        for a in alternatives:
-            for b in options:
-                joined.append([*a[:-1], a[-1] + b[0], *b[1:]])
-        alternatives = joined if len(joined) <= 400 else [[*a, ""] for a in alternatives]
+
+def _grams(run: str) -> frozenset[str]:
+    """The trigrams of a run; a shorter run of at least three bytes as it is."""
+    if len(run) < 3:
+        return frozenset([run] if len(run.encode()) >= 3 else [])
+    return frozenset(run[i : i + 3] for i in range(len(run) - 2))
+
+
+def _least(sets: set[tuple[frozenset[str], str]]) -> set[tuple[frozenset[str], str]]:
+    """Without the alternatives that another one with the same open run makes needless."""
+    by_run: dict[str, list[frozenset[str]]] = {}
+    for grams, run in sorted(sets, key=lambda x: len(x[0])):
+        known = by_run.setdefault(run, [])
+        if not any(k <= grams for k in known):
+            known.append(grams)
+    return {(grams, run) for run, known in by_run.items() for grams in known}
+
+
+def _required(tree, begun: set[tuple[frozenset[str], str]]) -> set[tuple[frozenset[str], str]]:
+    """Alternatives after a parse tree: trigrams that must be held, and the literal run that may go on."""
+
+    def ended(options: set[tuple[frozenset[str], str]]) -> set[tuple[frozenset[str], str]]:
+        return _least({(grams | _grams(run), "") for grams, run in options})
+
+    def either(letters: list[str]) -> set[tuple[frozenset[str], str]]:
+        return {(grams, run + c) for grams, run in begun for c in letters}
 
     for op, value in tree:
         name = str(op)
         if name == "LITERAL":
-            extend([[chr(value).lower()]])
+            begun = either([chr(value).lower()])
         elif name == "SUBPATTERN":
-            extend(_runs(value[3]))
+            begun = _required(value[3], begun)
         elif name == "ATOMIC_GROUP":
-            extend(_runs(value))
+            begun = _required(value, begun)
         elif name == "BRANCH":
-            extend([x for branch in value[1] for x in _runs(branch)])
+            begun = {x for branch in value[1] for x in _required(branch, begun)}
         elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
-            least, _, inner = value
-            if least:
-                extend([[*x, ""] for x in _runs(inner)])
+            least, most, inner = value
+            if least == 0 and most == 1:
+                begun = begun | _required(inner, begun)
             else:
-                extend([["", ""]])
+                begun = ended(_required(inner, begun) if least else begun)
         elif name == "IN" and len(value) <= 8 and all(str(v[0]) == "LITERAL" for v in value):
-            extend([[c] for c in sorted({chr(v[1]).lower() for v in value})])
-        elif name in ("AT", "ASSERT", "ASSERT_NOT", "GROUPREF"):
-            if name == "GROUPREF":
-                extend([["", ""]])
-        else:
-            extend([["", ""]])
-    return alternatives
+            begun = either(sorted({chr(v[1]).lower() for v in value}))
+        elif name == "IN" and 1 < len(value) <= 8 and all(str(v[0]) == "LITERAL" or str(v[1]) == "CATEGORY_SPACE" for v in value):
+            begun = either(sorted({c for v in value for c in ([chr(v[1]).lower()] if str(v[0]) == "LITERAL" else _SPACES)}))
+        elif name == "ASSERT" and value[0] > 0:
+            begun = ended(_required(value[1], begun))
+        elif name not in ("AT", "ASSERT", "ASSERT_NOT"):
+            begun = ended(begun)
+        begun = _least(begun)
+        if len(begun) > 400:
+            begun = ended(begun)
+    return begun
 
 
 def required_trigrams(pattern: str) -> list[frozenset[str]]:
     """The trigram sets of which a matching text must hold at least one whole.
 
     An alternative without any trigram gives an empty set: everything may match.
-    Sets that contain another one are left out, as they require no less.
+    Sets that contain another one are left out, as they require no less.  One or
+    two letters that take three bytes or more in UTF-8 stand for their trigrams
+    of bytes.
     """
+    sets = {grams | _grams(run) for grams, run in _required(sre.parse(pattern), {(frozenset(), "")})}
+    return sorted((s for s in sets if not any(t < s for t in sets)), key=sorted)
+
+
+def required_bytes(patterns: list[str]) -> list[frozenset[bytes]]:
+    """The sets of byte trigrams, in UTF-8 and lower case, of all ``patterns`` together."""
     sets = set()
-    for runs in _runs(sre.parse(pattern)):
-        sets.add(frozenset(run[i : i + 3] for run in runs for i in range(len(run) - 2) if run.isascii()))
+    for grams in {s for p in patterns for s in required_trigrams(p)}:
+        coded = [g.encode() for g in grams]
+        sets.add(frozenset(c[i : i + 3] for c in coded for i in range(len(c) - 2)))
     return sorted((s for s in sets if not any(t < s for t in sets)), key=sorted)
 
 
-def _code(trigram: str) -> int:
-    a, b, c = trigram.encode()
+def lower_case(text: str) -> str:
+    """``text`` in lower case, letter by letter, so that places stay."""
+    lower = text.lower()
+    if len(lower) != len(text):  # a few letters change length
+        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    return lower.replace("\u017f", "s").replace("\u0131", "i")  # as patterns without case match them
+
+
+def _code(trigram: bytes) -> int:
+    a, b, c = trigram
     return a << 16 | b << 8 | c
 
 
@@ -104,7 +142,7 @@ def chunks(text: str) -> list[tuple[int, int]]:
         start = back
 
 
-def postings(df: DataFrame, key: str, text: str, trigrams: set[str]) -> DataFrame:
+def postings(df: DataFrame, key: str, text: str, trigrams: set[bytes]) -> DataFrame:
     """``key, chunk, trigram``: the chunks that hold each of ``trigrams``, in lower case."""
     codes = np.array(sorted(_code(t) for t in trigrams), np.int64)
 
@@ -116,9 +154,7 @@ def postings(df: DataFrame, key: str, text: str, trigrams: set[str]) -> DataFram
             for i, value in enumerate(batch.column(1).to_pylist()):
                 if not value:
                     continue
-                lower = value.lower()
-                if len(lower) != len(value):  # a few letters change length
-                    lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+                lower = lower_case(value)
                 for number, (start, end) in enumerate(chunks(value)):
                     data = np.frombuffer(lower[start:end].encode("utf-8", "surrogatepass"), np.uint8).astype(np.int32)
                     if len(data) < 3:
@@ -143,8 +179,7 @@ def candidates(df: DataFrame, key: str, text: str, patterns: list[str]) -> DataF
     trigrams of one alternative.  Rows with the same key are looked at together.  The table of alternatives depends on the
     patterns only, so it is broadcast.
     """
-    sets = sorted({s for p in patterns for s in required_trigrams(re.compile(p).pattern)}, key=sorted)
-    sets = [s for s in sets if not any(t < s for t in sets)]
+    sets = required_bytes(patterns)
     if not all(sets):
         raise ValueError("a pattern has an alternative without any required trigram")
     spark = df.sparkSession

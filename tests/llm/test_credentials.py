@@ -89,6 +89,29 @@ def test_chunks_overlap_beside_long_lines():
     assert all(c < b or b - text.rfind("\n", 0, b - 1) > 4000 for (_, b), (c, _) in zip(cut, cut[1:]))
 
 
+_RARE = [
+    ("a.py", 'mdp = "Vapor4386"', 1), ("a.py", 'пароль = "Vapor4386"', 1), ("a.py", 'ПАРОЛЬ = "Vapor4386"', 1), ("a.py", '密码 = "Vapor4386"', 1), ("a.py", 'パスワード = "Vapor4386"', 1), ("a.py", 'pass  = "Harbor.8187"', 1),
+    ("a.py", 'pass\t= "Harbor.8187"', 1), ("a.go", 'Set("pass", "Harbor.8187")', 1), ("a.py", "# api key: Summit-3548", 1), ("a.py", "# key is Summit-3548", 1), ("a.py", "# pw is Summit-3548", 1), ("a.py", "# pw\t: Summit-3548", 1),
+    ("a.py", "# pass for db is Summit-3548", 1), ("a.sh", "wget --user=svc:Delta-2152 a.example", 1), ("a.py", 'x = "\u0130"\nPASSWORD = "Harbor.8187"', 2), ("a.py", "SİGN_MDP = 'Vapor4386'", 1),
+]
+
+
+@pytest.mark.parametrize("path, text, line", _RARE)
+def test_every_form_of_the_expressions_is_looked_for(path, text, line):
+    assert [n for n, _, _ in C.find(text, path) if n] == [line]
+
+
+def test_index_holds_every_form(spark):
+    df = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(_RARE)], "id int, path string, content string")
+    assert sorted(tuple(r) for r in C.credential_lines(df, "id", "path", "content").collect()) == [(i, n) for i, (_, _, n) in enumerate(_RARE)]
+
+
+def test_required_trigrams_of_other_scripts():
+    assert T.required_bytes(["密码"]) == [frozenset({"密".encode(), "码".encode(), "密码".encode()[1:4], "密码".encode()[2:5]})]
+    assert T.required_trigrams("pw(?=[:=])x?") == [frozenset({"pw:"}), frozenset({"pw="})]
+    assert T.required_trigrams("ab?cd") == [frozenset({"abc", "bcd"}), frozenset({"acd"})]
+
+
 def test_redaction_keeps_the_code():
     text = f'a = 1\r\nPASSWORD = "Harbor.8187"  # x\r\nT = "{TOKEN}"\r\n'
     assert C.redact(text, C.find(text, "a.py")) == 'a = 1\r\nPASSWORD = "REDACTED"  # x\r\nT = "REDACTED"\r\n'
