@@ -2,7 +2,7 @@
 
 Each detection pattern gives the trigrams that it requires; a trigram index over
 the chunks of all files leaves the chunks where a pattern may match, and only
-these are verified.  Verification looks at the form of the assignment and of the
+these are verified, in the batch that indexed them.  Verification looks at the form of the assignment and of the
 value: stand-ins, references to variables or stores, names of fields, hashes and
 numbers are not credentials.
 """
@@ -12,13 +12,14 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
-from itertools import islice
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import trigrams
+from docloom.operators.physical import spread
 
 #: Beginnings and forms of well-known token kinds.
 _TOKEN_FORMS = (
@@ -39,9 +40,22 @@ _TOKEN_FORMS = (
     r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
 )
 TOKEN = r"(?<![A-Za-z0-9_-])(?:" + "|".join(_TOKEN_FORMS) + r")(?![A-Za-z0-9])"
-_BEGINNINGS = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "hf_", "npm_", "pypi-", "sk-", "_live_", "AIza", "eyJ", "-----BEGIN")
-_IN_BASE64 = "|".join(re.escape(base64.b64encode(x.encode()).decode()[: len(x) * 4 // 3]) for x in _BEGINNINGS if not x.startswith("_"))
-BASE64_TOKEN = rf"(?<![A-Za-z0-9+/])(?:{_IN_BASE64}|a2ZwX2xpdmVf)[A-Za-z0-9+/]{{12,}}={{0,2}}"
+_BEGINNINGS = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "hf_", "npm_", "pypi-", "sk-", "_live_", "_test_", "AIza", "eyJ", "-----BEGIN")
+
+
+def in_base64(text: str) -> list[str]:
+    """What ``text`` surely looks like within base64, at each of the three alignments."""
+    out = []
+    for before in range(3):
+        coded = base64.b64encode(b"\0" * before + text.encode() + b"\0" * 3).decode()
+        out.append(coded[-(-8 * before // 6) : 8 * (before + len(text.encode())) // 6])
+    return out
+
+
+_CODED = sorted({x for b in _BEGINNINGS for x in in_base64(b) if len(x) > 2})
+#: A run of base64; one that holds a beginning of a token is decoded.
+BASE64_RUN = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{16,}={0,2}"
+BASE64_TOKEN = "|".join(map(re.escape, _CODED))
 PRIVATE_KEY = r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----"
 URL_PASSWORD = r"[a-z][a-z0-9+.-]*://[^\s:/@\"'`<>]*:([^\s\"'`<>/@]+(?:/[^\s\"'`<>/@]+)*)@[\w\[]"
 DSN_PASSWORD = r"(?<![\w/])[\w.-]+:([^\s\"'`@]+)@(?:tcp|unix|udp)\("
@@ -51,7 +65,8 @@ SECRET_WORD = (
     r"(?:passw(?:or[dt])?|passwd|passphrase|passcode|pwd|secret|credential|mot_?de_?passe|mdp|kennwort|contrase(?:ñ|n)a|senha|пароль|密码|パスワード"
     r"|api[_-]?key|access[_-]?key|account[_-]?key|auth[_-]?key|encryption[_-]?key|signing[_-]?key|private[_-]?key|shared[_-]?key|license[_-]?key|master[_-]?key|token|(?<![a-z])pass|bearer|authorization)"
 )
-_token, _base64_token = re.compile(TOKEN), re.compile(BASE64_TOKEN)
+_token, _base64_run, _coded = re.compile(TOKEN), re.compile(BASE64_RUN), re.compile(BASE64_TOKEN)
+_KEY_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 _private_key, _DSN_END = re.compile(PRIVATE_KEY), re.compile(r"@(?:tcp|unix|udp)\(", re.I)
 _url_password, _dsn_password = re.compile(URL_PASSWORD, re.I), re.compile(DSN_PASSWORD)
 
@@ -145,7 +160,7 @@ def _decoded(value: str) -> str:
     try:
         whole = value.rstrip("=")
         whole = whole[: len(whole) - (len(whole) % 4 == 1)]  # one character over holds no byte
-        return base64.b64decode(whole + "=" * (-len(whole) % 4)).decode("ascii")
+        return base64.b64decode(whole + "=" * (-len(whole) % 4)).decode("utf-8")
     except ValueError:
         return ""
 
@@ -208,8 +223,8 @@ def in_line(line: str, bare: bool) -> list[tuple[int, int]]:
     low = trigrams.lower_case(line).encode("utf-8", "surrogatepass")
     keyed = _may(_KEYED, low)
     out = [m.span() for m in _token.finditer(line) if not re.fullmatch(r"[\w-]*?x{6,}[\w-]*", m[0], re.I)]
-    for m in _base64_token.finditer(line):
-        inner = _decoded(m[0])
+    for m in _base64_run.finditer(line):
+        inner = _decoded(m[0]) if _coded.search(m[0]) else ""
         if inner and (_token.search(inner) or _private_key.search(inner)):
             out.append(m.span())
     out += [m.span(1) for m in (*_urls(line), *_dsns(line)) if literal(m[1])]
@@ -277,53 +292,50 @@ def _parts(text: str, at: int) -> list[tuple[int, int, int]]:
     return parts if secret else []
 
 
-def find(text: str, path: str | None, numbers: list[int] | None = None) -> list[tuple[int, int, int]]:
+def find(text: str, path: str | None, chunks: list[tuple[int, int, list[int]]] | None = None) -> list[tuple[int, int, int]]:
     """(line number, start, end) of each part of each credential in ``text``.
 
     Line numbers count from 1; further parts of a value have line number 0.  Only
-    the chunks in ``numbers`` are looked at, or all.
+    the lines of candidate ``chunks`` (first and last line, counted from 0, and the
+    requirements that they meet, in order) are looked at, or all; what begins there
+    is read to its end.
     """
     bare = path is None or bool(_BARE_FILES.search(path))
     out: dict[tuple[int, int], int] = {}
-    spans = trigrams.chunks(text)
-    at_line, at_offset = 0, 0
-    for start, end in [spans[n] for n in numbers if n < len(spans)] if numbers is not None else spans:
-        at_line += text.count("\n", at_offset, start)
-        at_offset = start
-        chunk = text[start:end]
-        lower = trigrams.lower_case(chunk).encode("utf-8", "surrogatepass")
-        here = [s for s in _REQUIRED if all(gram in lower for gram in s)]
-        offsets, lines, offset = [], chunk.split("\n"), start
-        for line in lines:
-            offsets.append(offset)
-            offset += len(line) + 1
-        for i in [i for i, low in enumerate(lower.split(b"\n")) if _may(here, low)] if here else []:
+    lines = text.split("\n")
+    offsets = list(accumulate((len(x) + 1 for x in lines), initial=0))
+    done = 0  # lines that were looked at as beginnings of values in parts
+    for first, last, met in chunks if chunks is not None else [(0, len(lines) - 1, range(len(_REQUIRED)))]:
+        here = [_REQUIRED[n] for n in met]
+        lower = trigrams.lower_case(text[offsets[first] : offsets[last + 1] - 1]).encode("utf-8", "surrogatepass")
+        for i in [first + j for j, low in enumerate(lower.split(b"\n")) if _may(here, low)]:
             line = lines[i]
             key = _private_key.search(line)
             if key:
                 begin = offsets[i] + key.start()
-                stop = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----").search(text, begin)
-                out[(begin, stop.end() if stop else offsets[i] + len(line))] = at_line + i + 1
+                stop = _KEY_END.search(text, begin)
+                out[(begin, stop.end() if stop else offsets[i] + len(line))] = i + 1
             for a, b in in_line(line, bare):
-                out.setdefault((offsets[i] + a, offsets[i] + b), at_line + i + 1)
+                out.setdefault((offsets[i] + a, offsets[i] + b), i + 1)
             named = _NAMED.match(line)
             if named:
-                for j, (at, after) in enumerate(islice(_lines(text, offsets[i]), 1, 3), i + 1):
-                    value = _NAMED_VALUE.match(after)
+                for j in range(i + 1, min(i + 3, len(lines))):
+                    value = _NAMED_VALUE.match(lines[j])
                     if value:
                         which = "w" if value["w"] is not None else "v"
                         if _holds(named["k"], value[which]):
-                            out.setdefault((at + value.start(which), at + value.end(which)), at_line + j + 1)
+                            out.setdefault((offsets[j] + value.start(which), offsets[j] + value.end(which)), j + 1)
                         break
-        # From the line before, as a part may be what makes this chunk a candidate; on past its end.
-        before = text.rfind("\n", 0, start - 1) + 1 if start else 0
-        for i, (at, line) in enumerate(_lines(text, before), 0 if before == start else -1):
-            if at >= end and at > start:
-                break
-            line = line.rstrip()
-            if line and line[-1] in "(=+\\:.&" and len(line.lstrip()) > 1 and _PART_NEXT.match(text, text.find("\n", at) + 1 or len(text)):
-                for n, (j, a, b) in enumerate(_parts(text, at)):
-                    out.setdefault((a, b), 0 if n else at_line + i + j + 1)
+        # A part may be what makes this chunk a candidate: back to where the value begins.
+        begin = first
+        while begin > done and (begin == first or _PART.match(lines[begin])):
+            begin -= 1
+        for i in range(begin, last + 1):
+            line = lines[i].rstrip()
+            if line and line[-1] in "(=+\\:.&" and len(line.lstrip()) > 1 and i + 1 < len(lines) and _PART_NEXT.match(lines[i + 1]):
+                for n, (j, a, b) in enumerate(_parts(text, offsets[i])):
+                    out.setdefault((a, b), 0 if n else i + j + 1)
+        done = max(done, last + 1)
     return sorted((line, a, b) for (a, b), line in out.items())
 
 
@@ -337,50 +349,45 @@ def redact(text: str, found: list[tuple[int, int, int]], mark: str = "REDACTED")
     return "".join(out) + text[done:]
 
 
-def _verify(df: DataFrame, key: str, path: str, content: str) -> DataFrame:
-    """Files with candidate chunks: key, path, content, chunks."""
-    found = trigrams.candidates(df, key, content, PATTERNS)
-    files = df.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(content).alias("content")).where("content is not null")
-    return files.join(found, "key")
-
-
 def credential_lines(df: DataFrame, key: str, path: str, content: str) -> DataFrame:
     """``key, line_no``: the lines on which a literal credential begins, once each.
 
     Lines are cut at each newline and counted from 1.  NULL contents and keys give
     nothing; a NULL path means that unquoted values count too; a repeated key
-    gives its lines once.
+    gives its lines once.  Only the lines found are shuffled.
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = trigrams.index_of(tuple(_REQUIRED))
         for batch in it:
-            paths, contents, numbers = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            paths, contents = (batch.column(i).to_pylist() for i in (1, 2))
             rows, lines = [], []
-            for i, text in enumerate(contents):
-                found = sorted({line for line, _, _ in find(text, paths[i], numbers[i]) if line})
+            for i, held in enumerate(index.candidate_chunks(contents)):
+                found = sorted({line for line, _, _ in find(contents[i], paths[i], held) if line}) if held else []
                 rows += [i] * len(found)
                 lines += found
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(lines, pa.int64())], names=["key", "line_no"])
 
     kind = df.schema[key].dataType.simpleString()
-    out = _verify(df, key, path, content).select("key", "path", "content", "chunks").mapInArrow(batches, f"key {kind}, line_no long")
-    return out.distinct().withColumnRenamed("key", key)
+    files = df.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(content).alias("content")).where("content is not null and key is not null")
+    return spread(files).mapInArrow(batches, f"key {kind}, line_no long").distinct().withColumnRenamed("key", key)
 
 
 def redacted(df: DataFrame, key: str, path: str, content: str) -> DataFrame:
     """``key`` and ``content`` of every row, credentials replaced by a mark.
 
     Rows without credentials, NULL and empty contents come out as they are.
+    Nothing is shuffled.
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = trigrams.index_of(tuple(_REQUIRED))
         for batch in it:
-            paths, contents, numbers = (batch.column(i).to_pylist() for i in (1, 2, 3))
-            out = [t if not t or not n else redact(t, find(t, p, n)) for p, t, n in zip(paths, contents, numbers)]
+            paths, contents = (batch.column(i).to_pylist() for i in (1, 2))
+            held = index.candidate_chunks([t or "" for t in contents])
+            out = [redact(t, find(t, p, h)) if h else t for p, t, h in zip(paths, contents, held)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["key", "content"])
 
     kind = df.schema[key].dataType.simpleString()
-    found = trigrams.candidates(df, key, content, PATTERNS)
-    files = df.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(content).alias("content")).join(found, "key", "left")
-    out = files.select("key", "path", "content", "chunks").mapInArrow(batches, f"key {kind}, content string")
-    return out.select(F.col("key").alias(key), F.col("content").alias(content))
+    files = spread(df.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(content).alias("content")))
+    return files.mapInArrow(batches, f"key {kind}, content string").select(F.col("key").alias(key), F.col("content").alias(content))

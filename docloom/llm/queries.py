@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, containers, credentials, handwritten, lookalikes, personal, pieces, repeated_lines
+from docloom.llm import bpe, containers, credentials, handwritten, lookalikes, personal, pieces, repeated_lines, trigrams
 from docloom.operators.physical import materialize
 
 
@@ -41,6 +41,12 @@ def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return credentials.redacted(table(spark, sf, "code_data"), "id", "path", "content")
 
 
+def p3_index(spark: SparkSession, sf: str) -> DataFrame:
+    """How many chunks the trigram index leaves to be verified."""
+    counted = trigrams.selectivity(table(spark, sf, "code_data"), "content", credentials.PATTERNS)
+    return counted.withColumn("share", F.round(F.col("candidates") / F.greatest("chunks", F.lit(1)), 4))
+
+
 def _by_spec(spark: SparkSession, sf: str, make: Callable) -> DataFrame:
     """Union over the rows of split_specs, a table of fixed size."""
     specs = table(spark, sf, "split_specs").orderBy("spec_id").collect()
@@ -102,7 +108,7 @@ def p8_normalized(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.normalize_texts(table(spark, sf, "documents"), "doc_id", "text")
 
 
-_ALL = (p1_found, p1_redacted, p2_found, p2_handwritten, p3_found, p3_redacted, p4_found, p4_pieces, p5_found, p5_cleaned, p6_ids, p6_decoded, p7_containers, p7_fill, p8_found, p8_normalized)
+_ALL = (p1_found, p1_redacted, p2_found, p2_handwritten, p3_found, p3_redacted, p3_index, p4_found, p4_pieces, p5_found, p5_cleaned, p6_ids, p6_decoded, p7_containers, p7_fill, p8_found, p8_normalized)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

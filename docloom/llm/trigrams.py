@@ -5,10 +5,15 @@ only match if, for at least one of the expression's alternatives, it holds all t
 trigrams of that alternative's literal runs.  The index keeps a posting (trigram,
 file, chunk) for the trigrams that some expression needs, and intersecting the
 postings leaves the chunks on which expressions must be verified.
+
+All postings of a chunk come from one file, so ``candidate_chunks`` intersects them
+in the batch that makes them and nothing is shuffled; ``postings`` and
+``candidates`` are the same for an index that is kept as a table.
 """
 
 from __future__ import annotations
 
+import functools
 import re._parser as sre
 from collections.abc import Iterator
 
@@ -19,10 +24,14 @@ from pyspark.sql import functions as F
 
 from docloom.operators.physical import spread
 
-#: Chunks end with a line; the next one repeats up to so many lines, as far as they
-#: are no longer than a chunk.  What verifies a chunk may read on in the text.
-CHUNK_CHARS = 4096
-CHUNK_OVERLAP_LINES = 4
+#: A chunk is the run of lines that begin within so many bytes of a text, counted
+#: from its beginning; a longer line is a chunk.  What verifies a chunk may read on.
+CHUNK_BYTES = 256
+#: Texts of about so many bytes are looked at together.
+BATCH_BYTES = 1_500_000
+#: Beyond so many alternatives of one expression open literal runs end where they
+#: are, which requires less of a text and so loses no match.
+MOST_ALTERNATIVES = 400
 
 
 #: What ``\\s`` matches.
@@ -80,7 +89,7 @@ def _required(tree, begun: set[tuple[frozenset[str], str]]) -> set[tuple[frozens
         elif name not in ("AT", "ASSERT", "ASSERT_NOT"):
             begun = ended(begun)
         begun = _least(begun)
-        if len(begun) > 400:
+        if len(begun) > MOST_ALTERNATIVES:
             begun = ended(begun)
     return begun
 
@@ -119,73 +128,126 @@ def _code(trigram: bytes) -> int:
     return a << 16 | b << 8 | c
 
 
-def chunks(text: str) -> list[tuple[int, int]]:
-    """(start, end) of each chunk of whole lines; one longer line is one chunk."""
-    out, start, n = [], 0, len(text)
-    while True:
-        if n - start <= CHUNK_CHARS:
-            out.append((start, n))
-            return out
-        last = out[-1][1] if out else 0
-        end = text.rfind("\n", start, start + CHUNK_CHARS) + 1
-        if end <= max(start, last):  # each chunk ends later than the last one
-            end = text.find("\n", max(start + CHUNK_CHARS, last)) + 1 or n
-        out.append((start, end))
-        if end == n:
-            return out
-        back = end
-        for _ in range(CHUNK_OVERLAP_LINES):
-            line = text.rfind("\n", start, back - 1) + 1
-            if line <= start or end - line > CHUNK_CHARS:
-                break
-            back = line
-        start = back
-
-
-def postings(df: DataFrame, key: str, text: str, trigrams: set[bytes]) -> DataFrame:
-    """``key, chunk, trigram``: the chunks that hold each of ``trigrams``, in lower case."""
-    codes = np.array(sorted(_code(t) for t in trigrams), np.int64)
+class Chunks:
+    """The chunks of several texts: postings of the wanted trigrams and lines of each.
+
+    ``text`` and ``number`` name a chunk, ``first`` and ``last`` its lines, counted
+    from 0.  A posting is a pair of ``chunk`` and ``trigram``, its place among the
+    sorted codes of the wanted ones.
+    """
+
+    def __init__(self, texts: list[str], codes: np.ndarray, wanted: np.ndarray):
+        low = [lower_case(t).encode("utf-8", "surrogatepass") for t in texts]
+        data = np.frombuffer(b"\n".join(low), np.uint8)
+        begins = np.concatenate(([0], np.cumsum([len(x) + 1 for x in low])))[:-1].astype(np.int64)
+        line = np.concatenate(([0], np.flatnonzero(data == 10) + 1))
+        of = np.searchsorted(begins, line, "right") - 1
+        block = (line - begins[of]) // CHUNK_BYTES
+        new = np.concatenate(([True], (of[1:] != of[:-1]) | (block[1:] != block[:-1])))
+        chunk_of_line = np.cumsum(new) - 1
+        at = np.flatnonzero(new)
+        first_line = np.searchsorted(line, begins)
+        self.text = of[at]
+        self.first = at - first_line[self.text]
+        self.last = np.concatenate((at[1:], [len(line)])) - 1 - first_line[self.text]
+        self.number = np.arange(len(at)) - np.searchsorted(self.text, self.text)
+        wide = data.astype(np.int32)
+        grams = wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:] if len(data) > 2 else np.zeros(0, np.int32)
+        hits = np.flatnonzero(wanted[grams])
+        chunk = chunk_of_line[np.searchsorted(line, hits, "right") - 1]
+        pairs = np.unique(chunk * len(codes) + np.searchsorted(codes, grams[hits]))
+        self.chunk, self.trigram = pairs // len(codes), pairs % len(codes)
+
+    def met(self, sets: list[np.ndarray], trigrams: int) -> np.ndarray:
+        """Of each chunk and each of ``sets``: does the chunk hold all its trigrams?"""
+        held = np.zeros((len(self.text), trigrams), bool)
+        held[self.chunk, self.trigram] = True
+        return np.stack([held[:, s].all(axis=1) for s in sets], axis=1)
+
+
+class Index:
+    """Required trigrams of expressions, looked up in the chunks of texts."""
+
+    def __init__(self, required: list[frozenset[bytes]]):
+        if not all(required):
+            raise ValueError("a pattern has an alternative without any required trigram")
+        self.codes = np.array(sorted({_code(t) for s in required for t in s}), np.int64)
+        self.sets = [np.searchsorted(self.codes, sorted(_code(t) for t in s)) for s in required]
+        self.wanted = np.zeros(1 << 24, bool)
+        self.wanted[self.codes] = True
+
+    def chunks(self, texts: list[str]) -> Iterator[tuple[int, Chunks]]:
+        """(place of the first text, chunks) of groups of texts."""
+        group: list[str] = []
+        held = 0
+        for i, text in enumerate(texts):
+            group.append(text)
+            held += len(text)
+            if held >= BATCH_BYTES or i + 1 == len(texts):
+                yield i + 1 - len(group), Chunks(group, self.codes, self.wanted)
+                group, held = [], 0
+
+    def candidate_chunks(self, texts: list[str]) -> list[list[tuple[int, int, list[int]]]]:
+        """(first line, last line, requirements met) of each candidate chunk of each text."""
+        out: list[list[tuple[int, int, list[int]]]] = [[] for _ in texts]
+        for begin, found in self.chunks(texts):
+            met = found.met(self.sets, len(self.codes))
+            at = np.flatnonzero(met.any(axis=1))
+            which, needs = np.nonzero(met[at])
+            parts = np.split(needs, np.searchsorted(which, np.arange(1, len(at))))
+            for text, first, last, part in zip(found.text[at].tolist(), found.first[at].tolist(), found.last[at].tolist(), parts):
+                out[begin + text].append((first, last, part.tolist()))
+        return out
+
+
+@functools.cache
+def index_of(required: tuple[frozenset[bytes], ...]) -> Index:
+    """One index of these requirements for each worker."""
+    return Index(list(required))
+
+
+def postings(df: DataFrame, key: str, text: str, patterns: list[str]) -> DataFrame:
+    """``key, chunk, trigram``: the chunks that hold each required trigram, in lower case.
+
+    Chunks are numbered from 0 in each text.  NULL keys and texts have none.
+    """
+    required = tuple(required_bytes(patterns))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.zeros(1 << 24, bool)
-        wanted[codes] = True
+        index = index_of(required)
         for batch in it:
-            rows, numbers, found = [], [], []
-            for i, value in enumerate(batch.column(1).to_pylist()):
-                if not value:
-                    continue
-                lower = lower_case(value)
-                for number, (start, end) in enumerate(chunks(value)):
-                    data = np.frombuffer(lower[start:end].encode("utf-8", "surrogatepass"), np.uint8).astype(np.int32)
-                    if len(data) < 3:
-                        continue
-                    grams = data[:-2] << 16 | data[1:-1] << 8 | data[2:]
-                    hits = np.unique(grams[wanted[grams]])
-                    rows += [i] * len(hits)
-                    numbers += [number] * len(hits)
-                    found += hits.tolist()
-            keys = batch.column(0).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(numbers, pa.int32()), pa.array(found, pa.int32())], names=["key", "chunk", "trigram"])
+            for begin, found in index.chunks(batch.column(1).to_pylist()):
+                keys = batch.column(0).take(pa.array(begin + found.text[found.chunk]))
+                numbers, codes = found.number[found.chunk], index.codes[found.trigram]
+                yield pa.RecordBatch.from_arrays([keys, pa.array(numbers, pa.int32()), pa.array(codes, pa.int32())], names=["key", "chunk", "trigram"])
 
     kind = df.schema[key].dataType.simpleString()
     source = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("key").isNotNull())
     return spread(source).mapInArrow(batches, f"key {kind}, chunk int, trigram int")
 
 
-def candidates(df: DataFrame, key: str, text: str, patterns: list[str]) -> DataFrame:
-    """``key`` and ``chunks``, the chunk numbers on which some pattern may match.
+def candidates(index: DataFrame, patterns: list[str]) -> DataFrame:
+    """``key`` and ``chunk``: the chunks of a stored index on which some pattern may match.
 
-    Postings are intersected per chunk: a chunk is a candidate if it has all
-    trigrams of one alternative.  Rows with the same key are looked at together.  The table of alternatives depends on the
-    patterns only, so it is broadcast.
+    The table of alternatives depends on the patterns only, so it is broadcast.
+    Postings of rows with the same key are looked at together.
     """
-    sets = required_bytes(patterns)
-    if not all(sets):
-        raise ValueError("a pattern has an alternative without any required trigram")
-    spark = df.sparkSession
-    # One bit for each trigram of an alternative, so that repeated postings count once.
-    wide = [(i, sorted(s)[:62]) for i, s in enumerate(sets)]
-    needs = spark.createDataFrame([(i, _code(t), 1 << b, (1 << len(s)) - 1) for i, s in wide for b, t in enumerate(s)], "need int, trigram int, bit long, full long")
-    index = postings(df, key, text, {t for s in sets for t in s})
-    held = index.join(F.broadcast(needs), "trigram").groupBy("key", "chunk", "need", "full").agg(F.bit_or("bit").alias("have")).where("have = full")
-    return held.groupBy("key").agg(F.sort_array(F.collect_set("chunk")).alias("chunks"))
+    needs = [(i, _code(t), len(s)) for i, s in enumerate(required_bytes(patterns)) for t in s]
+    wanted = index.sparkSession.createDataFrame(needs, "need int, trigram int, size long")
+    held = index.distinct().join(F.broadcast(wanted), "trigram").groupBy("key", "chunk", "need", "size").agg(F.count("*").alias("n"))
+    return held.where("n = size").select("key", "chunk").distinct()
+
+
+def selectivity(df: DataFrame, text: str, patterns: list[str]) -> DataFrame:
+    """``chunks, candidates``: how many chunks there are and how many the index leaves."""
+    required = tuple(required_bytes(patterns))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = index_of(required)
+        for batch in it:
+            found = [x for _, x in index.chunks(batch.column(0).to_pylist())]
+            sizes, left = [len(x.text) for x in found], [int(x.met(index.sets, len(index.codes)).any(axis=1).sum()) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array(left, pa.int64())], names=["chunks", "candidates"])
+
+    counted = spread(df.select(F.col(text).alias("text")).where("text is not null")).mapInArrow(batches, "chunks long, candidates long")
+    return counted.agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"), F.coalesce(F.sum("candidates"), F.lit(0)).alias("candidates"))

@@ -75,18 +75,24 @@ def test_values_beside_long_lines(path, text, values, before, wide):
     lead = "y = 2\n" * before
     for gap in range(0, 2):
         text_in = (_WIDE[:4000] + "\n") * gap + lead + text % tuple(values) + "\n" + (_WIDE[: 100 * wide] + "\n") * 3 + lead
-        held = [i for i, (a, b) in enumerate(T.chunks(text_in)) if re.search("passw|key", text_in[a:b].lower())]
-        for numbers in (None, held):
-            found = C.find(text_in, path, numbers)
+        for held in (None, T.index_of(tuple(C._REQUIRED)).candidate_chunks([text_in])[0]):
+            found = C.find(text_in, path, held)
             assert set(values) <= {text_in[a:b] for _, a, b in found} and len([n for n, _, _ in found if n]) == 1
 
 
-def test_chunks_overlap_beside_long_lines():
-    lines = ["name: DB_PASSWORD", "value: " + "a" * 2000, "b" * 3000, "c" * 9000, "d"]
-    text = "\n".join(lines * 3)
-    cut = T.chunks(text)
-    assert cut[0][0] == 0 and cut[-1][1] == len(text) and all(a < c <= b < d for (a, b), (c, d) in zip(cut, cut[1:]))
-    assert all(c < b or b - text.rfind("\n", 0, b - 1) > 4000 for (_, b), (c, _) in zip(cut, cut[1:]))
+def test_parts_after_the_chunk_of_the_key():
+    text = "x = (\n" + "    'word '\n" * 60 + f"    '{TOKEN}'\n)\n"
+    for held in (None, T.index_of(tuple(C._REQUIRED)).candidate_chunks([text])[0]):
+        found = C.find(text, "a.py", held)
+        assert len(found) == 61 and [n for n, _, _ in found if n] == [2, 62]
+
+
+@pytest.mark.parametrize("before", ["", "a", "ab", "abc", "user: x\nkey: "])
+def test_tokens_within_base64(before):
+    coded = base64.b64encode(f"{before} {TOKEN}".encode()).decode()
+    text = f"data:\n  settings: {coded}\n"
+    assert [n for n, _, _ in C.find(text, "a.yaml", T.index_of(tuple(C._REQUIRED)).candidate_chunks([text])[0])] == [2]
+    assert not C.find(f"data:\n  settings: {base64.b64encode(b'nothing secret is in here at all').decode()}\n", "a.yaml")
 
 
 _RARE = [
@@ -133,13 +139,30 @@ def test_matches_have_their_trigrams(pattern, data):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.text(alphabet="ab ", max_size=900), max_size=40))
-def test_chunks_cover_the_text(lines):
-    text = "\n".join(lines)
-    cut = T.chunks(text)
-    assert cut[0][0] == 0 and cut[-1][1] == len(text)
-    for (a, b), (c, d) in zip(cut, cut[1:]):
-        assert a < c <= b < d and (b == len(text) or text[b - 1] == "\n") and (c == 0 or text[c - 1] == "\n")
+@given(st.lists(st.lists(st.text(alphabet="abé ", max_size=300), max_size=40), max_size=4))
+def test_chunks_cover_the_texts(texts):
+    whole = ["\n".join(lines) for lines in texts]
+    index = T.Index([frozenset({b"aba"})])
+    for begin, found in index.chunks(whole):
+        assert begin == 0
+        for n, text in enumerate(whole):
+            of = found.text == n
+            assert found.number[of].tolist() == list(range(of.sum()))
+            lines = [i for a, b in zip(found.first[of], found.last[of]) for i in range(a, b + 1)]
+            assert lines == list(range(text.count("\n") + 1))
+        held = {(int(found.text[c]), int(found.first[c])) for c in found.chunk}
+        assert held == {(int(t), int(a)) for t, a, b in zip(found.text, found.first, found.last) if any("aba" in x for x in whole[t].split("\n")[a : b + 1])}
+
+
+def test_stored_index(spark):
+    rows = [(i, t * 3) for i, (_, t, *_) in enumerate(YES + NO)] + [(90, None), (91, "")]
+    df = spark.createDataFrame(rows, "id int, content string")
+    stored = {tuple(r) for r in T.candidates(T.postings(df, "id", "content", C.PATTERNS), C.PATTERNS).collect()}
+    index = T.index_of(tuple(T.required_bytes(C.PATTERNS)))
+    assert {i for i, _ in stored} == {i for i, t in rows if t and index.candidate_chunks([t])[0]}
+    share = T.selectivity(df, "content", C.PATTERNS).first()
+    assert share["candidates"] == len(stored) and share["chunks"] >= len(rows) - 1
+    assert tuple(T.selectivity(df.limit(0), "content", C.PATTERNS).first()) == (0, 0)
 
 
 def test_index_loses_nothing(spark):
