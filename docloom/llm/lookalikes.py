@@ -30,13 +30,13 @@ from docloom.operators.physical import materialize, spread
 SAME_SHAPE = (
     # Cyrillic, small and capital
     "аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ѵv ɡg "
-    "АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ЅS ІI ЈJ ԌG ԚQ ԜW ӀI Ѵ‌V "
+    "АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ЅS ІI ЈJ ԌG ԚQ ԜW ӀI ѴV "
     # Greek
     "οo νv ϳj "
     "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ϲc ͿJ "
     # Armenian, Cherokee-free rest
-    "օo ոn սu հh ցg Օ‌O Տ‌S "
-).replace("‌", "")
+    "օo ոn սu հh ցg ՕO ՏS "
+)
 
 #: Hyphens of about the same length.
 HYPHENS = "-‐‑⁃﹣－"
@@ -291,17 +291,29 @@ def fingerprints(df: DataFrame, key: str, text: str, rules: dict[str, str] | Non
     return spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(batches, schema).withColumnRenamed("key", key)
 
 
+#: The rows of a text that very many documents share are joined in so many parts.
+SALTS = 16
+
+
 def same_look_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs ``<key>_a < <key>_b`` whose texts look the same but differ as strings.
 
-    The whole list is the result by definition; only forms with at least two
-    different texts are joined, so groups of plain copies cost nothing.  NULL
-    keys form no pair.
+    The whole list is the result by definition.  Different texts of one form are
+    paired first, each once; then each pair meets the rows that hold its texts, the
+    more frequent text in ``SALTS`` parts.  So the work grows with the rows and the
+    result, and plain copies beside a variant are not compared with each other.
+    NULL keys form no pair; repeated rows give a pair once.
     """
-    prints = materialize(fingerprints(df, key, text), "fingerprints")
-    mixed = prints.groupBy("form_id").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).where("lo <> hi").select("form_id")
-    some = materialize(prints.join(mixed, "form_id", "left_semi"), "mixed")
-    a = some.select("form_id", F.col(key).alias("a"), F.col("text_id").alias("text_a"))
-    b = some.select("form_id", F.col(key).alias("b"), F.col("text_id").alias("text_b"))
-    pairs = a.join(b, "form_id").where("a < b and text_a <> text_b")
-    return pairs.select(F.col("a").alias(f"{key}_a"), F.col("b").alias(f"{key}_b")).distinct()
+    prints = materialize(fingerprints(df, key, text).withColumnRenamed(key, "key").where("key is not null"), "fingerprints")
+    texts = prints.groupBy("form_id", "text_id").agg(F.count("*").alias("n"))
+    mixed = texts.groupBy("form_id").agg(F.count("*").alias("texts")).where("texts > 1").select("form_id")
+    variants = materialize(texts.join(mixed, "form_id", "left_semi"), "variants")
+    often = variants.select("form_id", F.col("text_id").alias("often"), F.col("n").alias("n_often"))
+    seldom = variants.select("form_id", F.col("text_id").alias("seldom"), F.col("n").alias("n_seldom"))
+    pairs = often.join(seldom, "form_id").where("n_often > n_seldom or (n_often = n_seldom and often > seldom)").select("often", "seldom")
+    members = materialize(prints.join(variants.select("text_id"), "text_id", "left_semi").select("text_id", "key"), "members")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    of_often = members.select(F.col("text_id").alias("often"), F.col("key").alias("a"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
+    of_seldom = members.join(pairs.select(F.col("seldom").alias("text_id")), "text_id", "left_semi").select(F.col("text_id").alias("seldom"), F.col("key").alias("b"), salts)
+    found = of_often.join(pairs.select("*", salts), ["often", "salt"]).join(of_seldom, ["seldom", "salt"]).where("a <> b")
+    return found.select(F.least("a", "b").alias(f"{key}_a"), F.greatest("a", "b").alias(f"{key}_b")).distinct()

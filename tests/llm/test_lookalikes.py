@@ -44,3 +44,18 @@ def test_rows(spark):
     forms = {r["doc"]: r["form"] for r in L.normalize_texts(df, "doc", "text").collect()}
     assert forms[6] is None and forms[7] == "" and forms[1] == forms[2] == forms[4] != forms[5]
     assert L.same_look_pairs(df.limit(0), "doc", "text").count() == 0
+
+
+def test_copies_beside_a_variant(spark):
+    df = spark.range(10_000).selectExpr("id AS doc", "if(id = 77, 'Ｐipeline', 'Pipeline') AS text")
+    found = L.same_look_pairs(df, "doc", "text")
+    assert found.count() == 9_999 and found.where("(doc_a = 77) = (doc_b = 77) or doc_a >= doc_b").count() == 0
+
+
+def test_pairs_equal_brute_force(spark):
+    texts = ["a-b", "a‑b", "a‐b", "x", "ｘ", "y", None, "", "a-b", "a-b", "ｘ"] * 3
+    df = spark.createDataFrame([(i % 30 if i != 5 else None, t) for i, t in enumerate(texts)], "doc int, text string")
+    form = L.Rewriter(L.learn_rules(df, "text"))
+    rows = [(r["doc"], r["text"], form(r["text"])) for r in df.collect() if r["text"] and r["doc"] is not None]
+    want = {(a, b) for a, x, f in rows for b, y, g in rows if a < b and x != y and f == g}
+    assert sorted(tuple(r) for r in L.same_look_pairs(df, "doc", "text").collect()) == sorted(want)
