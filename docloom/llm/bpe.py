@@ -16,12 +16,14 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 import re
 from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,7 +123,8 @@ _LOADED: dict[str, ByteBpe] = {}
 
 def _bpe(path: str) -> ByteBpe:
     if path not in _LOADED:
-        _LOADED[path] = ByteBpe(path)
+        # A worker without the file takes the one that SparkContext.addFile sent.
+        _LOADED[path] = ByteBpe(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
     return _LOADED[path]
 
 

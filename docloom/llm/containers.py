@@ -5,6 +5,9 @@ The plan is made over the histogram of lengths, not over the items: at most
 falling length order over these counts gives *slots*, runs of equal containers
 with room for equal items.  Then each item gets its rank among the items of its
 length, and takes the slot of that rank.
+
+What reaches the driver or is broadcast is bounded by the capacities: a row for
+each length of each, and one for each ``ITEMS_PER_PART`` items.
 """
 
 from __future__ import annotations
@@ -19,9 +22,9 @@ from pyspark.sql import functions as F
 
 from docloom.operators.physical import materialize, sized_broadcast
 
-#: Ranks are counted in this many parts of each length, so that a length that a
-#: third of all items share is not ranked in one task.
-RANK_PARTS = 64
+#: A length that more items share is ranked in several parts of about so many, so
+#: that a length of a third of all items is not ranked in one task.
+ITEMS_PER_PART = 1_000_000
 BROADCAST_ROWS = 200_000
 
 
@@ -68,49 +71,85 @@ def plan_slots(counts: dict[int, int], capacity: int) -> list[tuple[int, int, in
     return slots
 
 
-def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
-    """Containers of all items: ``key, part_no, start, length, container_id``.
+class Plan:
+    """The slots of one capacity as arrays that find the container of each rank."""
+
+    def __init__(self, capacity: int, counts: dict[int, int]):
+        self.capacity, self.scale = capacity, max(counts.values(), default=0) + 1
+        slots = sorted(plan_slots(counts, capacity))
+        self.starts = np.array([length * self.scale + rank for length, rank, _, _ in slots], np.int64)
+        self.ranks, self.firsts, self.each = (np.array([s[i] for s in slots], np.int64) for i in (1, 2, 3))
+
+    def containers(self, length: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.starts, length * self.scale + rank, "right") - 1
+        return self.firsts[at] + (rank - self.ranks[at]) // self.each[at]
+
+
+def packed(items: DataFrame, key: str, size: str, capacities: list[int], items_per_part: int) -> DataFrame:
+    """Containers of all items for each capacity, with the key as ``key``.
 
     An item above the capacity is split into full parts and a rest (``part_no``
     from 0, ``start`` its offset); no other item is split.  Items of size 0 or
     NULL take no room and get container 0; negative sizes count as 0.  Repeated
     rows are items of their own.  ``container_id`` counts from 0 without gaps
     (an input of empty items only has container 0).  Extra columns are not read.
+
+    Items that fit the smallest capacity are ranked once for all capacities; parts
+    and larger items of a capacity take the ranks after them.
     """
-    if capacity < 1:
-        raise ValueError("the capacity must be at least 1")
-    spark = items.sparkSession
-    whole = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0).cast("long"))
-    parts = (
-        items.select(F.col(key).alias("key"), whole.alias("n"))
-        .select("key", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.expr(f"(n - 1) div {capacity}"), F.lit(0).cast("long")))).alias("part_no"))
-        .select("key", "part_no", (F.col("part_no") * capacity).alias("start"), F.least(F.col("n") - F.col("part_no") * capacity, F.lit(capacity).cast("long")).alias("length"))
-        .withColumn("rank_part", F.pmod(F.xxhash64("key", "part_no"), F.lit(RANK_PARTS)).cast("int"))
+    if not capacities or min(capacities) < 1:
+        raise ValueError("each capacity must be at least 1")
+    capacities, zero = sorted(set(capacities)), F.lit(0).cast("long")
+    whole = F.greatest(F.coalesce(F.col(size).cast("long"), zero), zero)
+    rows = items.select(F.col(key).alias("key"), whole.alias("n"))
+    small = rows.where(F.col("n").between(1, capacities[0])).select(F.lit(0).cast("long").alias("capacity"), "key", zero.alias("part_no"), F.col("n").alias("length"))
+    each_capacity = F.explode(F.array(*[F.lit(c).cast("long") for c in capacities])).alias("capacity")
+    large = (
+        rows.where(F.col("n") > capacities[0]).select(each_capacity, "key", "n")
+        .select("capacity", "key", "n", F.explode(F.sequence(zero, F.expr("(n - 1) div capacity"))).alias("part_no"))
+        .select("capacity", "key", "part_no", F.least(F.col("n") - F.col("part_no") * F.col("capacity"), F.col("capacity")).alias("length"))
     )
-    counts = materialize(parts.groupBy("length", "rank_part").agg(F.count("*").alias("n")), "lengths")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).where("length > 0").collect()}
-    slots = plan_slots(histogram, capacity)
-    scale = max(histogram.values(), default=0) + 1
-    order = sorted(slots)
-    # At most `capacity` lengths times few slots each: numbers bounded by the capacity.
-    starts = np.array([length * scale + rank for length, rank, _, _ in order], np.int64)
-    ranks, firsts, each = (np.array([s[i] for s in order], np.int64) for i in (1, 2, 3))
-
-    by_length = Window.partitionBy("length").orderBy("rank_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("length", "rank_part", F.coalesce(F.sum("n").over(by_length), F.lit(0)).alias("before"))
-    offsets = sized_broadcast(materialize(offsets, "offsets"), BROADCAST_ROWS)
-    within = Window.partitionBy("length", "rank_part").orderBy("key", "part_no")
-    ranked = parts.withColumn("r", F.row_number().over(within) - 1).join(offsets, ["length", "rank_part"]).withColumn("rank", F.col("before") + F.col("r"))
+    parts = small.unionByName(large)
+    counted = materialize(parts.groupBy("capacity", "length").agg(F.count("*").alias("n")), "lengths")
+    histogram = {(r["capacity"], r["length"]): r["n"] for r in counted.collect()}  # bounded by the capacities
+    plans = [Plan(capacity, {n: histogram.get((0, n), 0) + histogram.get((capacity, n), 0) for c, n in histogram if c in (0, capacity)}) for capacity in capacities]
+
+    spark = items.sparkSession
+    split = [(c, n, -(-count // items_per_part), histogram.get((0, n), 0) if c else 0) for (c, n), count in histogram.items()]
+    pieces = F.broadcast(spark.createDataFrame(split, "capacity long, length long, pieces long, after long"))  # as many rows as the histogram
+    placed = parts.join(pieces, ["capacity", "length"]).withColumn("piece", F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("key", "part_no"), F.col("pieces"))).otherwise(0))
+    group = ["capacity", "length", "piece"]
+    if any(n > 1 for _, _, n, _ in split):
+        before = Window.partitionBy("capacity", "length").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = materialize(placed.where("pieces > 1").groupBy(*group).agg(F.count("*").alias("n")), "pieces")
+        offsets = sized_broadcast(materialize(sizes.select(*group, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "offsets"), BROADCAST_ROWS)
+        placed = placed.join(offsets, group, "left").withColumn("after", F.col("after") + F.coalesce("before", F.lit(0)))
+    within = Window.partitionBy(*group).orderBy("key", "part_no")
+    ranked = placed.select(*group, "key", "part_no", "after", F.row_number().over(within).alias("r")).withColumn("rank", F.col("after") + F.col("r") - 1)
+    of = F.when(F.col("capacity") == 0, F.array(*[F.lit(c).cast("long") for c in capacities])).otherwise(F.array("capacity"))
+    asked = ranked.select(F.explode(of).alias("capacity"), "key", "part_no", "length", "rank")
 
     @F.pandas_udf("long")
-    def container(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for length, rank in batches:
-            out = np.zeros(len(length), np.int64)
-            some = length.to_numpy() > 0
-            ls, rs = length.to_numpy()[some], rank.to_numpy()[some]
-            at = np.searchsorted(starts, ls * scale + rs, "right") - 1
-            out[some] = firsts[at] + (rs - ranks[at]) // each[at]
+    def container(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for capacity, length, rank in batches:
+            of, out = capacity.to_numpy(), np.zeros(len(length), np.int64)
+            for plan in plans:
+                some = of == plan.capacity
+                if some.any():
+                    out[some] = plan.containers(length.to_numpy()[some], rank.to_numpy()[some])
             yield pd.Series(out)
 
-    out = ranked.select("key", "part_no", "start", "length", container("length", "rank").alias("container_id"))
-    return out.withColumnRenamed("key", key)
+    start = (F.col("part_no") * F.col("capacity")).alias("start")
+    full = asked.select("capacity", "key", "part_no", start, "length", container("capacity", "length", "rank").alias("container_id"))
+    empty = rows.where("n = 0").select(each_capacity, "key", zero.alias("part_no"), zero.alias("start"), zero.alias("length"), zero.alias("container_id"))
+    return full.unionByName(empty)
+
+
+def pack_all(items: DataFrame, key: str, size: str, capacities: list[int], items_per_part: int = ITEMS_PER_PART) -> DataFrame:
+    """``packed`` as ``capacity, key, part_no, start, length, container_id``."""
+    return packed(items, key, size, capacities, items_per_part).withColumnRenamed("key", key)
+
+
+def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
+    """``packed`` for one capacity: ``key, part_no, start, length, container_id``."""
+    return packed(items, key, size, [capacity], ITEMS_PER_PART).drop("capacity").withColumnRenamed("key", key)

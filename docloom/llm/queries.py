@@ -84,9 +84,10 @@ def p6_decoded(spark: SparkSession, sf: str) -> DataFrame:
 
 def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
     sizes = materialize(bpe.count_tokens(table(spark, sf, "documents"), "doc_id", "text"), "sizes")
-    specs = table(spark, sf, "pack_specs").orderBy("spec_id").collect()
-    parts = [containers.pack(sizes, "doc_id", "n_tokens", s["capacity_tokens"]).select(F.lit(s["spec_id"]).alias("spec_id"), "*") for s in specs]
-    return reduce(DataFrame.unionByName, parts)
+    specs = table(spark, sf, "pack_specs").select("spec_id", "capacity_tokens")
+    capacities = [r["capacity_tokens"] for r in specs.select("capacity_tokens").distinct().collect()]  # a table of parameters
+    packed = containers.pack_all(sizes, "doc_id", "n_tokens", capacities)
+    return packed.join(F.broadcast(specs), packed["capacity"] == specs["capacity_tokens"]).select("spec_id", "doc_id", "part_no", "start", "length", "container_id")
 
 
 def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,7 +95,7 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     each = p7_containers(spark, sf).groupBy("spec_id", "container_id").agg(F.sum("length").alias("used"))
     specs = table(spark, sf, "pack_specs").select("spec_id", "capacity_tokens")
     return (
-        each.join(F.broadcast(specs.limit(1000)), "spec_id").groupBy("spec_id", "capacity_tokens")
+        each.join(F.broadcast(specs), "spec_id").groupBy("spec_id", "capacity_tokens")
         .agg(F.count("*").alias("containers"), F.sum("used").alias("used"), F.max("used").alias("fullest"))
         .withColumn("fill", F.round(F.col("used") / (F.col("containers") * F.col("capacity_tokens")), 6))
     )

@@ -45,6 +45,26 @@ def test_plan_does_not_grow_with_items():
     assert len(large) <= 4 * 512 and len(small) <= 4 * 512
 
 
+def test_several_capacities_and_hot_lengths(spark):
+    sizes = [7] * 400 + [3] * 90 + [20, 41, 0] * 5 + list(range(1, 60))
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc int, n int")
+    found = C.pack_all(df, "doc", "n", [20, 50, 33], items_per_part=30).collect()
+    for capacity in (20, 33, 50):
+        rows = [r for r in found if r["capacity"] == capacity]
+        fill, got, parts = defaultdict(int), defaultdict(int), []
+        for r in rows:
+            fill[r["container_id"]] += r["length"]
+            got[r["doc"]] += r["length"]
+            assert r["start"] == r["part_no"] * capacity
+            if r["length"]:
+                parts.append(r["length"])
+        assert all(got[i] == n for i, n in enumerate(sizes)) and max(fill.values()) <= capacity
+        assert sorted(fill) == list(range(len(fill))) and len(fill) == best_fit(parts, capacity)
+        assert {r["length"] for r in rows if sizes[r["doc"]] == 59} <= {capacity, 59 % capacity}
+    one = sorted(tuple(r) for r in C.pack(df, "doc", "n", 33).collect())
+    assert len(one) == len([r for r in found if r["capacity"] == 33])
+
+
 def test_rows(spark):
     rows = [(i, 7, "x") for i in range(300)] + [(900, None, "x"), (901, 0, "x"), (902, -3, "x"), (903, 53, "x"), (904, 20, "x"), (905, 3, "x"), (905, 3, "x"), (None, 5, "x")]
     df = spark.createDataFrame(rows, "doc int, n long, length string")
