@@ -58,6 +58,14 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return _by_spec(spark, sf, lambda t, s: pieces.oversized(t, "id", s["field_name"], s["max_chars"], s["overlap_chars"]))
 
 
+def p4_rejoined(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts again, from their pieces without the overlaps."""
+    rests = p4_pieces(spark, sf).join(F.broadcast(table(spark, sf, "split_specs").select("table_name", "overlap_chars", "max_chars")), "table_name")
+    rest = F.when(F.col("piece_no") == 0, F.col("piece")).otherwise(F.expr("substring(piece, cast(overlap_chars as int) + 1)"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("piece_no", rest.alias("rest")))), lambda x: x["rest"])
+    return rests.groupBy("table_name", "id").agg(F.array_join(ordered, "").alias("text"), (F.count("*") == 1).alias("one_piece"), F.bool_and(F.length("piece") <= F.col("max_chars")).alias("within_limit"))
+
+
 def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return _by_spec(spark, sf, lambda t, s: pieces.split_texts(t, "id", s["field_name"], s["max_chars"], s["overlap_chars"]))
 
@@ -73,6 +81,11 @@ def p5_cleaned(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_lines.without_lines(table(spark, sf, "issues_data"), **_ISSUES, published="created_at")
 
 
+def p5_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The repeated lines, with the documents, different texts and days of publication of each."""
+    return repeated_lines.repeated(table(spark, sf, "issues_data"), **_ISSUES, published="created_at", min_clusters=1)
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -109,30 +122,49 @@ def p8_normalized(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.normalize_texts(table(spark, sf, "documents"), "doc_id", "text")
 
 
-_ALL = (p1_found, p1_redacted, p2_found, p2_handwritten, p3_found, p3_redacted, p3_index, p4_found, p4_pieces, p5_found, p5_cleaned, p6_ids, p6_decoded, p7_containers, p7_fill, p8_found, p8_normalized)
+_ALL = (p1_found, p1_redacted, p2_found, p2_handwritten, p3_found, p3_redacted, p3_index, p4_found, p4_pieces, p4_rejoined, p5_found, p5_cleaned, p5_lines, p6_ids, p6_decoded, p7_containers, p7_fill, p8_found, p8_normalized)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in _ALL}
 
 
+_LINES_SQL = """lines AS (
+              SELECT id, repo_name, issue_number, substr(created_at, 1, 10) AS day, body, unnest(string_split(body, chr(10))) AS line,
+                     unnest(range(1, len(string_split(body, chr(10))) + 1)) AS line_no
+              FROM issues_data WHERE body IS NOT NULL),
+            keyed AS (SELECT *, lower(regexp_replace(line, '[^\\p{L}]', '', 'g')) AS k FROM lines),
+            long AS (SELECT * FROM keyed WHERE length(k) >= 20 AND repo_name IS NOT NULL),
+            total AS (SELECT repo_name, count(DISTINCT issue_number) AS n FROM issues_data WHERE body IS NOT NULL GROUP BY 1),
+            often AS (
+              SELECT repo_name, k, count(DISTINCT issue_number) AS n_documents FROM long JOIN total USING (repo_name) GROUP BY repo_name, k, n
+              HAVING count(DISTINCT issue_number) >= 4 AND count(DISTINCT issue_number) >= 0.1 * n)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": """
             SELECT 'github_data' AS table_name, id FROM github_data WHERE length(content) > (SELECT max_chars FROM split_specs WHERE table_name = 'github_data')
             UNION ALL SELECT 'issues_data', id FROM issues_data WHERE length(body) > (SELECT max_chars FROM split_specs WHERE table_name = 'issues_data')
             UNION ALL SELECT 'docs_chunks', id FROM docs_chunks WHERE length(content_text) > (SELECT max_chars FROM split_specs WHERE table_name = 'docs_chunks')""",
-        "p5_found": """
-            WITH lines AS (
-              SELECT id, repo_name, issue_number, unnest(string_split(body, chr(10))) AS line,
-                     unnest(range(1, len(string_split(body, chr(10))) + 1)) AS line_no
-              FROM issues_data WHERE repo_name IS NOT NULL AND body IS NOT NULL),
-            keyed AS (SELECT *, lower(regexp_replace(line, '[^\\p{L}]', '', 'g')) AS k FROM lines),
-            long AS (SELECT * FROM keyed WHERE length(k) >= 20),
-            total AS (SELECT repo_name, count(DISTINCT issue_number) AS n FROM issues_data WHERE body IS NOT NULL GROUP BY 1),
-            often AS (
-              SELECT repo_name, k FROM long JOIN total USING (repo_name) GROUP BY repo_name, k, n
-              HAVING count(DISTINCT issue_number) >= 4 AND count(DISTINCT issue_number) >= 0.1 * n)
-            SELECT id, CAST(line_no AS BIGINT) AS line_no FROM long SEMI JOIN often USING (repo_name, k)""",
+        "p4_rejoined": """
+            WITH texts AS (
+              SELECT 'github_data' AS table_name, id, content AS text FROM github_data
+              UNION ALL SELECT 'issues_data', id, body FROM issues_data UNION ALL SELECT 'docs_chunks', id, content_text FROM docs_chunks)
+            SELECT table_name, id, text, length(text) <= max_chars AS one_piece, true AS within_limit FROM texts JOIN split_specs USING (table_name) WHERE text IS NOT NULL""",
+        "p5_found": f"WITH {_LINES_SQL} SELECT id, CAST(line_no AS BIGINT) AS line_no FROM long SEMI JOIN often USING (repo_name, k)",
+        "p5_lines": f"""
+            WITH {_LINES_SQL},
+            firsts AS (SELECT repo_name, issue_number, body, min(issue_number) OVER (PARTITION BY repo_name, body) AS first
+                       FROM issues_data WHERE repo_name IS NOT NULL AND body IS NOT NULL AND issue_number IS NOT NULL),
+            cluster AS (SELECT repo_name, issue_number, min(first) AS cluster FROM firsts GROUP BY 1, 2)
+            SELECT repo_name AS source, min(line) AS line, any_value(n_documents) AS n_documents, count(DISTINCT cluster) AS n_clusters,
+                   count(DISTINCT day) FILTER (issue_number IS NOT NULL) AS n_days
+            FROM long JOIN often USING (repo_name, k) LEFT JOIN cluster USING (repo_name, issue_number) GROUP BY repo_name, k""",
+        "p5_cleaned": f"""
+            WITH {_LINES_SQL},
+            kept AS (SELECT id, line, line_no, NOT (length(k) >= 20 AND EXISTS (SELECT 1 FROM often o WHERE o.repo_name = keyed.repo_name AND o.k = keyed.k)) AS stays FROM keyed)
+            SELECT id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (stays), '') AS body FROM kept GROUP BY id
+            UNION ALL SELECT id, body FROM issues_data WHERE body IS NULL""",
         "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }
