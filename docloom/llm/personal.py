@@ -1,30 +1,42 @@
 """Personal information in free text: found by kind and replaced by placeholders.
 
-Addresses of mail, telephone and identity numbers and street addresses have forms
-of their own.  Names of people have none, so the corpus tells them: every pair of
-capitalised words is a candidate, and some candidates stand where a person is
-named (an author field, a signature, "my colleague ...").  From the co-occurrence
-of terms with such places over the whole corpus follows how strongly a term
-reveals a person: its disclosure is the pointwise mutual information, in bits, of
-the term and a person place.  A candidate is a name if all its terms disclose
-more than a threshold, wherever it stands; products, releases and teams are
-written like names, but not where people are.
+Every place that may be personal is a candidate, and the co-occurrence of its terms
+with protected places over the whole corpus tells how strongly they reveal one: the
+disclosure of a term is its pointwise mutual information with them, in bits.
+
+* **Numbers, mail and postal addresses.**  Their terms are their own shape (digits
+  and letters folded) and the words before them in the line.  Candidates whose own
+  form, or a cue beside them, gives them away are the protected places; numbers that
+  only look alike are candidates too.  The former are found if some term discloses
+  their kind, the latter if a word before them discloses it strongly, so that cues
+  are learned from the corpus and need not be listed.
+* **Names of people** have no form.  Every pair of capitalised words is a candidate,
+  and some stand where a person is named (an author field, a signature, "my
+  colleague ...").  A candidate is a name if all its terms disclose more than a
+  threshold, wherever it stands; products, releases and teams are written like
+  names, but not where people are.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.physical import materialize, sized_broadcast, spread
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 BROADCAST_TERMS = 500_000
+#: A cue stands within so many characters before an identity number; a person place
+#: is told by so many before and after a name.
+CUE_CHARS, BEFORE_CHARS, AFTER_CHARS = 45, 40, 24
+#: So many words before a number or address, in its line, are its terms.
+CONTEXT_WORDS = 4
 
 _AT = r"(?:@|&#0*64;|&commat;|%40| ?[\[({<]\s?(?:at|AT|@)\s?[\])}>] ?)"
 _DOT = r"(?:\.| ?[\[({<]\s?(?:dot|DOT|\.)\s?[\])}>] ?)"
@@ -41,7 +53,8 @@ _EXT = r"(?:,? ?(?:ext\.?|x|#|extension) ?\d{1,6})?"
 _PHONE = re.compile(
     rf"(?<![\w+./=-])(?:\+\d[\d ()./-]{{6,20}}\d|\(0?\d{{2,4}}\) ?\d{{3,4}}[ .-]?\d{{3,5}}|(?:1[ .-])?\d{{3}}([.-])\d{{3}}\1\d{{4}}|0\d{{3,4}}[ /-]\d{{3,4}}[ -]?\d{{3,4}}|0\d(?:[ .]\d\d){{4}}|0\d{{9,10}}){_EXT}(?![\w/]|[.:-]\d)"
 )
-_CUE_PHONE = re.compile(r"(?:phone|mobile|cell|tel(?:efon\w*)?|call(?: me)?(?: on| at)?|whatsapp|hotline|dial|fax|text|ring|pager)\W{0,12}$", re.I)
+#: Numbers in groups parted by blanks; only their words tell whether they are telephone numbers.
+_GROUPED = re.compile(r"(?<![\w.+/=:-])\d{2,4}(?: \d{2,4}){2,4}(?![\w/]|[.:-]\d)")
 
 _SSN = re.compile(r"(?<![\w.-])\d{3}([ -])\d{2}\1\d{4}(?![\w-]|[.:]\d)")
 _NINO = re.compile(r"(?<![\w-])[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?![\w-])")
@@ -69,7 +82,8 @@ _ADDRESS = re.compile(
     rf"|(?:P\.? ?O\.? ?[Bb]ox|P\.? ?O\.? BOX|[Pp]ost [Bb]ox|Postfach|Apartado(?: de [Cc]orreos)?|Bo[iî]te [Pp]ostale|Caixa [Pp]ostal|Casella [Pp]ostale|Postbus) ?\d[\d ]{{0,6}}{_TOWN})",
 )
 _PARTICLE = r"(?:(?:van|von|de|den|der|di|da|dos|la|le|ter|ten|bin|ibn|af|zu)(?: (?:de|der|den|la))? )?(?:(?:al|el|Al|El)-)?"
-_UP = "A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĔĖĘĚĜĞĠĢĤĦĨĪĬĮİĴĶĹĻĽĿŁŃŅŇŌŎŐŒŔŖŘŚŜŞŠŢŤŦŨŪŬŮŰŲŴŶŸŹŻŽ"
+#: The capital letters of all scripts.
+_UP = "".join(map(chr, (c for c in range(0x10000) if unicodedata.category(chr(c)) in ("Lu", "Lt"))))
 _WORD = rf"[{_UP}][^\W\d_]*(?:['’][^\W\d_]+)*(?:-[^\W\d_]+(?:['’][^\W\d_]+)*)*"
 _RUN = re.compile(rf"(?<![\w@./-])(?:[{_UP}]\.|{_WORD})(?:,? (?:[{_UP}]\.(?= )|{_PARTICLE}{_WORD}))+(?![\w@])")
 _PIECE = re.compile(rf"(?P<p>{_PARTICLE})(?P<w>[{_UP}]\.|{_WORD})(?P<c>,?)")
@@ -104,34 +118,32 @@ def _clear(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def _emails(text: str) -> list[re.Match]:
-    """Mail addresses of people: looked for around signs of one only."""
-    out, done = [], 0
-    for sign in _EMAIL_SIGN.finditer(text):
-        if sign.start() < done:
-            continue
-        for m in _EMAIL.finditer(text, max(done, sign.start() - 100), sign.end() + 120):
-            if m.start() <= sign.start() < m.end():
-                local, host = m["l"] or m["m"], m["d"] or m["e"]
-                if not (_NO_PERSON.match(local) or _NO_HOST.search(host)):
-                    out.append(m)
-                done = m.end()
-                break
-    return out
+    """Mail addresses of people, of any length."""
+    if not _EMAIL_SIGN.search(text):
+        return []
+    return [m for m in _EMAIL.finditer(text) if not (_NO_PERSON.match(m["l"] or m["m"]) or _NO_HOST.search(m["d"] or m["e"]))]
 
 
 def by_form(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of what its own form gives away."""
-    out = [(*m.span(), "email") for m in _emails(text)]
+    """(start, end, kind) of what its own form or a cue gives away."""
+    return forms(text, _emails(text))[0]
+
+
+def forms(text: str, emails: list[re.Match]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """(start, end, kind) of what its own form or a cue gives away, and of what only looks alike."""
+    out = [(*m.span(), "email") for m in emails]
+    alike: list[tuple[int, int, str]] = []
     for m in _SSN.finditer(text):
-        cue = _CUE_ID.search(text, max(0, m.start() - 45), m.start())
+        cue = _CUE_ID.search(text, max(0, m.start() - CUE_CHARS), m.start())
         if cue or (m[1] == "-" and not re.search(r"\d[-.]?$", text[max(0, m.start() - 2) : m.start()]) and not re.search(r"(?:build|version|ticket|part|serial|model|order)\s+\W*$", text[max(0, m.start() - 20) : m.start()], re.I)):
             out.append((*m.span(), "id_number"))
+        else:
+            alike.append((*m.span(), "id_number"))
     for m in _NINO.finditer(text):
         out.append((*m.span(), "id_number"))
     for m in _DOCUMENT.finditer(text):
-        window = text[max(0, m.start() - 45) : m.start()]
-        if _CUE_ID.search(window.rpartition("\n\n")[2]):
-            out.append((*m.span(), "id_number"))
+        window = text[max(0, m.start() - CUE_CHARS) : m.start()]
+        (out if _CUE_ID.search(window.rpartition("\n\n")[2]) else alike).append((*m.span(), "id_number"))
     for m in _PHONE.finditer(text):
         digits = sum(c.isdigit() for c in re.sub(r"(?:ext|x|#).*", "", m[0]))
         least = 9 if m[0][0] == "+" else 7
@@ -140,13 +152,27 @@ def by_form(text: str) -> list[tuple[int, int, str]]:
         if m[0][0] in "+(" or m[1] or re.match(r"0\d{3,4}[ /-]|0\d[ .]|0\d{9}", m[0]):
             out.append((*m.span(), "phone"))
     out += [(*m.span(), "address") for m in _ADDRESS.finditer(_clear(text, out) if out else text)]
-    return out
+    alike += [(*m.span(), "phone") for m in _GROUPED.finditer(text) if 9 <= sum(c.isdigit() for c in m[0]) <= 12]
+    return out, [x for x in alike if not any(a < x[1] and x[0] < b for a, b, _ in out)] if out else alike
+
+
+_WORDS_BEFORE = re.compile(r"[^\W\d_]+")
+
+
+def terms_of(text: str, begin: int, end: int, kind: str) -> list[str]:
+    """The terms of a number or address: its shape, then the words before it in its line.
+
+    A shape begins with the kind and a sharp, and so is no word.
+    """
+    shape = kind if kind in ("email", "address") else re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", text[begin:end]))
+    words = _WORDS_BEFORE.findall(text, text.rfind("\n", 0, begin) + 1, begin)[-CONTEXT_WORDS:]
+    return [f"{kind}#{shape}", *dict.fromkeys(w.casefold() for w in words)]
 
 
 def _placed(text: str, begin: int, end: int) -> bool:
     """Does a person stand at this place?  Lines in capitals say nothing of it."""
-    before = _BEFORE.search(text, max(0, begin - 40), begin)
-    return bool(before and not before[0].isupper() or _AFTER.match(text, end, end + 24))
+    before = _BEFORE.search(text, max(0, begin - BEFORE_CHARS), begin)
+    return bool(before and not before[0].isupper() or _AFTER.match(text, end, end + AFTER_CHARS))
 
 
 def candidates(text: str) -> list[tuple[int, int, list[str], bool, bool]]:
@@ -176,10 +202,10 @@ def candidates(text: str) -> list[tuple[int, int, list[str], bool, bool]]:
     return out
 
 
-def hints(text: str) -> list[list[str]]:
+def hints(emails: list[re.Match]) -> list[list[str]]:
     """The two words of mail addresses such as ``first.last@host``."""
     out = []
-    for m in _emails(text):
+    for m in emails:
         local = re.sub(r"\+.*|\d+$", "", m["l"] or m["m"])
         parts = [p for p in re.split(rf"{_DOT}|_| dot | DOT ", local) if p and p.isalpha()]
         if len(parts) == 2 and all(len(p) > 2 for p in parts):
@@ -191,9 +217,10 @@ def scan(segments: DataFrame, key: str, number: str, text: str) -> DataFrame:
     """Everything that may be personal: one row for each place in a segment.
 
     ``key, segment_no, check, kind, begin, end, terms, placed``; ``kind`` is one
-    of KINDS, ``name`` still a candidate, or ``hint`` for the words of a mail
-    address.  ``check`` is a checksum of the segment's text.  ``placed`` is NULL
-    for candidates that do not count in the statistics.
+    of KINDS, still a candidate, or ``hint`` for the words of a mail address.
+    ``check`` is a checksum of the segment's text.  ``placed`` tells whether a person
+    place, or for the other kinds an own form or cue, gives the candidate away; it is
+    NULL for candidates that do not count in the statistics.
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,12 +234,14 @@ def scan(segments: DataFrame, key: str, number: str, text: str) -> DataFrame:
                 if not value or value.isspace():
                     continue
                 check = zlib.crc32(value.encode("utf-8", "surrogatepass"))
-                found = by_form(value)
+                emails = _emails(value)
+                found, alike = forms(value, emails)
                 for a, b, kind in found:
-                    add(i, check, kind, a, b, None, None)
-                if any(kind == "email" for _, _, kind in found):
-                    for words in hints(value):
-                        add(i, check, "hint", 0, 0, words, True)
+                    add(i, check, kind, a, b, terms_of(value, a, b, kind), True)
+                for a, b, kind in alike:
+                    add(i, check, kind, a, b, terms_of(value, a, b, kind), False)
+                for words in hints(emails):
+                    add(i, check, "hint", 0, 0, words, True)
                 for a, b, words, where, counts in candidates(_clear(value, found) if found else value):
                     add(i, check, "name", a, b, words, where if counts else None)
             take = pa.array(rows, pa.int64())
@@ -262,11 +291,47 @@ def disclosing_terms(
     return strong.unionByName(beside)
 
 
+def disclosing_contexts(found: DataFrame, min_bits: float = 1.0, min_share: float = 0.5, strong_bits: float = 2.0, strong_share: float = 0.9, min_places: int = 3) -> DataFrame:
+    """``kind, term, bits, strong``: shapes and words that reveal a kind of number or address.
+
+    ``bits`` is log2(P(protected place of the kind | term) / P(such a place)) over all
+    candidates that are no names.  A shape is taken to have been seen in
+    ``min_places`` protected places before, if in any, so that a small corpus
+    discloses too.  ``strong`` terms, always words, disclose in look-alikes.  Where
+    so many candidates are protected that no term can have the bits asked for, half
+    of what it can have is enough.
+    """
+    counted = found.where("kind not in ('name', 'hint')")
+    each = counted.select("kind", F.explode("terms").alias("term"), F.col("placed").cast("int").alias("placed"))
+    by_kind = each.groupBy("kind", "term").agg(F.count("*").alias("n"), F.sum("placed").alias("places"))
+    seen = {r["kind"]: (r["n"], r["places"]) for r in counted.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.col("placed").cast("int")).alias("places")).collect()}  # one row a kind
+    total = max(sum(n for n, _ in seen.values()), 1)
+    base = F.coalesce(*[F.when(F.col("kind") == k, F.lit(max(p, 1) / total)) for k, (_, p) in seen.items()], F.lit(1.0))
+    most = -F.log2(base)  # bits of a term that stands with such places only
+    shape = F.contains(F.col("term"), F.lit("#"))
+    before = F.when(shape & (F.col("places") > 0), F.lit(min_places)).otherwise(0)
+    known = by_kind.withColumn("n", F.sum("n").over(Window.partitionBy("term")) + before).withColumn("places", F.col("places") + before)
+    scored = known.where(F.col("places") >= min_places).select("kind", "term", (F.col("places") / F.col("n")).alias("share"), F.log2(F.col("places") / F.col("n") / base).alias("bits"), shape.alias("shape"))
+    disclosing = scored.where((F.col("share") >= min_share) & (F.col("bits") >= F.least(F.lit(min_bits), most / 2)))
+    return disclosing.select("kind", "term", "bits", (~F.col("shape") & (F.col("share") >= strong_share) & (F.col("bits") >= F.least(F.lit(strong_bits), most / 2))).alias("strong"))
+
+
+def disclosed_places(found: DataFrame) -> DataFrame:
+    """``key, segment_no, check, pii_kind, begin, end``: the numbers and addresses that their terms disclose."""
+    terms = sized_broadcast(materialize(disclosing_contexts(found), "contexts"), BROADCAST_TERMS)
+    place = ["key", "segment_no", "check", "kind", "begin", "end"]
+    asked = found.where("kind not in ('name', 'hint')").select(*place, "placed", F.explode("terms").alias("term"))
+    told = asked.join(terms, ["kind", "term"]).where("placed or strong").groupBy(*place).agg(F.max("bits").alias("bits"))
+    return told.select("key", "segment_no", "check", F.col("kind").alias("pii_kind"), "begin", "end")
+
+
 def mentions(segments: DataFrame, key: str, number: str, text: str) -> DataFrame:
     """``key, segment_no, check, pii_kind, begin, end, score`` of all personal information.
 
     A candidate is a name if all its terms disclose, or if it stands in a person
-    place and one of them discloses by itself, or there has an initial before it.  ``score`` ranks overlapping places.
+    place and one of them discloses by itself, or there has an initial before it.
+    The other kinds come from ``disclosed_places``.  ``score`` ranks overlapping
+    places.
 
     NULL, empty and blank segments hold none.  Offsets count code points from 0.
     Segments with the same key and number (repeated rows) are told apart by
@@ -275,7 +340,7 @@ def mentions(segments: DataFrame, key: str, number: str, text: str) -> DataFrame
     """
     found = materialize(scan(segments, key, number, text), "scan")
     terms = sized_broadcast(materialize(disclosing_terms(found), "terms"), BROADCAST_TERMS)
-    forms = found.where("kind not in ('name', 'hint')").select("key", "segment_no", "check", F.col("kind").alias("pii_kind"), "begin", "end")
+    forms = disclosed_places(found)
     first, last = F.element_at("terms", 1), F.element_at("terms", -1)
     judged = (
         found.where("kind = 'name'").select("key", "segment_no", "check", "begin", "end", "placed", (F.size("terms") == 1).alias("alone"), first.alias("first"), last.alias("last"))
@@ -353,5 +418,3 @@ def sanitized(df: DataFrame, key: str, body: str, comments: str) -> DataFrame:
     schema = rows.select(key, "body", "comments").schema
     out = rows.select(key, "body", "comments", "spans").mapInArrow(batches, schema)
     return out.select(key, F.col("body").alias(body), F.col("comments").alias(comments))
-
-

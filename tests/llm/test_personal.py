@@ -63,3 +63,31 @@ def test_sanitized(spark):
     assert next(r for r in out if r["id"] == 101)["body"] is None and next(r for r in out if r["id"] == 102)["body"] == " "
     assert rows[(104, "Another")]["body"].endswith("<PHONE>") and rows[(104, "best, <")]["body"] == "best, <NAME>\nmail <EMAIL>"
     assert len(out) == len(corpus())
+
+
+def test_long_addresses():
+    for local, host in (("a" * 121, "mail.example"), ("a.b" * 60, "x." * 70 + "example")):
+        (a, b, kind), = P.by_form(f"write to {local}@{host} now")
+        assert (b - a, kind) == (len(local) + 1 + len(host), "email")
+
+
+def test_cues_are_learned(spark):
+    rows = [(n, f"call me on +44 7700 9002{n}", None) for n in range(10, 30)] + [(30 + n, f"insurance number 97{n % 9}-19-59{n} of me", None) for n in range(10, 30)]
+    rows += [(80, "please call me on 415 555 0123 today", None), (81, "there are 415 555 0123 rows", None), (82, "the number X12705031 is mine", None), (83, "job X12705031 failed", None)]
+    found = {tuple(r) for r in P.kinds_found(frame(spark, rows), "id", "body", "comments").collect()}
+    assert found == {(n, 0, "phone") for n in range(10, 30)} | {(30 + n, 0, "id_number") for n in range(10, 30)} | {(80, 0, "phone"), (82, 0, "id_number")}
+
+
+def test_common_shapes_need_a_word(spark):
+    # A cue stands before a few of very many numbers of one shape: the shape does not disclose, the words do.
+    rows = [(n, f"ts {10_000_000 + n} done", None) for n in range(300)] + [(400 + n, f"my passport 2000000{n}", None) for n in range(5)] + [(500, "passport\n\nts 10000999", None)]
+    found = {tuple(r) for r in P.kinds_found(frame(spark, rows), "id", "body", "comments").collect()}
+    assert found == {(400 + n, 0, "id_number") for n in range(5)}
+    terms = {r["term"]: r for r in P.disclosing_contexts(P.scan(P.segments_of(frame(spark, rows), "id", "body", "comments"), "id", "segment_no", "text")).collect()}
+    assert set(terms) == {"my", "passport"} and all(r["strong"] and r["bits"] > 5 for r in terms.values())
+
+
+def test_capitals_of_all_scripts(spark):
+    people = [(f, s) for f in ("Иван", "Ольга", "Νίκος") for s in ("Петров", "Ковалёв", "Παππάς")]
+    rows = [(n, f"I am {f} {s} and I run the cluster. The Blue Harbor release works.", None) for n, (f, s) in enumerate(people)] + [(50, "The notebook of Иван Παππάς", None), (51, "Синий Порт", None)]
+    assert {r["id"] for r in P.kinds_found(frame(spark, rows), "id", "body", "comments").collect()} == {*range(9), 50}
