@@ -19,11 +19,13 @@ disclosure of a term is its pointwise mutual information with them, in bits.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,6 +94,10 @@ _IS_TITLE = re.compile(rf"^{_TITLE}\.?$")
 _TITLED = re.compile(rf"(?<![\w.])(?:{_TITLE}\.? )+(?P<w>{_PARTICLE}{_WORD}(?: {_PARTICLE}{_WORD})?)")
 _SIGNED = re.compile(r"(?:^|(?<=[\s\x00]))(?:(?:best|kind|warm) regards|regards|best|cheers|thanks|greetings|sincerely),[ \t]*(?:\r?\n)?[ \t>]*(?P<a>[^\W\d_]+(?:-[^\W\d_]+)*) (?P<b>(?:(?:van|von|de|den|der|al)[ -])?[^\W\d_]+(?:-[^\W\d_]+)*)", re.I | re.M)
 
+#: Of a text with a title one is there, of one with a signature one in lower case.
+_TITLES = ("Dr", "Mr", "Ms", "Mx", "Prof", "Herr", "Frau", "Sir", "Dame", "Señor", "Sr", "Mme", "Mlle", "Monsieur", "Madame", "DR", "MR", "MS", "PROF")
+_SIGNS_OFF = ("regards,", "best,", "cheers,", "thanks,", "greetings,", "sincerely,")
+
 #: What stands before and after people in technical threads.
 _BEFORE = re.compile(
     rf"(?:\b(?:I am|I'm|my name is|this is|colleague|colleagues|manager|cc:?|loop in|ping|ask|contact|thanks to|credit to|dear|hi|hello|hey)"
@@ -124,27 +130,87 @@ def _emails(text: str) -> list[re.Match]:
     return [m for m in _EMAIL.finditer(text) if not (_NO_PERSON.match(m["l"] or m["m"]) or _NO_HOST.search(m["d"] or m["e"]))]
 
 
+#: After the last digit of a number may follow a letter and an extension; so many
+#: characters hold them and what must not follow.
+TAIL_CHARS = 24
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Of each code point of the basic plane: 1 a digit, 2 what parts groups of digits, 3 a plain capital.
+
+    Code points beyond count as digits, since some are.
+    """
+    out = np.array([unicodedata.category(chr(c)) == "Nd" for c in range(0x10000)], np.uint8)
+    out[[ord(c) for c in " ()./-"]] = 2
+    out[ord("A") : ord("Z") + 1] = 3
+    out[0xFFFF] = 1
+    return out
+
+
+def number_places(texts: list[str]) -> list[list[tuple[int, int]]]:
+    """(start, end) of each place of each text where a telephone or identity number may begin.
+
+    These are groups of digits, parted by blanks, points, strokes and brackets only,
+    with six digits or more, and nine plain capitals and digits in a row; up to three
+    characters before belong to them.
+    """
+    code = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _kinds()[np.minimum(code, 0xFFFF)]
+    edges = np.flatnonzero(np.diff((kind == 1).view(np.int8), prepend=0))
+    first, after = edges[::2], edges[1::2]
+    others = np.concatenate(([0], np.cumsum((kind == 0) | (kind == 3))))
+    new = np.ones(len(first), bool)
+    new[1:] = others[first[1:]] > others[after[:-1]]
+    at = np.flatnonzero(new)
+    digits = np.add.reduceat(after - first, at) if len(at) else np.zeros(0, np.int64)
+    last = np.concatenate((at[1:], [len(first)]))[: len(at)] - 1
+    a, b = first[at][digits >= 6], after[last][digits >= 6]
+    rows = np.flatnonzero(np.diff(((kind == 1) | (kind == 3)).view(np.int8), prepend=0))
+    c, d = rows[::2], rows[1::2]
+    a, b = np.concatenate((a, c[d - c >= 9])), np.concatenate((b, d[d - c >= 9]))
+    order = np.argsort(a, kind="stable")
+    begins = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))[:-1]
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    of = np.searchsorted(begins, a[order], "right") - 1
+    for n, x, y in zip(of.tolist(), (a[order] - begins[of]).tolist(), (b[order] - begins[of]).tolist()):
+        out[n].append((max(x - 3, 0), y))
+    return out
+
+
 def by_form(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of what its own form or a cue gives away."""
-    return forms(text, _emails(text))[0]
+    return forms(text, _emails(text), number_places([text])[0])[0]
 
 
-def forms(text: str, emails: list[re.Match]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """(start, end, kind) of what its own form or a cue gives away, and of what only looks alike."""
+def forms(text: str, emails: list[re.Match], places: list[tuple[int, int]]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """(start, end, kind) of what its own form or a cue gives away, and of what only looks alike.
+
+    Numbers are looked for in ``places`` only, the result of ``number_places``.
+    """
     out = [(*m.span(), "email") for m in emails]
     alike: list[tuple[int, int, str]] = []
-    for m in _SSN.finditer(text):
+
+    def matches(pattern: re.Pattern) -> Iterator[re.Match]:
+        done = 0
+        for a, b in places:
+            for m in pattern.finditer(text, max(a, done), b + TAIL_CHARS):
+                if m.start() >= b:
+                    break
+                yield m
+                done = m.end()
+
+    for m in matches(_SSN):
         cue = _CUE_ID.search(text, max(0, m.start() - CUE_CHARS), m.start())
         if cue or (m[1] == "-" and not re.search(r"\d[-.]?$", text[max(0, m.start() - 2) : m.start()]) and not re.search(r"(?:build|version|ticket|part|serial|model|order)\s+\W*$", text[max(0, m.start() - 20) : m.start()], re.I)):
             out.append((*m.span(), "id_number"))
         else:
             alike.append((*m.span(), "id_number"))
-    for m in _NINO.finditer(text):
-        out.append((*m.span(), "id_number"))
-    for m in _DOCUMENT.finditer(text):
+    out += [(*m.span(), "id_number") for m in matches(_NINO)]
+    for m in matches(_DOCUMENT):
         window = text[max(0, m.start() - CUE_CHARS) : m.start()]
         (out if _CUE_ID.search(window.rpartition("\n\n")[2]) else alike).append((*m.span(), "id_number"))
-    for m in _PHONE.finditer(text):
+    for m in matches(_PHONE):
         digits = sum(c.isdigit() for c in re.sub(r"(?:ext|x|#).*", "", m[0]))
         least = 9 if m[0][0] == "+" else 7
         if digits < least or digits > 15 or any(a < m.end() and m.start() < b for a, b, _ in out):
@@ -152,7 +218,7 @@ def forms(text: str, emails: list[re.Match]) -> tuple[list[tuple[int, int, str]]
         if m[0][0] in "+(" or m[1] or re.match(r"0\d{3,4}[ /-]|0\d[ .]|0\d{9}", m[0]):
             out.append((*m.span(), "phone"))
     out += [(*m.span(), "address") for m in _ADDRESS.finditer(_clear(text, out) if out else text)]
-    alike += [(*m.span(), "phone") for m in _GROUPED.finditer(text) if 9 <= sum(c.isdigit() for c in m[0]) <= 12]
+    alike += [(*m.span(), "phone") for m in matches(_GROUPED) if 9 <= sum(c.isdigit() for c in m[0]) <= 12]
     return out, [x for x in alike if not any(a < x[1] and x[0] < b for a, b, _ in out)] if out else alike
 
 
@@ -192,11 +258,12 @@ def candidates(text: str) -> list[tuple[int, int, list[str], bool, bool]]:
             terms = [t for t in terms if len(t) > 1]
             if terms and (len(terms) == 2 or first.endswith(".") or second.endswith(".")):
                 out.append((a, d, terms, placed, True))
-    for m in _TITLED.finditer(text):
+    for m in _TITLED.finditer(text) if any(t in text for t in _TITLES) else ():
         terms = [_term(w) for w in re.findall(_WORD, m["w"])][-1:]
         if terms:
             out.append((*m.span(), terms, _placed(text, *m.span()), False))
-    for m in _SIGNED.finditer(text):
+    low = text.lower()
+    for m in _SIGNED.finditer(text) if any(s in low for s in _SIGNS_OFF) else ():
         if m["a"].islower():
             out.append((m.start("a"), m.end("b"), [_term(m["a"]), _term(m["b"].split(" ")[-1])], True, False))
     return out
@@ -230,12 +297,13 @@ def scan(segments: DataFrame, key: str, number: str, text: str) -> DataFrame:
             def add(i, check, kind, a, b, words, where):
                 rows.append(i), checks.append(check), kinds.append(kind), begins.append(a), ends.append(b), terms.append(words), placed.append(where)
 
-            for i, value in enumerate(batch.column(2).to_pylist()):
-                if not value or value.isspace():
+            values = [v if v and not v.isspace() else "" for v in batch.column(2).to_pylist()]
+            for i, (value, places) in enumerate(zip(values, number_places(values))):
+                if not value:
                     continue
                 check = zlib.crc32(value.encode("utf-8", "surrogatepass"))
                 emails = _emails(value)
-                found, alike = forms(value, emails)
+                found, alike = forms(value, emails, places)
                 for a, b, kind in found:
                     add(i, check, kind, a, b, terms_of(value, a, b, kind), True)
                 for a, b, kind in alike:
