@@ -174,7 +174,8 @@ def key_id(public_key: Column) -> Column:
 
 
 def base64url(value: Column) -> Column:
-    return F.regexp_replace(F.translate(F.base64(value), "+/", "-_"), "=+$", "")
+    """Base64 for addresses: without padding, and without the line ends of long values."""
+    return F.regexp_replace(F.translate(F.base64(value), "+/\r\n", "-_"), "=+$", "")
 
 
 def token_claims(token: Column) -> Column:

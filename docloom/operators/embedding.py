@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import json
-import urllib.request
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Longest text sent to the model, in characters, and batch size.
@@ -36,11 +35,23 @@ def hashing_provider(dim: int = 768) -> Callable[[], Provider]:
     return make
 
 
+def letter_profile(text: Column) -> Column:
+    """How often each letter from a to z occurs, as a vector of 26 numbers; NULL gives NULL.
+
+    The plainest vectors that depend on the text alone, made without leaving the
+    JVM.  Their relevance says nothing about a model's.
+    """
+    count = lambda low: (F.length(text) - F.length(F.replace(F.replace(text, F.lit(low)), F.lit(low.upper())))).cast("double")
+    return F.when(text.isNotNull(), F.array(*[count(chr(c)) for c in range(ord("a"), ord("z") + 1)]))
+
+
 def http_provider(url: str, timeout: float = 120.0) -> Callable[[], Provider]:
     """A service that takes ``{"inputs": [...]}`` and returns a list of vectors."""
 
     def make() -> Provider:
         def embed(texts: list[str]) -> np.ndarray:
+            import urllib.request
+
             body = json.dumps({"inputs": texts, "truncate": True}).encode()
             request = urllib.request.Request(url, body, {"Content-Type": "application/json"})
             with urllib.request.urlopen(request, timeout=timeout) as response:

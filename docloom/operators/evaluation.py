@@ -13,6 +13,20 @@ def missing(wanted: Column, text: Column) -> Column:
     return F.filter(F.coalesce(wanted, F.array().cast("array<string>")), lambda w: ~F.contains(text, w))
 
 
+#: Fixed value: how many results a golden question asks for.
+GOLDEN_TOP_K = 10
+
+
+def retrieval_requests(golden: DataFrame, tools: list[str], top_k: int = GOLDEN_TOP_K) -> DataFrame:
+    """``id, tool, query, top_k`` of each golden row, to be sent to its tool.
+
+    ``retrieval_query`` is asked where there is one, the words of the user else.
+    A row with a tool that is not known is an error when it is read.
+    """
+    known = F.when(F.col("tool").isin(tools), F.col("tool")).otherwise(F.raise_error(F.concat(F.lit("unsupported tool: "), F.coalesce("tool", F.lit("NULL")))))
+    return golden.select("id", known.alias("tool"), F.coalesce("retrieval_query", "query").alias("query"), F.lit(top_k).alias("top_k"))
+
+
 def retrieval_gate(rows: DataFrame) -> DataFrame:
     """Passed if each expected address is among the Source lines of ``output``.
 
@@ -50,6 +64,17 @@ def answer_gate(rows: DataFrame) -> DataFrame:
     return out.withColumn("passed", F.col("tool_fired") & clean)
 
 
+def gated(first: DataFrame, second: DataFrame) -> DataFrame:
+    """``id, retrieved, passed, status`` of each row: answers count only where retrieval passed.
+
+    ``status`` is ``blocked``, ``failed`` or ``passed``; a row without answer has failed.
+    """
+    rows = first.select("id", F.col("passed").alias("retrieved")).join(second.select("id", F.col("passed").alias("answered")), "id", "left")
+    passed = F.col("retrieved") & F.coalesce("answered", F.lit(False))
+    status = F.when(~F.col("retrieved"), "blocked").when(passed, "passed").otherwise("failed")
+    return rows.select("id", "retrieved", passed.alias("passed"), status.alias("status"))
+
+
 def exit_code(gate_one: DataFrame, gate_two: DataFrame | None = None) -> int:
     """0 if all passed, 1 if retrieval is blocked, 2 if an answer failed."""
     if not gate_one.agg(F.coalesce(F.bool_and("passed"), F.lit(True))).first()[0]:
@@ -60,9 +85,9 @@ def exit_code(gate_one: DataFrame, gate_two: DataFrame | None = None) -> int:
 
 
 def selected_rows(golden: DataFrame, ids: list[str]) -> DataFrame:
-    """The rows with these ids; an unknown id is an error."""
+    """The rows with these ids, repeated rows too; an unknown id is an error."""
     found = golden.where(F.col("id").isin(ids))
-    unknown = set(ids) - {r["id"] for r in found.select("id").collect()}
+    unknown = set(ids) - {r["id"] for r in found.select("id").distinct().collect()}  # as many as ids asked for
     if unknown:
         raise ValueError(f"unknown ids: {sorted(unknown)}")
     return found

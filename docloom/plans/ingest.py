@@ -11,7 +11,7 @@ from docloom import schema as S
 from docloom.functions import splitting, text
 from docloom.functions.cleaning import clean_page
 from docloom.operators.embedding import EMBED_CHARS, PAGE_EMBED_CHARS, Provider, embedded
-from docloom.operators.physical import spread
+from docloom.operators.physical import materialize, spread
 from docloom.operators.store import Collection
 
 #: Chunk sizes and overlaps of each corpus, and shortest contents.
@@ -19,18 +19,18 @@ PAGE, THREAD, SOURCE, CHANGED_PAGE = (600, 60), (1500, 150), (1000, 100), (1200,
 SHORTEST_PAGE, SHORTEST_SOURCE = 50, 10
 
 
-def page_chunks(files: DataFrame, repo: Column, base_url: str, cleaner: Callable[[Column], Column] = clean_page, size: tuple[int, int] = PAGE) -> DataFrame:
+def page_chunks(files: DataFrame, repo: Column, base_url: str, cleaner: Callable[[Column], Column] = clean_page, size: tuple[int, int] = PAGE, scan: bool = True) -> DataFrame:
     """Docs chunks: cleaned, cut, numbered from 0 in each file, with citation.
 
     Files without content, or with less than 50 characters after cleaning, give
     none.  ``files`` have ``path, file_name, content`` (and ``id``, which is kept,
     to tell files fetched twice apart).  Nothing is shuffled but a scan of a few
-    small files.
+    small files; ``scan`` tells that ``files`` is such a scan.
     """
     keep = ["id"] if "id" in files.columns else []
     # The length is tested in the argument: a filter would move below the cleaning
     # and clean twice.
-    cleaned = spread(files).withColumn("_clean", cleaner(F.col("content")))
+    cleaned = (spread(files) if scan else files).withColumn("_clean", cleaner(F.col("content")))
     long = F.when(F.length("_clean") >= SHORTEST_PAGE, F.col("_clean"))
     cut = cleaned.select(
         *keep, text.file_unique_id(repo, F.col("path")).alias("file_unique_id"), repo.alias("repo_name"), F.col("path").alias("file_path"), "file_name",
@@ -75,33 +75,34 @@ def source_chunks(files: DataFrame, size: tuple[int, int] = SOURCE) -> DataFrame
     return out.select(*[x for x in out.columns if x != "chunk"], F.substring(c("chunk.content"), 1, S.CONTENT_CHARS).alias("content_text"), *meta)
 
 
-def store_pages(collection: Collection, chunks: DataFrame, provider: Callable[[], Provider], run_epoch: int, sync: bool = False) -> None:
-    """Embed and store page chunks; a page's chunks are replaced by repository and path."""
+def store_pages(collection: Collection, chunks: DataFrame, provider: Callable[[], Provider], run_epoch: int, sync: bool = False) -> dict[str, int]:
+    """Embed and store page chunks; a page's chunks are replaced by repository and path.
+
+    Returns how many chunks there were, were deleted, inserted, and are.
+    """
     rows = S.fit_to(embedded(chunks, "content_text", provider, PAGE_EMBED_CHARS, dim=collection.spec.dim), collection.spec, run_epoch)
     if sync:
-        collection.sync(rows, ["repo_name", "file_path"])
-    else:
-        collection.upsert(rows, ["repo_name", "file_path"])
+        return collection.sync(rows, ["repo_name", "file_path"])
+    return collection.upsert(rows, ["repo_name", "file_path"])
 
 
-def store_chunks(collection: Collection, chunks: DataFrame, provider: Callable[[], Provider], run_epoch: int) -> None:
+def store_chunks(collection: Collection, chunks: DataFrame, provider: Callable[[], Provider], run_epoch: int) -> dict[str, int]:
     """Embed and store issue or code chunks; replaced by ``file_unique_id``."""
     rows = S.fit_to(embedded(chunks, "content_text", provider, EMBED_CHARS, dim=collection.spec.dim), collection.spec, run_epoch)
-    collection.upsert(rows, ["file_unique_id"])
+    return collection.upsert(rows, ["file_unique_id"])
 
 
-def update_changed(collection: Collection, changed: DataFrame, files: DataFrame, repo: str, base_url: str, provider: Callable[[], Provider], run_epoch: int) -> None:
+def update_changed(collection: Collection, changed: DataFrame, files: DataFrame, repo: str, base_url: str, provider: Callable[[], Provider], run_epoch: int) -> dict[str, int]:
     """Bring a collection up to date with changed and removed paths, in one commit.
 
     ``changed`` has ``path``; a path that ``files`` no longer has only loses its
     chunks.
     """
-    found = files.join(changed.select("path").distinct(), "path", "left_semi")
-    chunks = page_chunks(found, F.lit(repo), base_url, size=CHANGED_PAGE)
+    found = spread(files).join(changed.select("path").distinct(), "path", "left_semi")
+    chunks = page_chunks(found, F.lit(repo), base_url, size=CHANGED_PAGE, scan=False)
     rows = S.fit_to(embedded(chunks, "content_text", provider, PAGE_EMBED_CHARS, dim=collection.spec.dim), collection.spec, run_epoch)
     gone = changed.select(F.lit(repo).alias("repo_name"), F.col("path").alias("file_path")).distinct()
-    kept = collection.read().join(gone, ["repo_name", "file_path"], "left_anti")
-    collection.overwrite(kept.select(*rows.columns).unionByName(rows))
+    return collection.change(gone, ["repo_name", "file_path"], materialize(rows, "changed"))
 
 
 def follow_changes(changes: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str):

@@ -5,14 +5,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.functions import cleaning, text
+from docloom import schema as S
+from docloom.functions import cleaning, splitting, text
 from docloom.functions.html import html_to_text, markdown_to_html
 from docloom.operators import embedding, evaluation, search, store
 from docloom.operators.physical import materialize, shared_dir
 from docloom.plans import ingest
+from docloom.sources import files
 from docloom.sources.files import capped_per_repo, is_code, is_doc, nested_comments
 from docloom.streaming import chat, sessions
 
@@ -25,8 +27,18 @@ _TRIM = rf"regexp_replace(%s, '^{_WS}+|{_WS}+$', '', 'g')"
 _QUERY = "(SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0)"
 _COSINE = "list_cosine_similarity(embedding::DOUBLE[], q.e)"
 _STEMS = "list_distinct(list_transform(list_filter(regexp_extract_all(%s, '[A-Za-z0-9]+'), lambda t: length(t) >= 4), lambda t: lower(t[1:6])))"
+#: SQL: how often each letter occurs, as vectors of texts and of the question.
+_PROFILE = "list_transform(range(97, 123), lambda letter: CAST(length(%s) - length(replace(replace(%s, chr(CAST(letter AS INT)), ''), chr(CAST(letter - 32 AS INT)), '')) AS DOUBLE))"
+_PROFILE_COSINE = f"list_cosine_similarity({_PROFILE}, {_PROFILE})"
+
+
+def _profile_score(column: str) -> str:
+    question = f"'{QUESTION}'"
+    return _PROFILE_COSINE % (column, column, question, question)
+
+
 _HITS = f"""hits AS (
-  SELECT c.*, {_COSINE} AS score FROM docs_chunks c JOIN embeddings v ON c.id = v.vec_id, {_QUERY} q
+  SELECT c.*, {_profile_score("content_text")} AS score FROM docs_chunks c WHERE regexp_matches(content_text, '[A-Za-z]')
   ORDER BY score DESC, c.id LIMIT 10),
 ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM hits)"""
 
@@ -62,15 +74,18 @@ def _question_vector(spark: SparkSession, sf: str) -> list[float]:
     return list(table(spark, sf, "embeddings").where("vec_id = 0").first()["embedding"])
 
 
-def _with_vectors(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """Rows of a table with the stored vector of the same number."""
-    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return table(spark, sf, name).join(vectors, "id")
+def _profiled(rows: DataFrame, column: str) -> DataFrame:
+    """Every row with the letter profile of its text as vector."""
+    return rows.withColumn("vector", embedding.letter_profile(F.col(column)))
+
+
+def _question_profile(spark: SparkSession) -> list[float]:
+    return list(spark.range(1).select(embedding.letter_profile(F.lit(QUESTION))).first()[0])
 
 
 def _hits(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
     columns = ["content_text", "citation_url", "file_path", "chunk_index"]
-    return search.top_k(_with_vectors(spark, sf, "docs_chunks"), _question_vector(spark, sf), k, "id", "vector", columns)
+    return search.top_k(_profiled(table(spark, sf, "docs_chunks"), "content_text"), _question_profile(spark), k, "id", "vector", columns)
 
 
 # --- search -----------------------------------------------------------------
@@ -101,15 +116,28 @@ def knn_batch_topk(spark, sf):
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), _long("rank"))
 
 
+def _recall(corpus: DataFrame, key: str, vector: str, probes: float) -> DataFrame:
+    """Recall of the pruned search against the exact one, and the share of the rows that a query met."""
+    asked = corpus.where(F.col(key) % 100 == 0)
+    rows = corpus.where(F.col(vector).isNotNull()).count()
+    centres = search.fit_cells(corpus, vector, search.default_cells(rows))
+    exact = search.batch_top_k(corpus, asked, 10, key, vector).select("query_id", key)
+    pruned, scanned = search.pruned_top_k(corpus, asked, 10, key, vector, centres, max(1, round(probes * len(centres))))
+    met = exact.join(pruned.select("query_id", key, F.lit(1).alias("hit")), ["query_id", key], "left")
+    found = met.agg(F.count("*").alias("wanted"), F.count("hit").alias("found"), (F.count("hit") / F.count("*")).alias("recall"))
+    return found.crossJoin(scanned.agg((F.avg("scanned") / F.lit(max(rows, 1))).alias("scanned")))  # one row each
+
+
 @query()
 def knn_pruned_recall(spark, sf):
-    """Share of the exact neighbours that the pruned search finds; 0.9 at least."""
-    corpus = table(spark, sf, "embeddings")
-    asked = corpus.where(F.col("vec_id") % 100 == 0)
-    centres = search.fit_cells(corpus, "embedding", 16)
-    exact = search.batch_top_k(corpus, asked, 10, "vec_id", "embedding").select("query_id", "vec_id")
-    pruned = search.pruned_top_k(corpus, asked, 10, "vec_id", "embedding", centres, 12).select("query_id", "vec_id", F.lit(1).alias("hit"))
-    return exact.join(pruned, ["query_id", "vec_id"], "left").agg(F.count("*").alias("wanted"), F.count("hit").alias("found"), (F.count("hit") / F.count("*")).alias("recall"))
+    """The stored vectors point everywhere alike, so half the cells must be probed for a recall of 0.9."""
+    return _recall(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.5)
+
+
+@query()
+def knn_pruned_chunks(spark, sf):
+    """Letter profiles of chunks lie in groups: a tenth of the cells is enough."""
+    return _recall(_profiled(table(spark, sf, "docs_chunks").where("content_text rlike '[A-Za-z]'"), "content_text"), "id", "vector", 0.1)
 
 
 @query(f"""WITH {_HITS} SELECT CAST(rank AS BIGINT) AS rank, round(1 - score, 6) AS similarity, coalesce(file_path, '') AS file_path, coalesce(citation_url, '') AS citation_url,
@@ -119,6 +147,14 @@ def legacy_search(spark, sf):
     return out.withColumn("similarity", F.round("similarity", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(f"""WITH {_HITS} SELECT string_agg('File: ' || coalesce(file_path, '') || chr(10) || 'Content: ' || CASE WHEN length(coalesce(content_text, '')) > 400 THEN substr(content_text, 1, 400) || '...' ELSE coalesce(content_text, '') END
+             || chr(10) || 'URL: ' || coalesce(citation_url, '') || chr(10) || 'Similarity: ' || printf('%.3f', 1 - score) || chr(10), chr(10) ORDER BY rank) AS output,
+             (SELECT string_agg(citation_url, ' ' ORDER BY first) FROM (SELECT citation_url, min(rank) AS first FROM ranked WHERE coalesce(citation_url, '') <> '' GROUP BY 1)) AS citations FROM ranked""")
+def legacy_tool(spark, sf):
+    """Text and citations that the older tool returns together."""
+    return search.tool_result(search.legacy_results(_hits(spark, sf))).withColumn("citations", F.array_join("citations", " "))
+
+
 _OVERLAP = f"""len(list_intersect({_STEMS % f"'{QUESTION}'"}, {_STEMS % "concat_ws(' ', coalesce(citation_url, ''), coalesce(file_path, ''))"}))"""
 _BEST = f"""best AS (SELECT *, {_OVERLAP} AS overlap FROM ranked WHERE coalesce(citation_url, '') <> '' OR coalesce(file_path, '') <> ''
             ORDER BY overlap DESC, score DESC, rank LIMIT 1)"""
@@ -133,6 +169,7 @@ def rerank_top_document(spark, sf):
 _CONTEXT = f"""pieces AS (SELECT DISTINCT %(by)s AS doc, chunk_index, {_TRIM % "coalesce(content_text, '')"} AS content FROM docs_chunks),
 taken AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY chunk_index, content) AS nth FROM pieces WHERE content <> ''),
 roomy AS (SELECT *, 24000 - coalesce(sum(length(content) + 2) OVER (PARTITION BY doc ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM taken WHERE nth <= 20),
+addresses AS (SELECT %(by)s AS doc, arg_min(citation_url, (chunk_index, {_TRIM % "content_text"}, citation_url)) AS first_url FROM docs_chunks WHERE {_TRIM % "coalesce(content_text, '')"} <> '' GROUP BY 1),
 contexts AS (SELECT doc, string_agg(substr(content, 1, CAST(room AS BIGINT)), chr(10) || chr(10) ORDER BY nth) AS context, count(*) AS n_chunks FROM roomy WHERE room > 0 GROUP BY doc)"""
 
 
@@ -144,24 +181,24 @@ def document_contexts(spark, sf):
 
 
 @query(f"""WITH {_HITS}, {_BEST}, {_CONTEXT % {'by': 'file_path'}}
-           SELECT '### Result 1 (score: ' || printf('%.4f', score) || ')' || chr(10) || '**Source:** ' || coalesce(citation_url, '') || chr(10) || '**File:** ' || coalesce(file_path, '')
+           SELECT '### Result 1 (score: ' || printf('%.4f', score) || ')' || chr(10) || '**Source:** ' || coalesce(CASE WHEN context IS NULL THEN citation_url ELSE first_url END, '') || chr(10) || '**File:** ' || coalesce(file_path, '')
                   || chr(10) || chr(10) || coalesce(context, content_text, '') || chr(10) AS output
-           FROM best LEFT JOIN contexts ON doc = file_path""")
+           FROM best LEFT JOIN contexts c ON c.doc = file_path LEFT JOIN addresses a ON a.doc = file_path""")
 def search_docs(spark, sf):
-    found = search.search_docs(_with_vectors(spark, sf, "docs_chunks"), QUESTION, _question_vector(spark, sf), 10)
+    found = search.search_docs(_profiled(table(spark, sf, "docs_chunks"), "content_text"), QUESTION, _question_profile(spark), 10)
     return search.rendered(found, "docs")
 
 
-@query(f"""WITH pool AS (SELECT i.*, v.embedding FROM issues_data i JOIN embeddings v ON i.id = v.vec_id WHERE repo_name = 'kelpstack/lineage' AND issue_state = 'open'),
-           hits AS (SELECT pool.*, {_COSINE} AS score FROM pool, {_QUERY} q ORDER BY score DESC, id LIMIT 5),
+@query(f"""WITH pool AS (SELECT * FROM issues_data WHERE repo_name = 'kelpstack/lineage' AND issue_state = 'open' AND regexp_matches(body, '[A-Za-z]')),
+           hits AS (SELECT pool.*, {_profile_score("body")} AS score FROM pool ORDER BY score DESC, id LIMIT 5),
            ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM hits)
            SELECT coalesce(string_agg('### Result ' || rank || ' (score: ' || printf('%.4f', score) || ')' || chr(10) || '**Source:** ' || coalesce(url, '') || chr(10) || '**Repo:** ' || repo_name
              || CASE WHEN coalesce(issue_number, 0) <> 0 THEN chr(10) || '**Issue:** #' || issue_number ELSE '' END || ' (open)'
              || CASE WHEN coalesce(issue_labels, '') <> '' THEN chr(10) || '**Labels:** ' || issue_labels ELSE '' END
              || chr(10) || chr(10) || coalesce(body, '') || chr(10), chr(10) || '---' || chr(10) ORDER BY rank), 'No issues found for your query.') AS output FROM ranked""")
 def search_issues(spark, sf):
-    corpus = _with_vectors(spark, sf, "issues_data").withColumn("content_text", F.col("body")).withColumn("citation_url", F.col("url"))
-    found = search.search_issues(corpus, _question_vector(spark, sf), 5, "kelpstack/lineage", "open")
+    corpus = _profiled(table(spark, sf, "issues_data"), "body").withColumn("content_text", F.col("body")).withColumn("citation_url", F.col("url"))
+    found = search.search_issues(corpus, _question_profile(spark), 5, "kelpstack/lineage", "open")
     return search.rendered(found, "issues")
 
 
@@ -177,6 +214,7 @@ def search_code(spark, sf):
 # --- cleaning, citations, issue text ----------------------------------------
 
 _FENCE = r"(?:\r?\n|$)"
+#: The patterns of each cleaning step, in the dialect of the SQL.
 _STEPS_SQL = {
     "template": r"regexp_replace(%s, '(?s)\{\{.*?\}\}', '', 'g')",
     "comment": r"regexp_replace(%s, '(?s)<!--.*?-->', '', 'g')",
@@ -200,17 +238,30 @@ def _sql_chain(column: str, steps: list[str]) -> str:
     return column
 
 
+_PAGE_SQL = _sql_chain("content", ["front_page", "template", "comment", "tag", "navigation", "link_nested", "url", "blanks", "lines", "strip"])
+
+
 @query(f"SELECT id, {_sql_chain('content', ['front_page', 'template', 'comment', 'tag', 'navigation', 'link_nested', 'url', 'blanks', 'lines', 'strip'])} AS clean FROM github_data")
 def clean_page(spark, sf):
     return table(spark, sf, "github_data").select("id", cleaning.clean_page(F.col("content")).alias("clean"))
 
 
-@query()
+#: SQL: front matter between two equal runs of dashes or plus signs, of which the first is
+#: taken as long as a later run can match it; this dialect has no reference to an earlier group.
+_FLAT_FRONT = rf"""runs AS (SELECT id, content, length(regexp_extract(content, '\A{_WS}*')) AS lead, regexp_extract(content, '\A{_WS}*(-{{3,}}|\+{{3,}})', 1) AS run FROM github_data),
+  longest AS (SELECT *, list_max(list_filter(range(3, length(run) + 1), lambda m: contains(substr(content, lead + m + 1), repeat(run[1], CAST(m AS INT))))) AS m FROM runs),
+  flat AS (SELECT id, CASE WHEN m IS NULL THEN content ELSE regexp_replace(substr(content, lead + 2 * m + instr(substr(content, lead + m + 1), repeat(run[1], CAST(m AS INT)))), '\A{_WS}+', '') END AS body FROM longest)"""
+
+
+@query(f"WITH {_FLAT_FRONT} SELECT id, {_sql_chain('body', ['template', 'comment', 'tag', 'navigation', 'url', 'link_plain', 'flat', 'strip'])} AS clean FROM flat")
 def clean_flat(spark, sf):
     return table(spark, sf, "github_data").select("id", cleaning.clean_flat(F.col("content")).alias("clean"))
 
 
-@query()
+_INCREMENTAL_SQL = _sql_chain(rf"regexp_replace(content, '(?sm)^{_WS}*[+\-]{{3,}}.*?[+\-]{{3,}}{_WS}*', '', 'g')", ["template", "comment", "tag", "navigation", "url", "link_plain", "flat", "strip"])
+
+
+@query(f"SELECT id, {_INCREMENTAL_SQL} AS clean FROM github_data")
 def clean_incremental(spark, sf):
     return table(spark, sf, "github_data").select("id", cleaning.clean_incremental(F.col("content")).alias("clean"))
 
@@ -271,6 +322,7 @@ def path_kinds(spark, sf):
     return table(spark, sf, "code_data").select("id", is_code(F.col("file_name")).alias("is_code"), is_doc(F.col("path")).alias("is_doc"))
 
 
+#: The wording of rendered comments, headers and prefixes, here and below.
 _COMMENT_SQL = "'**Comment by @' || coalesce(c.author, 'unknown') || '** (' || coalesce(c.created_at, '') || '):' || chr(10) || coalesce(c.body, '')"
 
 
@@ -312,11 +364,25 @@ def issue_prefix(spark, sf):
     return _issue_meta(table(spark, sf, "issues_data")).select("id", text.issue_prefix(F.col("meta")).alias("prefix"))
 
 
-@query()
+def _bit(column: str, label: str) -> str:
+    return f"CASE WHEN coalesce({column}, '') <> '' THEN '**{label}:** ' || {column} END"
+
+
+_HEAD_SQL = f"""concat_ws(chr(10), CASE WHEN {_TRIM % "coalesce(title, '')"} <> '' THEN '# ' || {_TRIM % "title"} END, {_bit('repo_name', 'Repository')},
+  CASE WHEN coalesce(issue_number, 0) <> 0 THEN '**Issue:** #' || issue_number END, {_bit('url', 'URL')}, '**Labels:** ' || issue_labels, {_bit('issue_state', 'State')}, {_bit('created_at', 'Created')}, {_bit('updated_at', 'Updated')})"""
+_SEGMENTS_SQL = f"""heads AS (SELECT *, {_HEAD_SQL} AS head FROM issues_data),
+  segments AS (SELECT id, content, CASE WHEN body IS NOT NULL
+      THEN list_concat([{_TRIM % "CASE WHEN head <> '' AND body <> '' THEN head || chr(10) || chr(10) || body WHEN head <> '' THEN head ELSE body END"}], list_transform(coalesce(comments, []), lambda c: {_TRIM % ("(" + _COMMENT_SQL + ")")}))
+      ELSE list_transform(string_split(coalesce(content, ''), chr(10) || chr(10) || '---' || chr(10)), lambda x: {_TRIM % "x"}) END AS parts FROM heads),
+  filled AS (SELECT id, content, list_filter(parts, lambda x: x <> '') AS parts FROM segments),
+  cut AS (SELECT id, CASE WHEN len(parts) > 0 THEN parts ELSE [coalesce(content, '')] END AS parts FROM filled)"""
+
+
+@query(f"WITH {_SEGMENTS_SQL} SELECT id, unnest(range(len(parts))) AS segment_no, unnest(parts) AS segment FROM cut")
 def issue_segments(spark, sf):
     names = ("title", "repo_name", "issue_number", "url", "issue_labels", "issue_state", "created_at", "updated_at", "body", "comments", "content")
     cut = table(spark, sf, "issues_data").select("id", text.issue_segments(*[F.col(n) for n in names]).alias("segments"))
-    return cut.select("id", F.posexplode("segments").alias("segment_no", "segment"))
+    return cut.select("id", F.posexplode("segments").alias("segment_no", "segment")).withColumn("segment_no", F.col("segment_no").cast("long"))
 
 
 @query("""SELECT trim(label) AS label, count(*) AS n, count(DISTINCT repo_name) AS n_repos FROM (
@@ -350,17 +416,94 @@ def source_chunks(spark, sf):
     return ingest.source_chunks(table(spark, sf, "code_data"))
 
 
+def _facts(chunks: DataFrame, texts: DataFrame, limit: int) -> DataFrame:
+    """What holds for the chunks of each text: numbered from 0 without gaps, within the limit, parts of the text.
+
+    ``texts`` have ``id, text, expected``; the text is compared without white space at
+    the ends of chunks only.
+    """
+    joined = texts.join(chunks.select("id", "chunk_index", "content_text"), "id", "left")
+    held = F.col("chunk_index").isNotNull()
+    return joined.groupBy("id", "expected").agg(
+        F.count("chunk_index").alias("n"), F.count_distinct("chunk_index").alias("numbers"), F.max("chunk_index").alias("last"),
+        F.coalesce(F.bool_and(F.when(held, F.length("content_text") <= limit)), F.lit(True)).alias("within_limit"),
+        F.coalesce(F.bool_and(F.when(held, F.contains("text", "content_text"))), F.lit(True)).alias("contained"),
+        F.sum(F.length("content_text")).alias("chars"),
+    ).select(
+        "id", (F.col("n") > 0).alias("has_chunks"), ((F.col("n") == F.col("numbers")) & (F.coalesce("last", F.lit(-1)) == F.col("n") - 1)).alias("in_order"), "within_limit", "contained",
+        ((F.col("n") == 0) | (F.col("chars") >= 0.9 * F.col("expected"))).alias("complete"),
+    )
+
+
+def _page_facts(spark: SparkSession, sf: str, chunks: DataFrame, cleaner: Callable[[Column], Column], limit: int) -> DataFrame:
+    texts = table(spark, sf, "github_data").select("id", cleaner(F.col("content")).alias("text"))
+    solid = F.length(F.regexp_replace("text", r"(?U)\s+", ""))
+    return _facts(chunks, texts.select("id", "text", solid.alias("expected")), limit)
+
+
+@query(f"SELECT id, coalesce(length({_PAGE_SQL}) >= 50, false) AS has_chunks, true AS in_order, true AS within_limit, true AS contained, true AS complete FROM github_data")
+def page_chunk_facts(spark, sf):
+    """Page chunks are numbered, short enough and parts of the cleaned page; short pages have none."""
+    return _page_facts(spark, sf, page_chunks(spark, sf), cleaning.clean_page, 600)
+
+
+@query(f"SELECT id, coalesce(length({_INCREMENTAL_SQL}) >= 50, false) AS has_chunks, true AS in_order, true AS within_limit, true AS contained, true AS complete FROM github_data")
+def changed_page_chunk_facts(spark, sf):
+    return _page_facts(spark, sf, changed_page_chunks(spark, sf), cleaning.clean_incremental, 1200)
+
+
+@query(rf"""SELECT id, coalesce(length({_TRIM % "content"}) >= 10, false) AS has_chunks, true AS in_order, true AS within_limit, true AS contained FROM code_data
+            WHERE NOT regexp_matches(path, '(?i)\.(?:ya?ml|py)$')""")
+def source_chunk_facts(spark, sf):
+    """Code that is neither YAML nor Python is one text, cut where it is too long."""
+    files = table(spark, sf, "code_data").where(~F.col("path").rlike(r"(?i)\.(?:ya?ml|py)$"))
+    texts = files.select("id", F.col("content").alias("text"), F.lit(0).alias("expected"))
+    return _facts(ingest.source_chunks(files), texts, 1000).drop("complete")
+
+
+@query(rf"""WITH docs AS (SELECT id, list_filter(list_transform(regexp_split_to_array(regexp_replace(content, '{_WS}+$', ''), '(?m)^---[ \t\r\x{{b}}\x{{c}}]*$'), lambda x: {_TRIM % "x"}), lambda x: length(x) >= 10) AS parts
+              FROM code_data WHERE regexp_matches(path, '(?i)\.ya?ml$') AND length(regexp_replace(content, '{_WS}+$', '')) >= 10)
+            SELECT id, CAST(len(parts) AS BIGINT) AS n_documents, CAST(list_sum(list_transform(parts, lambda x: length(x))) AS BIGINT) AS chars,
+                   CAST(len(list_filter(parts, lambda x: regexp_matches(x, '(?m)^kind:'))) AS BIGINT) AS n_kinds FROM docs WHERE len(parts) > 0""")
+def yaml_documents(spark, sf):
+    """Documents of each YAML file, whole."""
+    files = table(spark, sf, "code_data").where(F.col("path").rlike(r"(?i)\.ya?ml$"))
+    chunks = splitting.exploded(files.select("id", splitting.code_chunker(2**31 - 1, 0)(F.when(F.length(F.regexp_replace("content", r"(?U)\s+\z", "")) >= 10, F.regexp_replace("content", r"(?U)\s+\z", "")), "path").alias("chunks")), "chunks", ["id"])
+    return chunks.groupBy("id").agg(
+        F.count("*").alias("n_documents"), F.sum(F.length("chunk.content").cast("long")).alias("chars"), F.count(F.when(F.col("chunk.content").rlike("(?m)^kind:"), 1)).alias("n_kinds")
+    )
+
+
+@query(f"""WITH {_META_SQL}, prefixes AS (SELECT id, '[Issue #' || issue_number || '] ' || title || CASE WHEN repo_name <> '' THEN ' | Repo: ' || repo_name ELSE '' END
+             || CASE WHEN issue_state <> '' THEN ' | State: ' || issue_state ELSE '' END || CASE WHEN issue_labels <> '' THEN ' | Labels: ' || issue_labels ELSE '' END || chr(10) || chr(10) AS prefix FROM resolved),
+           {_SEGMENTS_SQL}
+           SELECT p.id, true AS in_order, true AS prefixed, true AS within_limit, array_to_string(parts, chr(10) || chr(10)) <> '' AND
+             length(array_to_string(parts, chr(10) || chr(10))) <= greatest(100, 1500 - length(prefix)) AS whole FROM prefixes p JOIN cut USING (id)""")
+def thread_chunk_facts(spark, sf):
+    """Issue chunks are numbered, carry the issue's prefix and fit; short threads are one chunk."""
+    issues = _issue_meta(table(spark, sf, "issues_data"))
+    names = ("title", "repo_name", "issue_number", "url", "issue_labels", "issue_state", "created_at", "updated_at", "body", "comments", "content")
+    joined = F.array_join(text.issue_segments(*[F.col(n) for n in names]), "\n\n")
+    facts = issues.select("id", text.issue_prefix(F.col("meta")).alias("prefix"), joined.alias("thread"))
+    rows = facts.join(thread_chunks(spark, sf).select("id", "chunk_index", "content_text"), "id")
+    room = F.greatest(F.lit(100), 1500 - F.length("prefix"))
+    return rows.groupBy("id").agg(
+        F.count("*").alias("n"), F.max("chunk_index").alias("last"), F.bool_and(F.startswith("content_text", "prefix")).alias("prefixed"),
+        F.bool_and(F.length("content_text") <= F.length("prefix") + room).alias("within_limit"), F.bool_and((F.col("thread") != "") & (F.length("thread") <= room) & (F.col("content_text") == F.concat("prefix", "thread"))).alias("whole"),
+    ).select("id", (F.col("last") == F.col("n") - 1).alias("in_order"), "prefixed", "within_limit", "whole")
+
+
 @query()
 def resource_counts(spark, sf):
     chunks = ingest.source_chunks(table(spark, sf, "code_data"))
     return chunks.groupBy("file_type", "resource_kind").agg(F.count("*").alias("n"), F.count_distinct("file_unique_id").alias("n_files"))
 
 
-@query()
+@query("""SELECT id, CAST(64 AS BIGINT) AS dim, CASE WHEN regexp_matches(substr(coalesce(content_text, ''), 1, 1000), '[^\\s\\x{85}\\x{a0}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{3000}]') THEN 1::DOUBLE ELSE 0::DOUBLE END AS norm FROM docs_chunks""")
 def embedded_chunks(spark, sf):
     """Every stored chunk with a hashed vector; the length of each vector is 1 or 0."""
     rows = embedding.embedded(table(spark, sf, "docs_chunks").select("id", "content_text"), "content_text", embedding.hashing_provider(64), dim=64)
-    return rows.select("id", F.size("embedding").alias("dim"), F.round(F.sqrt(search.dot(F.col("embedding"), F.col("embedding"))), 4).alias("norm"))
+    return rows.select("id", F.size("embedding").cast("long").alias("dim"), F.round(F.sqrt(search.dot(F.col("embedding"), F.col("embedding"))), 4).alias("norm"))
 
 
 @query("""SELECT repo_name, file_path, count(*) AS n_chunks, round(avg(length(content_text)), 4) AS avg_chars, sum(length(content_text)) AS chars, max(chunk_index) AS last_index
@@ -473,13 +616,17 @@ def gate1_score(spark, sf):
                   fired AND len(list_filter(cited, lambda x: url IS NULL OR x <> url)) = 0 AND contains(answer, '.') AND NOT contains(answer, 'password') AS passed FROM u""")
 def gate2_score(spark, sf):
     """Bodies as answers: only the issue's own address may be cited."""
+    scored = _answers_scored(spark, sf)
+    return scored.select("id", F.size("cited_urls").cast("long").alias("n_cited"), F.size("invented_urls").cast("long").alias("n_invented"), "passed")
+
+
+def _answers_scored(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col
     rows = table(spark, sf, "issues_data").select(
         "id", c("body").alias("answer"), (F.coalesce(F.size("comments"), F.lit(0)) > 0).alias("tool_fired"), F.array_compact(F.array("url")).alias("allowed_urls"),
         F.array(F.lit(".")).alias("must_appear_in_answer"), F.array(F.lit("password")).alias("forbidden_in_answer"),
     )
-    scored = evaluation.answer_gate(rows)
-    return scored.select("id", F.size("cited_urls").cast("long").alias("n_cited"), F.size("invented_urls").cast("long").alias("n_invented"), "passed")
+    return evaluation.answer_gate(rows)
 
 
 # --- threads, chats, events -------------------------------------------------
@@ -514,11 +661,11 @@ def chat_names(spark, sf):
     return chat.chat_names(_turns(spark, sf), ["id"], "turn", "role", "content")
 
 
-@query("""SELECT repo_name, citation_url, min(id) AS first_id, count(*) AS n FROM docs_chunks WHERE citation_url <> '' GROUP BY 1, 2""")
+@query("""SELECT file_unique_id, string_agg(citation_url, ' ' ORDER BY first) AS citations FROM (
+            SELECT file_unique_id, citation_url, min((chunk_index, citation_url)) AS first FROM docs_chunks WHERE citation_url <> '' GROUP BY 1, 2) GROUP BY 1""")
 def citations_ordered(spark, sf):
-    """Distinct addresses of each repository with their first appearance, which orders them."""
-    shown = table(spark, sf, "docs_chunks").where("citation_url <> ''")
-    return shown.groupBy("repo_name", "citation_url").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
+    """Distinct addresses of each document in order of first appearance."""
+    return chat.ordered_citations(table(spark, sf, "docs_chunks"), ["file_unique_id"], "chunk_index", "citation_url").withColumn("citations", F.array_join("citations", " "))
 
 
 @query("""SELECT date_trunc('minute', ts) AS minute, count(*) AS requests, least(count(*), 60) AS accepted, count(*) - least(count(*), 60) AS rejected FROM events GROUP BY 1""")
@@ -565,7 +712,7 @@ def event_props(spark, sf):
 
 @query("""SELECT event_id, '$.k' AS path, json_extract_string(props, '$.k') AS value FROM events""")
 def event_leaves(spark, sf):
-    return chat.json_leaves(table(spark, sf, "events"), ["event_id"], "props", 3)
+    return chat.json_leaves(table(spark, sf, "events"), ["event_id"], "props")
 
 
 @query("""SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2""")
@@ -574,7 +721,7 @@ def stream_hourly(spark, sf):
     events = table(spark, sf, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parquet*")
     base = f"{shared_dir(spark)}/docloom/stream-{uuid.uuid4().hex}"
-    done = sessions.drained(sessions.windowed_stream(stream, "ts", ["event_type"]), f"{base}/out", f"{base}/state", "complete")
+    done = sessions.drained(sessions.windowed_stream(stream, "ts", ["event_type"]), f"{base}/out", f"{base}/state", "update", ["start", "event_type"])
     return done.select(F.unix_micros("start").alias("start_us"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
@@ -598,15 +745,180 @@ def nation_revenue(spark, sf):
     return joined.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count_distinct("o_orderkey").alias("orders"))
 
 
-@query()
+@query(f"SELECT 'tidegrid/website' AS repo_name, count(DISTINCT path) AS n_files, 2 AS oldest, true AS replaced FROM github_data WHERE length({_PAGE_SQL}) >= 50")
 def store_round_trip(spark, sf):
-    """Chunks through a stored collection, written twice; the second write changes nothing."""
-    from docloom import schema as S
-
+    """Chunks through a stored collection, written twice; the second write replaces all of them."""
     chunks = ingest.page_chunks(table(spark, sf, "github_data"), F.lit("tidegrid/website"), BASE_URL).drop("id")
-    spec = S.CollectionSpec("docs", S.DOCS.strings, S.DOCS.longs, dim=64)
-    collection = store.Collection(spark, f"{shared_dir(spark)}/docloom/store-{uuid.uuid4().hex}", spec)
+    collection = store.Collection(spark, f"{shared_dir(spark)}/docloom/store-{uuid.uuid4().hex}", S.CollectionSpec("docs", S.DOCS.strings, S.DOCS.longs, dim=64))
     rows = materialize(chunks, "chunks")
-    for epoch in (1, 2):
-        ingest.store_pages(collection, rows, embedding.hashing_provider(64), epoch)
-    return collection.read().groupBy("repo_name").agg(F.count("*").alias("n"), F.count_distinct("file_path").alias("n_files"), F.min("last_updated").alias("oldest"))
+    ingest.store_pages(collection, rows, embedding.hashing_provider(64), 1)
+    again = ingest.store_pages(collection, rows, embedding.hashing_provider(64), 2)
+    replaced = again["before"] == again["deleted"] == again["inserted"] == again["after"]
+    return collection.read().groupBy("repo_name").agg(F.count_distinct("file_path").alias("n_files"), F.min("last_updated").alias("oldest"), F.lit(replaced).alias("replaced"))
+
+
+@query("""WITH n AS (SELECT count(*) AS n_all, count(last_updated) AS stored, count(*) - count(last_updated) AS late FROM docs_chunks),
+          u AS (SELECT count(*) AS hit FROM docs_chunks d WHERE last_updated IS NOT NULL AND EXISTS (SELECT 1 FROM docs_chunks l WHERE l.last_updated IS NULL AND l.file_unique_id = d.file_unique_id)),
+          r AS (SELECT count(*) FILTER (repo_name = first) AS one FROM docs_chunks, (SELECT min(repo_name) AS first FROM docs_chunks))
+          SELECT 'create' AS step, 0 AS before, 0 AS deleted, 0 AS inserted, 0 AS after
+          UNION ALL SELECT 'overwrite', 0, 0, stored, stored FROM n
+          UNION ALL SELECT 'upsert', stored, hit, late, stored - hit + late FROM n, u
+          UNION ALL SELECT 'append', stored - hit + late, 0, late, stored - hit + 2 * late FROM n, u
+          UNION ALL SELECT 'rebuild', stored - hit + 2 * late, stored - hit + 2 * late, n_all, n_all FROM n, u
+          UNION ALL SELECT 'delete', n_all, one, 0, n_all - one FROM n, r""")
+def store_totals(spark, sf):
+    """What each step of a collection's life deletes and inserts."""
+    rows = _profiled(table(spark, sf, "docs_chunks"), "content_text").withColumn("vector", F.coalesce("vector", F.array(*[F.lit(0.0)] * 26)))
+    spec = S.CollectionSpec("docs", S.DOCS.strings, S.DOCS.longs, dim=26)
+    stored, late, every = (S.fit_to(r, spec, 1) for r in (rows.where("last_updated is not null"), rows.where("last_updated is null"), rows))
+    collection = store.Collection(spark, f"{shared_dir(spark)}/docloom/store-{uuid.uuid4().hex}", spec)
+    collection.create()
+    steps = {"create": {"before": 0, "deleted": 0, "inserted": 0, "after": collection.count()}, "overwrite": collection.overwrite(stored), "upsert": collection.upsert(late, ["file_unique_id"])}
+    steps |= {"append": collection.append(late), "rebuild": collection.overwrite(every)}
+    steps["delete"] = collection.delete(rows.agg(F.min("repo_name").alias("repo_name")), ["repo_name"])
+    return spark.createDataFrame([(k, v["before"], v["deleted"], v["inserted"], v["after"]) for k, v in steps.items()], "step string, before long, deleted long, inserted long, after long")
+
+
+@query("SELECT path, content, file_name FROM github_data")
+def stage_lines(spark, sf):
+    """A stage written as JSON lines and read again."""
+    path = f"{shared_dir(spark)}/docloom/stage-{uuid.uuid4().hex}"
+    store.written_lines(table(spark, sf, "github_data").select("path", "content", "file_name"), path)
+    return files.stage(spark, path, "docs").select("path", "content", "file_name")
+
+
+# --- sources ----------------------------------------------------------------
+
+
+@query("""SELECT 'issues/tools/' || issue_number AS path, 'issue-tools-' || issue_number || '.md' AS file_name, title, 'tidegrid/tools' AS repo_name, issue_number, issue_state, coalesce(issue_labels, '') AS issue_labels,
+                 substr(created_at, 1, 10) AS created_at, substr(updated_at, 1, 10) AS updated_at, coalesce(body, '') AS body, url FROM issues_data WHERE issue_number % 7 <> 0""")
+def api_issue_records(spark, sf):
+    """Records from payloads of an issue service; every seventh number is a pull request."""
+    c = F.col
+    labels = F.transform(F.split("issue_labels", ", "), lambda x: F.struct(x.alias("name")))
+    raw = table(spark, sf, "issues_data").where("issue_number is not null").select(
+        c("issue_number").alias("number"), "title", "body", c("issue_state").alias("state"), c("url").alias("html_url"), "created_at", "updated_at", labels.alias("labels"),
+        F.when(c("issue_number") % 7 == 0, F.lit("{}")).alias("pull_request"),
+    )
+    return files.api_issues(raw, "tidegrid/tools").drop("comments")
+
+
+@query("SELECT path, file_name, content, citation_url FROM code_data WHERE content IS NOT NULL")
+def api_file_contents(spark, sf):
+    """Files of a contents listing, from base64."""
+    listing = table(spark, sf, "code_data").select("path", F.col("file_name").alias("name"), F.lit("file").alias("type"), F.base64(F.col("content").cast("binary")).alias("content"), F.col("citation_url").alias("html_url"))
+    return files.api_contents(listing)
+
+
+@query("""SELECT file_path AS path, count(*) FILTER (chunk_index = 0 OR last_updated IS NOT NULL) = 0 AS removed FROM docs_chunks
+          WHERE (ends_with(file_path, '.md') OR ends_with(file_path, '.html')) AND (chunk_index = 0 OR last_updated IS NOT NULL OR last_updated IS NULL) GROUP BY 1""")
+def webhook_paths(spark, sf):
+    """Chunks as commits: first ones add, dated ones modify, the others remove their file."""
+    one = lambda test: F.array_compact(F.array(F.when(test, F.col("file_path"))))
+    added, modified = F.col("chunk_index") == 0, F.col("last_updated").isNotNull()
+    return files.webhook_changes(table(spark, sf, "docs_chunks").select(one(added).alias("added"), one(modified).alias("modified"), one(~added & ~modified).alias("removed")))
+
+
+# --- fields of requests -----------------------------------------------------
+
+
+@query("""SELECT id, CASE WHEN length(regexp_replace(citation_url, '^https?://', '')) > 60 THEN substr(regexp_replace(citation_url, '^https?://', ''), 1, 57) || '...' ELSE regexp_replace(citation_url, '^https?://', '') END AS shown,
+                 substr(sha256(file_unique_id), 1, 16) AS key_id, rtrim(replace(replace(to_base64(CAST(file_path AS BLOB)), '+', '-'), '/', '_'), '=') AS coded FROM docs_chunks""")
+def links_and_keys(spark, sf):
+    return table(spark, sf, "docs_chunks").select("id", text.link_text(F.col("citation_url")).alias("shown"), text.key_id(F.col("file_unique_id")).alias("key_id"), text.base64url(F.col("file_path")).alias("coded"))
+
+
+@query("SELECT id, repo_name AS iss, file_path AS sub, id AS iat, id + 1800 AS exp FROM docs_chunks")
+def token_fields(spark, sf):
+    """Claims of tokens made from the stored chunks."""
+    claims = F.to_json(F.struct(F.col("repo_name").alias("iss"), F.col("file_path").alias("sub"), F.col("id").alias("iat"), (F.col("id") + 1800).alias("exp")))
+    token = F.concat(F.lit("e30."), text.base64url(claims.cast("binary")), F.lit(".x"))
+    return table(spark, sf, "docs_chunks").select("id", text.token_claims(token).alias("c")).select("id", "c.*")
+
+
+@query("""SELECT id, coalesce(title, '') AS query, coalesce(CAST(issue_number AS INT), 5) AS top_k, body AS message, coalesce(issue_state, 'none') AS plain, issue_labels AS last_data,
+                 coalesce(nullif(trim(issue_state, ' '), ''), nullif(trim(issue_labels, ' '), ''), nullif(trim(title, ' '), '')) AS setting,
+                 coalesce(nullif(trim(coalesce(body, ''), ' '), ''), trim(array_to_string(list_transform(coalesce(comments, []), lambda c: c.body), ''), ' ')) AS answer FROM issues_data""")
+def request_fields(spark, sf):
+    """What requests and responses say, read from JSON and event texts made from issues."""
+    c = F.col
+    frames = F.concat(F.lit(": ping\ndata: first\n\ndata: "), F.regexp_replace(c("issue_labels"), "\n", " "), F.lit("\n\n"))
+    parts = F.transform(F.coalesce("comments", F.array().cast("array<struct<author:string,created_at:string,body:string>>")), lambda x: x["body"])
+    arguments = text.tool_arguments(F.to_json(F.struct(c("title").alias("query"), c("issue_number").alias("top_k"))))
+    return table(spark, sf, "issues_data").select(
+        "id", arguments["query"].alias("query"), arguments["top_k"].alias("top_k"), F.when(c("body").isNotNull(), text.incoming_message(F.to_json(F.struct(c("body").alias("message"))))).alias("message"),
+        text.incoming_message(F.coalesce("issue_state", F.lit("none"))).alias("plain"), text.last_event_data(frames).alias("last_data"),
+        text.first_token(c("issue_state"), c("issue_labels"), c("title")).alias("setting"), text.chosen_answer(c("body"), parts).alias("answer"),
+    )
+
+
+@query("""SELECT user_id, CAST(day(ts) AS BIGINT) AS day, coalesce(max_by(event_type, event_id) FILTER (value >= 60), string_agg(event_type, '' ORDER BY event_id) FILTER (value < 20), '') AS answer,
+                 max(event_id) FILTER (event_type = 'view') AS last_done FROM events GROUP BY 1, 2""")
+def assembled_answers(spark, sf):
+    """Events as parts of answers: large values are final parts, small ones partial; a view ends a turn."""
+    parts = table(spark, sf, "events").withColumn("day", F.dayofmonth("ts").cast("long")).withColumn("kind", F.when(F.col("event_type") == "view", "done"))
+    answers = chat.assembled(parts, ["user_id", "day"], "event_id", "event_type", F.col("value") < 20, F.col("value") >= 60)
+    return answers.join(chat.turn_ends(parts, ["user_id", "day"], "event_id", "kind"), ["user_id", "day"], "left")
+
+
+# --- golden rows ------------------------------------------------------------
+
+
+@query("SELECT 'q' || id AS id, 'search_issues' AS tool, coalesce(nullif(issue_labels, ''), title) AS query, 10 AS top_k FROM issues_data")
+def golden_requests(spark, sf):
+    """Issues as golden rows: labels, where there are any, are what is asked."""
+    golden = table(spark, sf, "issues_data").select(F.concat(F.lit("q"), "id").alias("id"), F.col("title").alias("query"), F.nullif("issue_labels", F.lit("")).alias("retrieval_query"), F.lit("search_issues").alias("tool"))
+    return evaluation.retrieval_requests(golden, ["search_docs", "search_issues", "search_code"])
+
+
+@query("""WITH hits AS (SELECT repo_name, citation_url, row_number() OVER (PARTITION BY repo_name ORDER BY id) AS rank FROM docs_chunks WHERE repo_name IS NOT NULL),
+          shown AS (SELECT repo_name, coalesce(list_distinct(list(citation_url) FILTER (rank <= 5 AND regexp_matches(citation_url, '^https?://\\S+$'))), []) AS urls FROM hits GROUP BY 1),
+          want AS (SELECT repo_name, list_distinct([min(citation_url), arg_min(citation_url, id)]) AS urls FROM docs_chunks WHERE citation_url LIKE 'http%' AND repo_name IS NOT NULL GROUP BY 1)
+          SELECT repo_name AS id, CAST(len(shown.urls) AS BIGINT) AS n_sources, array_to_string(list_sort(list_filter(want.urls, lambda u: NOT list_contains(shown.urls, u))), ' ') AS missing,
+                 len(list_filter(want.urls, lambda u: NOT list_contains(shown.urls, u))) = 0 AS passed FROM want JOIN shown USING (repo_name)""")
+def gate1_rendered(spark, sf):
+    """The retrieval gate on rendered results: do the first chunks of a repository cite what they should?"""
+    chunks = table(spark, sf, "docs_chunks").where("repo_name is not null")
+    first = capped_per_repo(chunks, "repo_name", [F.col("id")], 5)
+    hits = first.withColumn("rank", F.row_number().over(Window.partitionBy("repo_name").orderBy("id"))).withColumn("score", 1 / F.col("rank"))
+    output = search.rendered(hits, "docs", ["repo_name"])
+    wanted = chunks.where("citation_url like 'http%'").groupBy("repo_name").agg(F.array_distinct(F.array(F.min("citation_url"), F.min_by("citation_url", "id"))).alias("expected_source_urls"))
+    golden = wanted.join(output, "repo_name").withColumn("must_appear_in_answer", F.array().cast("array<string>"))
+    scored = evaluation.retrieval_gate(golden)
+    return scored.select(F.col("repo_name").alias("id"), F.size("source_urls").cast("long").alias("n_sources"), F.array_join("missing_sources", " ").alias("missing"), "passed")
+
+
+@query(r"""WITH a AS (SELECT id, coalesce(body, '') AS answer, url, coalesce(len(comments), 0) > 0 AS fired, coalesce(regexp_matches(url, '^https?://\S+$'), false) AND coalesce(issue_state, '') <> 'closed' AS retrieved FROM issues_data),
+           u AS (SELECT *, list_distinct(list_concat(regexp_extract_all(answer, '\[[^\]]*\]\((https?://[^)\s]+)\)', 1),
+                   list_transform(regexp_extract_all(answer, 'https?://[^\s)\]>"'']+'), lambda x: regexp_replace(x, '[.,;:)]+$', '')))) AS cited FROM a),
+           s AS (SELECT id, retrieved, retrieved AND fired AND len(list_filter(cited, lambda x: url IS NULL OR x <> url)) = 0 AND contains(answer, '.') AND NOT contains(answer, 'password') AS passed FROM u)
+           SELECT *, CASE WHEN NOT retrieved THEN 'blocked' WHEN passed THEN 'passed' ELSE 'failed' END AS status FROM s""")
+def gate_status(spark, sf):
+    """Both gates in order: an answer counts only if retrieval found the issue (closed ones are not shown)."""
+    issues = table(spark, sf, "issues_data")
+    shown = issues.withColumn("rank", F.lit(1)).withColumn("score", F.lit(1.0)).withColumn("content_text", F.lit("")).withColumn("citation_url", F.when(F.coalesce("issue_state", F.lit("")) != "closed", F.col("url")))
+    first = evaluation.retrieval_gate(
+        shown.select("id", search.issue_entry().alias("output"), F.array(F.coalesce("url", F.lit("?"))).alias("expected_source_urls"), F.array().cast("array<string>").alias("must_appear_in_answer"))
+    )
+    return evaluation.gated(first, _answers_scored(spark, sf))
+
+
+# --- streams ----------------------------------------------------------------
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS stream_id, CAST(day(ts) AS INT) AS call_index, coalesce(max_by(event_type, event_id) FILTER (value > 20), '') AS name, string_agg(props, '' ORDER BY event_id) AS arguments FROM events GROUP BY 1, 2""")
+def stream_tool_calls(spark, sf):
+    """Calls folded by a stateful stream: one row when the last fragment of a call has come."""
+    last = F.max("event_id").over(Window.partitionBy("user_id", F.dayofmonth("ts")))
+    fragments = table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("stream_id"), F.dayofmonth("ts").alias("call_index"), F.col("event_id").alias("position"), F.when(F.col("value") > 20, F.col("event_type")).alias("name"),
+        F.col("props").alias("fragment"), (F.col("event_id") == last).alias("finished"),
+    )
+    stored = materialize(fragments, "fragments")
+    source, base, name = stored.inputFiles()[0].rsplit("/", 1)[0], f"{shared_dir(spark)}/docloom/stream-{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return sessions.drained(chat.folded_calls(spark.readStream.schema(stored.schema).parquet(source)), f"{base}/out", f"{base}/state")
+    finally:
+        spark.conf.set(name, before)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -128,28 +129,51 @@ def deltas(framed: DataFrame, stream: str, frame: str, data: str) -> DataFrame:
     )
 
 
-def json_leaves(df: DataFrame, keys: list[str], column: str, depth: int = 8) -> DataFrame:
-    """``keys, path, value``: the leaves of JSON texts, down to ``depth`` levels.
+def json_leaves(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """``keys, path, value``: the leaves of JSON texts, however deep.
 
-    Each level is one pass of a variant table function, so nested events of any
-    shape are walked by Spark; texts that are not JSON have no leaves.
+    Texts are walked where they lie, in Arrow batches; texts that are not JSON have
+    no leaves, and neither have texts nested so deep (thousands of levels) that the
+    parser refuses them.  Of repeated names in one object the last counts; numbers
+    stay as they are written.
     """
-    level = df.select(*keys, F.lit("$").alias("path"), F.try_parse_json(F.col(column)).alias("v")).where("v is not null")
-    out = None
-    for _ in range(depth):
-        kind = F.schema_of_variant("v")
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        leaves = level.where(~nested).select(*keys, "path", F.col("v").cast("string").alias("value"))
-        out = leaves if out is None else out.unionByName(leaves)
-        level.where(nested).createOrReplaceTempView("_json_level")
-        names = ", ".join(f"l.`{k}`" for k in keys)
-        level = df.sparkSession.sql(
-            f"SELECT {names}, concat(l.path, CASE WHEN e.key IS NULL THEN concat('[', e.pos, ']') ELSE concat('.', e.key) END) AS path, e.value AS v FROM _json_level l, LATERAL variant_explode(l.v) e"
-        )
-    return out
+    import json
+
+    taken = df.select(*keys, F.col(column).alias("_json"))
+    schema = T.StructType([*taken.schema.fields[:-1], T.StructField("path", T.StringType()), T.StructField("value", T.StringType())])
+
+    def leaves(text: str | None) -> Iterator[tuple[str, str | None]]:
+        try:
+            todo = [("$", json.loads(text, parse_float=str, parse_int=str, parse_constant=str))] if text else []
+        except (ValueError, RecursionError):
+            return
+        while todo:
+            path, value = todo.pop()
+            if isinstance(value, dict):
+                todo += [(f"{path}.{k}", v) for k, v in reversed(value.items())]
+            elif isinstance(value, list):
+                todo += [(f"{path}[{i}]", v) for i, v in reversed(list(enumerate(value)))]
+            else:
+                yield path, value if isinstance(value, str) else None if value is None else json.dumps(value)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows, paths, values = [], [], []
+            for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                for path, value in leaves(text):
+                    rows.append(i), paths.append(path), values.append(value)
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns[:-1]), pa.array(paths, pa.string()), pa.array(values, pa.string())], names=schema.names)
+
+    return taken.mapInArrow(batches, schema)
+
+
+#: Fields that name a tool.
+TOOL_FIELDS = ("name", "toolName", "tool_name")
 
 
 def tools_called(leaves: DataFrame, keys: list[str], tool: str) -> DataFrame:
-    """Keys of the events in which some ``name`` leaf is the tool (or ends in it)."""
-    named = leaves.where(F.col("path").endswith(".name") & ((F.col("value") == tool) | F.col("value").endswith(f".{tool}") | F.col("value").endswith(f"/{tool}")))
+    """Keys of the events in which some leaf that names a tool is the tool (or ends in it)."""
+    field = F.element_at(F.split("path", r"\."), -1)
+    named = leaves.where(field.isin(*TOOL_FIELDS) & ((F.col("value") == tool) | F.col("value").endswith(f".{tool}") | F.col("value").endswith(f"/{tool}")))
     return named.select(*keys).distinct()

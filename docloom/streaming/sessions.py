@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from docloom.operators.store import latest
 
 #: Session lifetime and refresh margin in seconds, requests a minute.
 SESSION_SECONDS, REFRESH_SECONDS, GLOBAL_LIMIT, CLIENT_LIMIT = 1800, 60, 60, 10
@@ -61,15 +64,22 @@ def deduplicated_stream(events: DataFrame, ts: str, keys: list[str], late: str =
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """Run a stream over all that is there into a Parquet table, and read that.
 
-    With mode ``complete`` each batch replaces the table.
+    With mode ``update`` each batch writes the rows that it changed beside the others,
+    under its number, and the latest row of each of ``keys`` counts; a batch that is
+    repeated after a failure replaces its own rows.
     """
     spark = stream.sparkSession
-    if mode == "complete":
-        query = stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path)).start()
-    else:
-        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "update":
+
+        def write(rows: DataFrame, number: int) -> None:
+            rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+        writer.foreachBatch(write).start().awaitTermination()
+        schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+        return latest(spark.read.schema(schema).parquet(path), keys or [], [F.col("batch")]).drop("batch")
+    writer.format("parquet").option("path", path).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)

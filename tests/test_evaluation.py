@@ -28,3 +28,13 @@ def test_gates(spark, tmp_path):
     assert E.exit_code(first, gate("nothing")) == 2
     with pytest.raises(ValueError, match="unknown"):
         E.selected_rows(golden, ["a", "z"])
+
+
+def test_requests_and_order_of_gates(spark):
+    golden = spark.createDataFrame([("a", "words", None, "t"), ("b", "words", "focus", "t")], "id string, query string, retrieval_query string, tool string")
+    assert sorted(map(tuple, E.retrieval_requests(golden, ["t"]).collect())) == [("a", "t", "words", 10), ("b", "t", "focus", 10)]
+    with pytest.raises(Exception, match="unsupported tool: t"):
+        E.retrieval_requests(golden, ["u"]).collect()
+    first = spark.createDataFrame([("a", True), ("b", False), ("c", True), ("d", True)], "id string, passed boolean")
+    second = spark.createDataFrame([("a", True), ("b", True), ("c", False)], "id string, passed boolean")
+    assert sorted(map(tuple, E.gated(first, second).collect())) == [("a", True, True, "passed"), ("b", False, False, "blocked"), ("c", True, False, "failed"), ("d", True, False, "failed")]

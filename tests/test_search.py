@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +33,45 @@ def test_batch_blocks_do_not_matter(spark):
     assert search.batch_top_k(df, df.limit(0), 4, "id", "vector").count() == 0
 
 
+def test_ties_of_many_equal_vectors(spark):
+    rows = [(f"k{i:03d}", [1.0, 0.0] if i % 3 else [0.0, 1.0]) for i in range(300)] + [(None, None)]
+    df = spark.createDataFrame(rows, "id string, vector array<float>").repartition(4)
+    found = search.batch_top_k(df, df.where("id in ('k000', 'k001')"), 3, "id", "vector").collect()
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in found) == [("k000", 1, "k000"), ("k000", 2, "k003"), ("k000", 3, "k006"), ("k001", 1, "k001"), ("k001", 2, "k002"), ("k001", 3, "k004")]
+
+
+def test_pruned_search_of_clusters(spark):
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(20, 16)) * 4
+    rows = [(i, (middles[i % 20] + rng.normal(size=16)).tolist()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id int, vector array<double>").repartition(3)
+    asked = df.where("id % 100 = 0")
+    centres = search.fit_cells(df, "vector", search.default_cells(2000), sample_rows=1000)
+    pruned, scanned = search.pruned_top_k(df, asked, 10, "id", "vector", centres, 6)
+    exact = {(r["query_id"], r["id"]) for r in search.batch_top_k(df, asked, 10, "id", "vector").collect()}
+    found = {(r["query_id"], r["id"]) for r in pruned.collect()}
+    assert len(found & exact) >= 0.9 * len(exact) and scanned.agg({"scanned": "avg"}).first()[0] <= 0.1 * 2000
+    all_of_it, _ = search.pruned_top_k(df, asked, 10, "id", "vector", centres, len(centres))
+    assert {(r["query_id"], r["id"]) for r in all_of_it.collect()} == exact
+    none, counted = search.pruned_top_k(df, asked.limit(0), 10, "id", "vector", centres, 2)
+    assert none.count() == 0 and counted.count() == 0
+
+
+def test_address_of_the_first_chunk(spark):
+    hits = spark.createDataFrame([(1, "generic", "https://d.example/p#7", "p.md", 7, 0.9, 1)], HITS)
+    chunks = spark.createDataFrame([("p.md", 7, "b", "https://d.example/p#7"), ("p.md", 1, "a", "https://d.example/p"), ("p.md", 0, " ", "https://d.example/none")], "file_path string, chunk_index int, content_text string, citation_url string")
+    assert search.expand_top_document(hits, chunks, "page").first()["citation_url"] == "https://d.example/p"
+    assert search.expand_top_document(hits, chunks.limit(0), "page").first()["citation_url"] == "https://d.example/p#7"
+
+
+def test_text_and_citations_of_the_older_tool(spark):
+    hits = spark.createDataFrame([(2, 0.25, "b.md", "u", "two"), (1, 0.5, "a.md", "u", "one"), (3, 0.1, "c.md", "", "")], "rank int, similarity double, file_path string, citation_url string, content_text string")
+    found = search.tool_result(hits).first()
+    assert found["citations"] == ["u"] and found["output"].startswith("File: a.md\nContent: one\nURL: u\nSimilarity: 0.500\n\nFile: b.md")
+    assert search.tool_result(hits.limit(0)).first()["output"] == search.NO_RESULTS
+    assert tuple(search.tool_result(hits, "other").first()) == ("Unknown tool: other", [])
+
+
 def test_unsafe_filter_values():
     assert search.safe_filter_value("repo", "o/r-1.x_y") == "o/r-1.x_y"
     for value in ("a b", "x'", 'a" or 1==1', "", None):

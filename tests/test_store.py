@@ -80,3 +80,95 @@ def test_null_keys_match_nothing(spark):
     a = spark.createDataFrame([(None, 1), ("k", 2)], "k string, v int")
     b = spark.createDataFrame([(None, 3), ("k", 4)], "k string, v int")
     assert sorted(r["v"] for r in store.replaced(a, b, ["k"]).collect()) == [1, 3, 4]
+
+
+def test_totals_and_untouched_repositories(spark, tmp_path):
+    collection = store.Collection(spark, str(tmp_path / "c"), SPEC)
+    make = embedding.hashing_provider(8)
+    rows = lambda repo, paths: S.fit_to(embedding.embedded(chunks(spark, paths).withColumn("repo_name", F.lit(repo)), "content_text", make), SPEC, 1)
+    keys = ["repo_name", "file_path"]
+    assert collection.upsert(rows("o/r", ["a", "b"]), keys) == {"before": 0, "deleted": 0, "inserted": 6, "after": 6}
+    assert collection.upsert(rows("p/ü #1=%", ["a", "c"]), keys) == {"before": 6, "deleted": 0, "inserted": 6, "after": 12}
+    before = dict(collection._latest()["live"])
+    assert collection.upsert(rows("o/r", ["b", "d"]), keys) == {"before": 12, "deleted": 3, "inserted": 6, "after": 15}
+    after = dict(collection._latest()["live"])
+    assert before["p/ü #1=%"] == after["p/ü #1=%"] and before["o/r"] != after["o/r"]
+    assert collection.append(rows("o/r", ["e"])) == {"before": 15, "deleted": 0, "inserted": 3, "after": 18}
+    gone = spark.createDataFrame([("o/r:a",), ("none",)], "file_unique_id string")
+    assert collection.delete(gone, ["file_unique_id"]) == {"before": 18, "deleted": 6, "inserted": 0, "after": 12}
+    assert collection.count() == collection.read().count() == 12
+    assert collection.read(["file_path"], F.col("repo_name") == "p/ü #1=%", 2).count() == 2
+    assert {r["repo_name"] for r in collection.read().select("repo_name").distinct().collect()} == {"o/r", "p/ü #1=%"}
+    assert collection.overwrite(rows("o/r", ["z"])) == {"before": 12, "deleted": 12, "inserted": 3, "after": 3}
+
+
+def test_commits_are_atomic(spark, tmp_path):
+    a, b = (store.Collection(spark, str(tmp_path / "c"), SPEC) for _ in range(2))
+    a.create()
+    a.create()
+    make = embedding.hashing_provider(8)
+    ingest.store_pages(a, chunks(spark, ["a.md"]), make, 1)
+    seen = contents(b)
+    # A reader between the steps of a commit sees the table before it.
+    (tmp_path / "c" / "_commit-0000000003.json").write_text('{"number": 3, "li')
+    assert contents(b) == seen and b.count() == 3
+    with pytest.raises(store.CommitConflict):
+        ingest.store_pages(a, chunks(spark, ["b.md"]), make, 1)
+    assert contents(b) == seen
+
+
+def test_rows_that_do_not_fit_are_told(spark, tmp_path):
+    collection = store.Collection(spark, str(tmp_path / "c"), SPEC)
+    rows = S.fit_to(embedding.embedded(chunks(spark, ["a", "b"]), "content_text", embedding.hashing_provider(8)), SPEC, 1)
+    long = rows.withColumn("file_name", F.repeat("file_name", 300)).where("file_path = 'b'")
+    with pytest.raises(RuntimeError, match=r"3 rows: file_name exceeds 256 characters \(first: o/r:b\)"):
+        collection.append(rows.where("file_path = 'a'").unionByName(long))
+    with pytest.raises(RuntimeError, match="vector has not 8 numbers"):
+        collection.append(rows.withColumn("vector", F.slice("vector", 1, 7)))
+    assert not collection.exists()
+
+
+def test_lines_of_a_stage(spark, tmp_path):
+    from docloom.sources import files
+
+    rows = spark.createDataFrame([("p", "zwölf 界\n\"q\"", "f"), ("q", None, "g")], "path string, content string, file_name string")
+    store.written_lines(rows, str(tmp_path / "s"))
+    text = "".join(p.read_text() for p in (tmp_path / "s").glob("*.json"))
+    assert "zwölf 界" in text and '"content":null' in text
+    assert sorted(map(tuple, files.stage(spark, str(tmp_path / "s"), "docs").collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_http_provider(spark):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_POST(self):
+            texts = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["inputs"]
+            body = json.dumps([[float(len(t)), 1.0] for t in texts]).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        rows = embedding.embedded(chunks(spark, ["a.md"] * 5), "content_text", embedding.http_provider(f"http://127.0.0.1:{server.server_port}"), dim=2).collect()
+        assert all(r["embedding"] == [float(len(r["content_text"])), 1.0] for r in rows) and len(rows) == 15
+    finally:
+        server.shutdown()
+
+
+def test_broadcasts_are_sized(spark):
+    from docloom.operators import physical
+
+    small = spark.createDataFrame([(1, "a" * 50, ["x" * 20], [1, 2])], "i int, t string, a array<string>, n array<int>")
+    plan = lambda d: d._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(physical.sized_broadcast(small, 1)) and "broadcast" not in plan(physical.sized_broadcast(small, 0))
+    assert "broadcast" not in plan(physical.sized_broadcast(small, 10, max_bytes=100))
+    kept = physical.materialize(small, "t")
+    assert kept.count() == 1 and physical.release(spark) >= 1 and physical.release(spark) == 0

@@ -27,7 +27,7 @@ def test_tool_calls_batch_and_stream(spark, tmp_path):
 def test_stream_equals_batch(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parquet*")
-    done = sessions.drained(sessions.windowed_stream(stream, "ts", ["event_type"]), str(tmp_path / "o"), str(tmp_path / "s"), "complete")
+    done = sessions.drained(sessions.windowed_stream(stream, "ts", ["event_type"]), str(tmp_path / "o"), str(tmp_path / "s"), "update", ["start", "event_type"])
     batch = sessions.windowed_stream(events, "ts", ["event_type"])
     pick = lambda d: sorted((r["start"], r["event_type"], r["n"], round(r["total"], 4)) for r in d.collect())
     assert pick(done) == pick(batch)
@@ -86,3 +86,7 @@ def test_json_leaves(spark):
     found = sorted((r["id"], r["path"], r["value"]) for r in leaves.where("value is not null").collect())
     assert found == [(1, "$.a.args[0]", "1"), (1, "$.a.args[1]", "x"), (1, "$.a.name", "kb.search_docs"), (4, "$", "top")]
     assert [r["id"] for r in chat.tools_called(leaves, ["id"], "search_docs").collect()] == [1]
+    deep = spark.createDataFrame([(1, '{"a":' * 60 + '[1.50, true, {"toolName": "t"}]' + "}" * 60)], "id int, j string")
+    found = sorted((r["path"].count(".a"), r["path"][-9:], r["value"]) for r in chat.json_leaves(deep, ["id"], "j").collect())
+    assert found == [(60, ".a.a.a[0]", "1.50"), (60, ".a.a.a[1]", "true"), (60, ".toolName", "t")]
+    assert chat.tools_called(chat.json_leaves(deep, ["id"], "j"), ["id"], "t").count() == 1
