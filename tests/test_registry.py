@@ -17,8 +17,9 @@ def test_runs(name, spark, sf):
     df.count()
 
 
-def test_pruned_search_recall(spark, sf):
-    assert QUERIES["knn_pruned_recall"](spark, sf).first()["recall"] >= 0.9
+@pytest.mark.parametrize("name", ["knn_pruned_recall", "knn_pruned_chunks"])
+def test_pruned_search_recall(name, spark, sf):
+    assert QUERIES[name](spark, sf).first()["recall"] >= 0.9
 
 
 def test_driver_contract(spark, sf):
