@@ -74,6 +74,7 @@ def _chunk(content: str, kind: str = "", name: str = "", space: str = "", file_t
     return {"content": content, "resource_kind": kind, "resource_name": name, "resource_namespace": space, "file_type": file_type}
 
 
+#: Fixed values, in the functions below: names of kinds, and the shortest lengths kept.
 def yaml_documents(content: str, path: str = "") -> list[dict]:
     """One chunk for each YAML document of ten or more characters, with its resource.
 

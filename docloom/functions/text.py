@@ -51,6 +51,7 @@ def day(timestamp: Column) -> Column:
     return F.substring(timestamp, 1, 10)
 
 
+#: Fixed values, from here to ``issue_segments``: how issues are worded, and the patterns that read it.
 def comment_block(comment: Column) -> Column:
     return F.concat(
         F.lit("**Comment by @"), F.coalesce(comment["author"], F.lit("unknown")), F.lit("** ("), filled(comment["created_at"]), F.lit("):\n"), filled(comment["body"])

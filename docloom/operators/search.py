@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,7 @@ QUERY_BYTES, QUERY_BLOCK = 64 << 20, 512
 #: Scores are rounded to so many places, so that equal vectors have equal scores.
 SCORE_PLACES = 12
 
+#: Fixed value: what a filter value may be made of.
 _SAFE = re.compile(r"[A-Za-z0-9_/.-]+")
 
 
@@ -212,6 +213,7 @@ def expand_top_document(hits: DataFrame, chunks: DataFrame, query: str) -> DataF
     return joined.drop("context", "first_url").withColumn("rank", F.lit(1))
 
 
+#: Fixed values, in the three entries below: how results are worded.
 def _score(score: Column) -> Column:
     return F.format_string("%.4f", score)
 
@@ -247,7 +249,8 @@ def code_entry() -> Column:
     )
 
 
-#: What a search without hits says.
+#: What a search that fails, or has no hits, says.
+FAILED = "Search failed"
 EMPTY = {"docs": "No results found for your query.", "issues": "No issues found for your query.", "code": "No code results found for your query."}
 
 
@@ -259,6 +262,18 @@ def rendered(hits: DataFrame, kind: str, by: list[str] | None = None) -> DataFra
     return hits.groupBy(*by).agg(output) if by else hits.agg(output)
 
 
+def answered(spark: SparkSession, find: Callable[[], DataFrame], kind: str) -> DataFrame:
+    """One row ``output``: the rendered result of a search, or the text that tells why it failed.
+
+    The search is run, as a failure shows only then; its result is one text.
+    """
+    try:
+        output = rendered(find(), kind).first()["output"]
+    except Exception as error:
+        output = f"{FAILED}: {str(error).splitlines()[0] if str(error) else type(error).__name__}"
+    return spark.createDataFrame([(output,)], "output string")
+
+
 def search_docs(corpus: DataFrame, query: str, vector: list[float], k: int = 5) -> DataFrame:
     """The best document for a question, with its context from all chunks of ``corpus``."""
     hits = top_k(corpus, vector, k, "id", "vector", ["content_text", "citation_url", "file_path", "chunk_index"])

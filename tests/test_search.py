@@ -119,3 +119,10 @@ def test_code_entry(spark):
     rows = [(1, 0.5, "u", "p", "Notebook", "n", "s", "yaml", "text"), (2, 0.25, None, "q", "", "", "", "", "more")]
     output = search.rendered(spark.createDataFrame(rows, schema), "code").first()["output"]
     assert "**Resource:** Notebook `n` (namespace: s)\n**Type:** yaml\n\n```\ntext\n```\n\n---\n### Result 2 (score: 0.2500)\n**Source:** \n**File:** q\n\n```\nmore" in output
+
+
+def test_a_failed_search_says_why(spark):
+    corpus = spark.createDataFrame([(1, "text", "u", "r", 7, "open", "", [1.0])], "id int, content_text string, citation_url string, repo_name string, issue_number int, issue_state string, issue_labels string, vector array<double>")
+    ask = lambda **where: search.answered(spark, lambda: search.search_issues(corpus, [1.0], 5, **where), "issues").first()["output"]
+    assert ask(repo="r").startswith("### Result 1 (score: 1.0000)") and ask(state="closed") == search.EMPTY["issues"]
+    assert ask(repo="a b").startswith("Search failed: repo may hold")
