@@ -114,6 +114,19 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p7_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the containers: nothing overfull, no gaps in their numbers, no item split that fits."""
+    rows = materialize(p7_containers(spark, sf), "containers")
+    specs = F.broadcast(table(spark, sf, "pack_specs").select("spec_id", "capacity_tokens"))
+    full = rows.groupBy("spec_id", "container_id").agg(F.sum("length").alias("used")).join(specs, "spec_id")
+    by_spec = full.groupBy("spec_id").agg(F.count(F.when(F.col("used") > F.col("capacity_tokens"), 1)).alias("overfull"), (F.max("container_id") + 1 - F.count("*")).alias("gaps"))
+    items = rows.groupBy("spec_id", "doc_id").agg(F.count("*").alias("parts"), F.sum("length").alias("size"), F.max(F.col("start") + F.col("length")).alias("end")).join(specs, "spec_id")
+    by_item = items.groupBy("spec_id").agg(
+        F.count("*").alias("documents"), F.count(F.when((F.col("parts") > 1) & (F.col("size") <= F.col("capacity_tokens")), 1)).alias("split"), F.count(F.when(F.col("size") != F.col("end"), 1)).alias("incomplete")
+    )
+    return by_spec.join(by_item, "spec_id")
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.same_look_pairs(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -122,7 +135,13 @@ def p8_normalized(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.normalize_texts(table(spark, sf, "documents"), "doc_id", "text")
 
 
-_ALL = (p1_found, p1_redacted, p2_found, p2_handwritten, p3_found, p3_redacted, p3_index, p4_found, p4_pieces, p4_rejoined, p5_found, p5_cleaned, p5_lines, p6_ids, p6_decoded, p7_containers, p7_fill, p8_found, p8_normalized)
+def p8_plain(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of plain characters only, which stay as they are."""
+    plain = table(spark, sf, "documents").select("doc_id", F.col("text").rlike(r"\A[\x20-\x7e\n]*\z").alias("plain")).where("plain")
+    return p8_normalized(spark, sf).join(plain.select("doc_id"), "doc_id", "left_semi")
+
+
+_ALL = (p1_found, p1_redacted, p2_found, p2_handwritten, p3_found, p3_redacted, p3_index, p4_found, p4_pieces, p4_rejoined, p5_found, p5_cleaned, p5_lines, p6_ids, p6_decoded, p7_containers, p7_fill, p7_facts, p8_found, p8_normalized, p8_plain)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -166,5 +185,7 @@ def oracle_sql() -> dict[str, str]:
             kept AS (SELECT id, line, line_no, NOT (length(k) >= 20 AND EXISTS (SELECT 1 FROM often o WHERE o.repo_name = keyed.repo_name AND o.k = keyed.k)) AS stays FROM keyed)
             SELECT id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (stays), '') AS body FROM kept GROUP BY id
             UNION ALL SELECT id, body FROM issues_data WHERE body IS NULL""",
+        "p7_facts": "SELECT spec_id, 0 AS overfull, 0 AS gaps, (SELECT count(*) FROM documents) AS documents, 0 AS split, 0 AS incomplete FROM pack_specs",
+        "p8_plain": r"SELECT doc_id, text AS form FROM documents WHERE regexp_full_match(text, '[\x20-\x7e\n]*')",
         "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }
