@@ -80,6 +80,13 @@ _OPTION = re.compile(rf"""(?:^|\s)--?(?P<k>[\w-]*(?:{SECRET_WORD})[\w-]*)(?:\s+|
 _SSHPASS = re.compile(r"""\bsshpass\s+-p\s*["']?(?P<v>[^\s"']+)""")
 #: A mark, then the first thing after it in the line; in two steps, since ``mark.*?thing`` takes quadratic time on long lines.
 _COMMAND, _USER = re.compile(r"\b(?:curl|wget|http)\b"), re.compile(r"""\s(?:-u|--user)[\s=]*["']?[^\s:"']+:(?P<v>[^\s"']+)""")
+#: Clients that take a password as an option of one letter.
+_CLIENTS = {
+    re.compile(r"""\s-p(?P<q>["']?)(?P<v>[^\s"']+)(?P=q)"""): re.compile(r"\b(?:mysql|mariadb)\w*\b"),
+    re.compile(r"""\s-a\s+(?P<q>["']?)(?P<v>[^\s"']+)(?P=q)"""): re.compile(r"\bredis-cli\b"),
+    re.compile(r"""\s-[pP]\s+(?P<q>["']?)(?P<v>[^\s"']+)(?P=q)"""): re.compile(r"\b(?:docker login|podman login|registry login|sqlcmd|mongo(?:sh|dump|restore)?)\b"),
+    re.compile(r"""\s-w\s+(?P<q>["']?)(?P<v>[^\s"']+)(?P=q)"""): re.compile(r"\bldap(?:search|modify|add|delete|whoami)\b"),
+}
 _BEARER = re.compile(r"""\b(?:bearer|basic|authorization["']?\s*[:,]\s*["']?token)\s+(?P<v>[A-Za-z0-9+/=_.~-]{8,})(?=["'`\s]|$)""", re.I)
 _REMARK = re.compile(r"(?:^|\s)(?:[#;*]|//|--|<!--|/\*)")
 _SPOKEN = re.compile(r"""\b(?P<k>login|pass\w*|pwd|pw(?=[\s:=])|token|secret|credentials?|(?:api )?key)\b(?: (?:for|of|on|to|in|at|from) [\w.-]+)*\s*(?:is\s*:?|:|=)\s*["'`]?(?P<v>[^\s"'`]+)""", re.I)
@@ -93,10 +100,10 @@ _FIRST_PART = re.compile(r"""(?P<k>[\w.-]+)["']?\s*(?::=|=|:)\s*\(?\s*(?P<q>["'`
 
 #: What the verifying expressions require of a text, derived from them; for an
 #: expression that follows a mark or holds a word of the list, what these require.
-PATTERNS = [TOKEN, BASE64_TOKEN, PRIVATE_KEY, URL_PASSWORD, DSN_PASSWORD, SECRET_WORD, _SPOKEN.pattern, _PAIR.pattern, _SSHPASS.pattern, _COMMAND.pattern, _BEARER.pattern]
+PATTERNS = [TOKEN, BASE64_TOKEN, PRIVATE_KEY, URL_PASSWORD, DSN_PASSWORD, SECRET_WORD, _SPOKEN.pattern, _PAIR.pattern, _SSHPASS.pattern, _COMMAND.pattern, _BEARER.pattern, *(m.pattern for m in _CLIENTS.values())]
 _REQUIRED = trigrams.required_bytes(PATTERNS)
 _KEYED = trigrams.required_bytes([SECRET_WORD])
-_GATES = {p: _KEYED for p in (_QUOTED, _OPTION, _BARE, _ENV_SPACE)} | {p: trigrams.required_bytes([p.pattern]) for p in (_SPOKEN, _PAIR, _SSHPASS, _BEARER)} | {_USER: trigrams.required_bytes([_COMMAND.pattern])}
+_GATES = {p: _KEYED for p in (_QUOTED, _OPTION, _BARE, _ENV_SPACE)} | {p: trigrams.required_bytes([p.pattern]) for p in (_SPOKEN, _PAIR, _SSHPASS, _BEARER)} | {_USER: trigrams.required_bytes([_COMMAND.pattern])} | {p: trigrams.required_bytes([m.pattern]) for p, m in _CLIENTS.items()}
 
 _BARE_FILES = re.compile(r"(?:\.(?:ya?ml|env|ini|cfg|conf|properties|toml|sh|bash|zsh|mk|tf|tfvars|txt|npmrc|pypirc|netrc)|(?:^|/)(?:Dockerfile|Makefile|Containerfile|\.env|\.npmrc|\.pypirc)[\w.-]*)$", re.I)
 _OTHER_KEY = re.compile(
@@ -202,8 +209,11 @@ def _after(mark: re.Pattern, thing: re.Pattern, line: str) -> Iterator[re.Match]
         at = m.end()
 
 
+_MARKS = {_USER: _COMMAND, _SPOKEN: _REMARK, **_CLIENTS}
+
+
 def _matches(pattern: re.Pattern, line: str) -> Iterator[re.Match]:
-    mark = {_USER: _COMMAND, _SPOKEN: _REMARK}.get(pattern)
+    mark = _MARKS.get(pattern)
     return _after(mark, pattern, line) if mark else pattern.finditer(line)
 
 
@@ -228,7 +238,7 @@ def in_line(line: str, bare: bool) -> list[tuple[int, int]]:
         if inner and (_token.search(inner) or _private_key.search(inner)):
             out.append(m.span())
     out += [m.span(1) for m in (*_urls(line), *_dsns(line)) if literal(m[1])]
-    found = [_QUOTED, _OPTION, _SPOKEN, _PAIR, _SSHPASS, _USER, _BEARER] + ([_BARE, _ENV_SPACE] if bare else [])
+    found = [_QUOTED, _OPTION, _SPOKEN, _PAIR, _SSHPASS, _USER, _BEARER, *_CLIENTS] + ([_BARE, _ENV_SPACE] if bare else [])
     for pattern in found:
         if not (keyed if _GATES[pattern] is _KEYED else _may(_GATES[pattern], low)):
             continue
@@ -241,7 +251,9 @@ def in_line(line: str, bare: bool) -> list[tuple[int, int]]:
                 cut = value.rstrip(",;)]}" if pattern is not _BARE or "(" not in value else ",;")
                 end -= len(value) - len(cut)
                 value = cut
-            if pattern is _BEARER or pattern is _SSHPASS or pattern is _USER or pattern is _PAIR:
+            if pattern in _CLIENTS:
+                good = literal(value) and not value.isalpha() and not _RESOURCE.match(value)
+            elif pattern is _BEARER or pattern is _SSHPASS or pattern is _USER or pattern is _PAIR:
                 good = literal(value) and not (pattern is _BEARER and not any(c.isdigit() for c in value))
             elif pattern is _SPOKEN:
                 good = literal(value) and not _RESOURCE.match(value) and any(c.isdigit() for c in value) and _holds("password", value)
