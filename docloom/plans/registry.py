@@ -861,6 +861,15 @@ def assembled_answers(spark, sf):
     return answers.join(chat.turn_ends(parts, ["user_id", "day"], "event_id", "kind"), ["user_id", "day"], "left")
 
 
+@query("SELECT id, 1 AS position, title AS content, issue_state = 'closed' AS finished FROM issues_data WHERE title IS NOT NULL AND issue_state IS NOT NULL")
+def completion_deltas(spark, sf):
+    """Titles as pieces of streamed completions; closed issues end theirs."""
+    reason = F.when(F.col("issue_state") == "closed", "stop")
+    choice = F.struct(F.lit(0).alias("index"), reason.alias("finish_reason"), F.struct(F.col("title").alias("content")).alias("delta"))
+    frames = table(spark, sf, "issues_data").where("title is not null and issue_state is not null").select("id", F.lit(1).cast("long").alias("frame"), F.to_json(F.struct(F.array(choice).alias("choices"))).alias("data"))
+    return chat.deltas(frames, "id", "frame", "data").select("id", "position", "content", "finished")
+
+
 # --- golden rows ------------------------------------------------------------
 
 
