@@ -185,7 +185,7 @@ def oracle_sql() -> dict[str, str]:
             kept AS (SELECT id, line, line_no, NOT (length(k) >= 20 AND EXISTS (SELECT 1 FROM often o WHERE o.repo_name = keyed.repo_name AND o.k = keyed.k)) AS stays FROM keyed)
             SELECT id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (stays), '') AS body FROM kept GROUP BY id
             UNION ALL SELECT id, body FROM issues_data WHERE body IS NULL""",
-        "p7_facts": "SELECT spec_id, 0 AS overfull, 0 AS gaps, (SELECT count(*) FROM documents) AS documents, 0 AS split, 0 AS incomplete FROM pack_specs",
+        "p7_facts": "SELECT spec_id, 0::BIGINT AS overfull, 0::BIGINT AS gaps, (SELECT count(*) FROM documents) AS documents, 0::BIGINT AS split, 0::BIGINT AS incomplete FROM pack_specs",
         "p8_plain": r"SELECT doc_id, text AS form FROM documents WHERE regexp_full_match(text, '[\x20-\x7e\n]*')",
         "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }
