@@ -745,7 +745,7 @@ def nation_revenue(spark, sf):
     return joined.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count_distinct("o_orderkey").alias("orders"))
 
 
-@query(f"SELECT 'tidegrid/website' AS repo_name, count(DISTINCT path) AS n_files, 2 AS oldest, true AS replaced FROM github_data WHERE length({_PAGE_SQL}) >= 50")
+@query(f"SELECT 'tidegrid/website' AS repo_name, count(DISTINCT path) AS n_files, 2::BIGINT AS oldest, true AS replaced FROM github_data WHERE length({_PAGE_SQL}) >= 50")
 def store_round_trip(spark, sf):
     """Chunks through a stored collection, written twice; the second write replaces all of them."""
     chunks = ingest.page_chunks(table(spark, sf, "github_data"), F.lit("tidegrid/website"), BASE_URL).drop("id")
@@ -861,7 +861,7 @@ def assembled_answers(spark, sf):
     return answers.join(chat.turn_ends(parts, ["user_id", "day"], "event_id", "kind"), ["user_id", "day"], "left")
 
 
-@query("SELECT id, 1 AS position, title AS content, issue_state = 'closed' AS finished FROM issues_data WHERE title IS NOT NULL AND issue_state IS NOT NULL")
+@query("SELECT id, 1::BIGINT AS position, title AS content, issue_state = 'closed' AS finished FROM issues_data WHERE title IS NOT NULL AND issue_state IS NOT NULL")
 def completion_deltas(spark, sf):
     """Titles as pieces of streamed completions; closed issues end theirs."""
     reason = F.when(F.col("issue_state") == "closed", "stop")
