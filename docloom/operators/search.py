@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from docloom.functions.text import filled, snippet, stems
 from docloom.functions.cleaning import strip
+from docloom.operators.physical import materialize
 
 CONTEXT_CHUNKS, CONTEXT_CHARS = 20, 24_000
 #: Queries of a batch search are broadcast in groups of about so many bytes, each group
@@ -201,9 +202,10 @@ def expand_top_document(hits: DataFrame, chunks: DataFrame, query: str) -> DataF
     """The best document of ``hits`` with bounded, ordered context from ``chunks``.
 
     The join is on the path only; the address is that of the first chunk.  A
-    document without stored chunks keeps the text and address of its hit.
+    document without stored chunks keeps the text and address of its hit.  The best
+    hit, one row, is written first, so that the search runs once.
     """
-    best = top_document(hits, query)
+    best = materialize(top_document(hits, query), "best")
     stored = chunks.join(F.broadcast(best.select("file_path")), "file_path", "left_semi")  # one row
     context = budgeted_context(stored, ["file_path"])
     content = strip(filled(F.col("content_text")))

@@ -12,7 +12,7 @@ from docloom import schema as S
 from docloom.functions import cleaning, splitting, text
 from docloom.functions.html import html_to_text, markdown_to_html
 from docloom.operators import embedding, evaluation, search, store
-from docloom.operators.physical import materialize, shared_dir
+from docloom.operators.physical import materialize, shared_dir, spread
 from docloom.plans import ingest
 from docloom.sources import files
 from docloom.sources.files import capped_per_repo, is_code, is_doc, nested_comments
@@ -76,7 +76,7 @@ def _question_vector(spark: SparkSession, sf: str) -> list[float]:
 
 def _profiled(rows: DataFrame, column: str) -> DataFrame:
     """Every row with the letter profile of its text as vector."""
-    return rows.withColumn("vector", embedding.letter_profile(F.col(column)))
+    return spread(rows).withColumn("vector", embedding.letter_profile(F.col(column)))
 
 
 def _question_profile(spark: SparkSession) -> list[float]:
@@ -137,7 +137,8 @@ def knn_pruned_recall(spark, sf):
 @query()
 def knn_pruned_chunks(spark, sf):
     """Letter profiles of chunks lie in groups: few of the cells are enough."""
-    return _recall(_profiled(table(spark, sf, "docs_chunks").where("content_text rlike '[A-Za-z]'"), "content_text"), "id", "vector", 0.06)
+    chunks = _profiled(table(spark, sf, "docs_chunks").where("content_text rlike '[A-Za-z]'"), "content_text")
+    return _recall(materialize(chunks.select("id", "vector"), "profiles"), "id", "vector", 0.06)
 
 
 @query(f"""WITH {_HITS} SELECT CAST(rank AS BIGINT) AS rank, round(1 - score, 6) AS similarity, coalesce(file_path, '') AS file_path, coalesce(citation_url, '') AS citation_url,
