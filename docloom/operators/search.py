@@ -324,15 +324,18 @@ def legacy_results(hits: DataFrame) -> DataFrame:
 
 
 def fit_cells(corpus: DataFrame, vector: str, cells: int, sample_rows: int = 10_000, rounds: int = 12, seed: int = 7) -> np.ndarray:
-    """Centres of ``cells`` cells, fitted on at most ``sample_rows`` rows.
+    """Centres of ``cells`` cells, fitted on about ``sample_rows`` rows, twice as many at most.
 
-    The sample is bounded by the parameter; every row is indexed afterwards.
+    The sample is bounded by the parameter and picked by a hash of the vectors, so it
+    does not depend on the order of the rows; every row is indexed afterwards.
     """
     rows = corpus.where(F.col(vector).isNotNull())
     total = rows.count()
     if total == 0:
         return np.zeros((1, 1))
-    taken = rows.sample(False, min(1.0, 1.2 * sample_rows / total), seed).limit(sample_rows).select(vector).collect() or rows.limit(sample_rows).select(vector).collect()
+    share = min(1_000_000, max(1, 1_000_000 * sample_rows // total))
+    picked = rows.select(vector).where(F.pmod(F.xxhash64(vector, F.lit(seed)), F.lit(1_000_000)) < share)
+    taken = sorted(picked.limit(2 * sample_rows).collect()) or rows.select(vector).limit(1).collect()
     x = np.array([r[0] for r in taken], np.float64)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
     centres = x[np.random.default_rng(seed).choice(len(x), min(cells, len(x)), replace=False)]
