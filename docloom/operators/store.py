@@ -82,17 +82,20 @@ class Collection:
         names = [s.getPath().getName() for s in files.listStatus(path)]
         return sorted((n for n in names if n.startswith("_commit-")), reverse=True)
 
+    def _commit_named(self, name: str) -> dict:
+        """A commit; empty while it is still being written."""
+        path, files = self._path(name)
+        stream = files.open(path)
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        try:
+            return json.loads(text)
+        except ValueError:
+            return {}
+
     def _latest(self) -> dict | None:
-        for name in self._commits():
-            path, files = self._path(name)
-            stream = files.open(path)
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-            stream.close()
-            try:
-                return json.loads(text)
-            except ValueError:
-                continue  # still being written: the commit before it counts
-        return None
+        """The latest whole commit: before one that is still being written the one before counts."""
+        return next((commit for commit in map(self._commit_named, self._commits()) if commit), None)
 
     def _publish(self, commit: dict) -> None:
         path, files = self._path(f"_commit-{commit['number']:010d}.json")
@@ -217,3 +220,26 @@ class Collection:
         """Upsert that also removes stored keys which the scanned scopes no longer have."""
         rows = materialize(rows, "incoming")
         return self.change(rows, keys, rows, scope)
+
+    def compact(self, most: int = 8) -> int:
+        """Write repositories of more than ``most`` folders anew, into one each; returns how many there were."""
+        now = self._latest()
+        live = dict(now["live"]) if now else {}
+        many = [repo for repo, folders in live.items() if len(folders) > most]
+        if many:
+            written = self._written(self._read([f for repo in many for f in live[repo]]), new=False)
+            self._commit(now, list((live | {repo: written.get(repo, []) for repo in many}).items()), 0, 0)
+        return len(many)
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete the commits before the last ``keep`` and the folders that only they name; returns how many folders.
+
+        Readers of those commits fail, so none may be running.
+        """
+        names = self._commits()
+        kept = {f for name in names[:keep] for _, folders in self._commit_named(name).get("live", []) for f in folders}
+        old = {f for name in names[keep:] for _, folders in self._commit_named(name).get("live", []) for f in folders} - kept
+        for name in [f"data/{f}" for f in sorted(old)] + names[keep:]:
+            path, files = self._path(name)
+            files.delete(path, True)
+        return len(old)

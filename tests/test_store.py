@@ -172,3 +172,16 @@ def test_broadcasts_are_sized(spark):
     assert "broadcast" not in plan(physical.sized_broadcast(small, 10, max_bytes=100))
     kept = physical.materialize(small, "t")
     assert kept.count() == 1 and physical.release(spark) >= 1 and physical.release(spark) == 0
+
+
+def test_compaction_and_old_files(spark, tmp_path):
+    collection = store.Collection(spark, str(tmp_path / "c"), SPEC)
+    make = embedding.hashing_provider(8)
+    for n in range(4):
+        rows = S.fit_to(embedding.embedded(chunks(spark, [f"f{n}"]), "content_text", make), SPEC, n)
+        collection.append(rows)
+    seen = contents(collection)
+    assert collection.compact(most=4) == 0 and collection.compact(most=3) == 1
+    assert contents(collection) == seen and [len(f) for _, f in collection._latest()["live"]] == [1]
+    assert collection.vacuum(keep=1) == 4 and contents(collection) == seen and collection.count() == 12
+    assert collection.vacuum(keep=1) == 0 and len(collection._commits()) == 1
