@@ -228,11 +228,12 @@ _WORDS_BEFORE = re.compile(r"[^\W\d_]+")
 def terms_of(text: str, begin: int, end: int, kind: str) -> list[str]:
     """The terms of a number or address: its shape, then the words before it in its line.
 
-    A shape begins with the kind and a sharp, and so is no word.
+    A shape begins with the kind and a sharp, and so is no word.  Single plain letters
+    are parts of other things and no terms.
     """
     shape = kind if kind in ("email", "address") else re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "9", text[begin:end]))
     words = _WORDS_BEFORE.findall(text, text.rfind("\n", 0, begin) + 1, begin)[-CONTEXT_WORDS:]
-    return [f"{kind}#{shape}", *dict.fromkeys(w.casefold() for w in words)]
+    return [f"{kind}#{shape}", *dict.fromkeys(w.casefold() for w in words if len(w) > 1 or not w.isascii())]
 
 
 def _placed(text: str, begin: int, end: int) -> bool:
@@ -359,15 +360,19 @@ def disclosing_terms(
     return strong.unionByName(beside)
 
 
-def disclosing_contexts(found: DataFrame, min_bits: float = 1.0, min_share: float = 0.5, strong_bits: float = 2.0, strong_share: float = 0.9, min_places: int = 3) -> DataFrame:
-    """``kind, term, bits, strong``: shapes and words that reveal a kind of number or address.
+def disclosing_contexts(
+    found: DataFrame, min_bits: float = 1.0, min_share: float = 0.5, strong_bits: float = 2.0, strong_share: float = 0.9, min_places: int = 3,
+    innocent_share: float = 0.1, innocent_uses: int = 10,
+) -> DataFrame:
+    """``kind, term, bits, discloses, strong, innocent``: shapes and words that reveal a kind of number or address, or tell against it.
 
     ``bits`` is log2(P(protected place of the kind | term) / P(such a place)) over all
     candidates that are no names.  A shape is taken to have been seen in
     ``min_places`` protected places before, if in any, so that a small corpus
     discloses too.  ``strong`` terms, always words, disclose in look-alikes.  Where
     so many candidates are protected that no term can have the bits asked for, half
-    of what it can have is enough.
+    of what it can have is enough.  ``innocent`` are words of ``innocent_uses`` or
+    more uses of which hardly any are protected places.
     """
     counted = found.where("kind not in ('name', 'hint')")
     each = counted.select("kind", F.explode("terms").alias("term"), F.col("placed").cast("int").alias("placed"))
@@ -379,18 +384,27 @@ def disclosing_contexts(found: DataFrame, min_bits: float = 1.0, min_share: floa
     shape = F.contains(F.col("term"), F.lit("#"))
     before = F.when(shape & (F.col("places") > 0), F.lit(min_places)).otherwise(0)
     known = by_kind.withColumn("n", F.sum("n").over(Window.partitionBy("term")) + before).withColumn("places", F.col("places") + before)
-    scored = known.where(F.col("places") >= min_places).select("kind", "term", (F.col("places") / F.col("n")).alias("share"), F.log2(F.col("places") / F.col("n") / base).alias("bits"), shape.alias("shape"))
-    disclosing = scored.where((F.col("share") >= min_share) & (F.col("bits") >= F.least(F.lit(min_bits), most / 2)))
-    return disclosing.select("kind", "term", "bits", (~F.col("shape") & (F.col("share") >= strong_share) & (F.col("bits") >= F.least(F.lit(strong_bits), most / 2))).alias("strong"))
+    share = F.col("places") / F.col("n")
+    scored = known.select("kind", "term", "n", "places", share.alias("share"), F.when(F.col("places") > 0, F.log2(share / base)).alias("bits"), shape.alias("shape"))
+    discloses = (F.col("places") >= min_places) & (F.col("share") >= min_share) & (F.col("bits") >= F.least(F.lit(min_bits), most / 2))
+    strong = discloses & ~F.col("shape") & (F.col("share") >= strong_share) & (F.col("bits") >= F.least(F.lit(strong_bits), most / 2))
+    innocent = ~F.col("shape") & (F.col("n") >= innocent_uses) & (F.col("share") <= innocent_share)
+    flags = (F.coalesce(c, F.lit(False)).alias(n) for c, n in ((discloses, "discloses"), (strong, "strong"), (innocent, "innocent")))
+    return scored.select("kind", "term", "bits", *flags).where("discloses or innocent")
 
 
 def disclosed_places(found: DataFrame) -> DataFrame:
-    """``key, segment_no, check, pii_kind, begin, end``: the numbers and addresses that their terms disclose."""
+    """``key, segment_no, check, pii_kind, begin, end``: the numbers and addresses that their terms disclose.
+
+    A look-alike needs a word that discloses strongly, and none that is innocent.
+    """
     terms = sized_broadcast(materialize(disclosing_contexts(found), "contexts"), BROADCAST_TERMS)
     place = ["key", "segment_no", "check", "kind", "begin", "end"]
     asked = found.where("kind not in ('name', 'hint')").select(*place, "placed", F.explode("terms").alias("term"))
-    told = asked.join(terms, ["kind", "term"]).where("placed or strong").groupBy(*place).agg(F.max("bits").alias("bits"))
-    return told.select("key", "segment_no", "check", F.col("kind").alias("pii_kind"), "begin", "end")
+    told = asked.join(terms, ["kind", "term"]).groupBy(*place).agg(
+        F.bool_or(F.col("discloses") & (F.col("placed") | F.col("strong"))).alias("told"), F.bool_or(F.col("innocent") & ~F.col("placed")).alias("innocent")
+    )
+    return told.where("told and not innocent").select("key", "segment_no", "check", F.col("kind").alias("pii_kind"), "begin", "end")
 
 
 def mentions(segments: DataFrame, key: str, number: str, text: str) -> DataFrame:

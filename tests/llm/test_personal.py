@@ -84,7 +84,15 @@ def test_common_shapes_need_a_word(spark):
     found = {tuple(r) for r in P.kinds_found(frame(spark, rows), "id", "body", "comments").collect()}
     assert found == {(400 + n, 0, "id_number") for n in range(5)}
     terms = {r["term"]: r for r in P.disclosing_contexts(P.scan(P.segments_of(frame(spark, rows), "id", "body", "comments"), "id", "segment_no", "text")).collect()}
-    assert set(terms) == {"my", "passport"} and all(r["strong"] and r["bits"] > 5 for r in terms.values())
+    assert {t for t, r in terms.items() if r["discloses"]} == {"my", "passport"} and all(r["strong"] and r["bits"] > 5 for r in terms.values() if r["discloses"])
+    assert {t for t, r in terms.items() if r["innocent"]} == {"ts"}
+
+
+def test_innocent_words_tell_against_look_alikes(spark):
+    rows = [(n, f"insurance number 97{n % 9}-19-59{n} of me", None) for n in range(10, 40)] + [(100 + n, f"took 10 ms rev {20_000_000 + n}", None) for n in range(40)]
+    rows += [(200, "the number X12705031 is mine", None), (201, "number rev X12705031", None)]
+    found = {r["id"] for r in P.kinds_found(frame(spark, rows), "id", "body", "comments").collect()}
+    assert found == {*range(10, 40), 200}
 
 
 def test_capitals_of_all_scripts(spark):
