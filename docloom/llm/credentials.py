@@ -128,12 +128,21 @@ _RESOURCE = re.compile(r"^[a-z]+(?:-[a-z]+)+-(?=[a-z0-9]*\d)(?![a-z]{3,}\d{1,2}$
 _NAME_OF_SECRET = re.compile(rf"^[\w.-]*(?:{SECRET_WORD}|key)s?[\w.-]*$", re.I)
 
 
+#: What begins like a path but is as mixed as keys in base64 are.
+_SLASHED = re.compile(r"(?=.*[a-z])(?=.*[A-Z])(?=.*\d)[A-Za-z0-9+/]{32,}={0,2}")
+
+
+def _refers(value: str) -> bool:
+    """Does ``value`` name a variable, a store or a file?"""
+    return bool(_REFERENCE.match(value)) and not _SLASHED.fullmatch(value)
+
+
 def literal(value: str, key: str = "") -> bool:
     """Is ``value`` a literal credential if a field called ``key`` holds it?"""
     value = value.strip()
     if len(value) < 4 or value.isdigit() or " " in value or "\t" in value:
         return False
-    if _STAND_IN.match(value) or _REFERENCE.match(value) or _HASHED.match(value) or re.fullmatch(r"[\d.,:_-]+|v?\d+(?:\.\d+)+[\w.-]*", value):
+    if _STAND_IN.match(value) or _refers(value) or _HASHED.match(value) or re.fullmatch(r"[\d.,:_-]+|v?\d+(?:\.\d+)+[\w.-]*", value):
         return False
     if len(set(value)) < 3 or value.endswith("(") or re.fullmatch(r"[A-Za-z_][\w.]*\(.*\)?;?", value):
         return False
@@ -145,7 +154,7 @@ def literal(value: str, key: str = "") -> bool:
             inner = base64.b64decode(value, validate=True).decode("ascii")
         except ValueError:
             inner = ""
-        if inner.isprintable() and inner and (_STAND_IN.match(inner) or _REFERENCE.match(inner)):
+        if inner.isprintable() and inner and (_STAND_IN.match(inner) or inner[0] not in "&*" and _refers(inner)):
             return False
     return True
 
