@@ -143,3 +143,56 @@ def test_long_texts_and_claims():
     notice = "# " + "x" * 300 + " y"
     assert H.claims(None, "# Part of " + "o" * 250 + "/lib, MIT\n" + notice)[0][1] == "o" * 250 + "/lib"
     assert list(H.grammars([])) == [] and len(list(H.grammars(["a", "b " * 2_000_000, "c"]))) == 3
+
+
+def many(own, n, seed):
+    rng = np.random.default_rng(seed)
+    return "\n".join(f"def f{own}{rng.integers(1 << 40):x}_x(a):\n    return a.q{rng.integers(1 << 40):x}_y + b" for _ in range(n)) + "\n"
+
+
+def test_short_copies(spark):
+    """Copies of some 100 tokens, of which a sample of the runs would hold too few."""
+    rows = [(10 * k + i, f"u/{k}.py", many("s", 8, k), f"o/r{i}") for k in range(5) for i in range(3)] + [(100 + i, "t.py", many("t", 8, 50 + i), f"o/r{i}") for i in range(3)]
+    assert all(71 <= len(G.tokenize([r[2]]).raw) < 192 for r in rows)
+    df = spark.createDataFrame(rows, "id int, path string, content string, repo string")
+    assert {r["id"] for r in H.not_handwritten(df, "id", "path", "content", "repo").collect()} == {r[0] for r in rows[:15]}
+
+
+def test_all_runs_count():
+    texts = [many("a", 30, 1), "x = 1\n", "", many("b", 6, 2)]
+    found = G.tokenize(texts)
+    for n, rules in enumerate(H._long_rules(found.raw, np.bincount(found.owner, minlength=len(texts)))):
+        tokens = found.raw[found.owner == n].tolist()
+        assert len(rules) == len({tuple(tokens[i : i + 64]) for i in range(len(tokens) - 63)})
+
+
+def test_copies_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    stock = [many(f"k{k}", 6, k) for k in range(4)]
+    rows = []
+    for i in range(120):
+        text = "".join(stock[k] for k in rng.integers(0, 4, 2)) if i % 3 else many(f"o{i}", 12, i)
+        rows.append((i if i % 17 else 1000, f"{i}.py", text + f"# tail{i}\n" * int(rng.integers(0, 2)), None if i % 11 == 0 else f"o/r{rng.integers(0, 6)}"))
+    runs = {i: set(e.rules.tolist()) for i, e in enumerate(H.grammars([r[2] for r in rows]))}
+    uses: dict[int, set[str]] = {}
+    for i, r in enumerate(rows):
+        for x in runs[i]:
+            uses.setdefault(x, set()).update([r[3]] if r[3] else [])
+    want = sorted({rows[i][0] for i, mine in runs.items() if len(mine) >= 8 and sum(len(uses[x]) >= 3 for x in mine) >= 0.95 * len(mine)})
+    assert 20 < len(want) < 80
+    df = spark.createDataFrame(rows, "id int, path string, content string, repo string")
+    for characters, together, files in ((10**9, 10**9, 1 << 16), (3000, 500, 1 << 16), (20_000, 10**9, 7)):
+        monkeypatch.setattr(H, "PART_CHARACTERS", characters), monkeypatch.setattr(H, "RUNS_TOGETHER", together), monkeypatch.setattr(H, "FILES_TOGETHER", files), monkeypatch.setattr(H, "WIDE_BYTES", characters // 1000)
+        assert sorted(r["id"] for r in H.not_handwritten(df, "id", "path", "content", "repo").collect()) == want
+
+
+def test_uses_in_steps():
+    rng = np.random.default_rng(7)
+    hashes, repos = rng.integers(0, 400, 5000).astype(np.uint64), rng.integers(0, 5, 5000).astype(np.uint64)
+    want = [h for h in range(400) if len(set(repos[(hashes == h) & (repos > 0)].tolist())) >= 3]
+    for together in (10, 10_000):
+        uses = H.Uses(3, together)
+        for at in range(0, 5000, 37):
+            uses.add(hashes[at : at + 37], repos[at : at + 37])
+        assert uses.wide().tolist() == want
+    assert H.Uses(3).wide().tolist() == []
